@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tracewright.llm.language_id import op6_language_id
 from tracewright.llm.mixing import op10_mix_sources
+from tracewright.llm.secrets import op8_secret_scan
+from tracewright.llm.simhash import op3_simhash_near_dedup
 from tracewright.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op6_language_id": op6_language_id,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_files": op9_token_files,
     "op10_mix_sources": op10_mix_sources,
 }
