@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from tracewright.llm.collision import op2_collision_counting
 from tracewright.llm.language_id import op6_language_id
 from tracewright.llm.mixing import op10_mix_sources
+from tracewright.llm.multi_index import OP1_SQL, op1_exact_hamming_top_k
+from tracewright.llm.pieces import op7_n_best_pieces
 from tracewright.llm.secrets import op8_secret_scan
 from tracewright.llm.simhash import op3_simhash_near_dedup
 from tracewright.llm.token_files import op9_token_files
 
 QUERIES = {
+    "op1_exact_hamming_top_k": op1_exact_hamming_top_k,
+    "op2_collision_counting": op2_collision_counting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_language_id": op6_language_id,
+    "op7_n_best_pieces": op7_n_best_pieces,
     "op8_secret_scan": op8_secret_scan,
     "op9_token_files": op9_token_files,
     "op10_mix_sources": op10_mix_sources,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_exact_hamming_top_k": OP1_SQL}
