@@ -139,12 +139,12 @@ def op1_exact_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP1_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> x > 0) AS bits FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(len(list_filter(list_zip(q.bits, c.bits), z -> z[1] <> z[2])) AS BIGINT) AS distance
+    CAST(len(list_filter(list_zip(q.bits, c.bits), lambda z: z[1] <> z[2])) AS BIGINT) AS distance
   FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.bits) = len(c.bits) WHERE q.vec_id % 100 = 0
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
