@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tracewright.llm.collision import op2_collision_counting
+from tracewright.llm.html_text import op5_html_main_text
 from tracewright.llm.language_id import op6_language_id
 from tracewright.llm.mixing import op10_mix_sources
 from tracewright.llm.multi_index import OP1_SQL, op1_exact_hamming_top_k
@@ -15,6 +16,7 @@ QUERIES = {
     "op1_exact_hamming_top_k": op1_exact_hamming_top_k,
     "op2_collision_counting": op2_collision_counting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op5_html_main_text": op5_html_main_text,
     "op6_language_id": op6_language_id,
     "op7_n_best_pieces": op7_n_best_pieces,
     "op8_secret_scan": op8_secret_scan,
