@@ -8,6 +8,7 @@ from tracewright.llm.language_id import op6_language_id
 from tracewright.llm.mixing import op10_mix_sources
 from tracewright.llm.multi_index import OP1_SQL, op1_exact_hamming_top_k
 from tracewright.llm.pieces import op7_n_best_pieces
+from tracewright.llm.private_data import op4_private_data
 from tracewright.llm.secrets import op8_secret_scan
 from tracewright.llm.simhash import op3_simhash_near_dedup
 from tracewright.llm.token_files import op9_token_files
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_exact_hamming_top_k": op1_exact_hamming_top_k,
     "op2_collision_counting": op2_collision_counting,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
+    "op4_private_data": op4_private_data,
     "op5_html_main_text": op5_html_main_text,
     "op6_language_id": op6_language_id,
     "op7_n_best_pieces": op7_n_best_pieces,
