@@ -294,6 +294,26 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text") ->
     return docs.mapInArrow(named, T.StructType([*docs.schema.fields, *extra]))
 
 
+def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose language is not rejected."""
+    if models is None:
+        return docs.limit(0)
+    shared = docs.sparkSession.sparkContext.broadcast(models)
+    rows = docs.withColumn(text_col, F.col(text_col).cast("string"))
+    place = rows.columns.index(text_col)
+
+    def kept(batches):
+        scorer = _LAST.get("scorer")
+        if scorer is None or scorer.models is not shared.value:
+            scorer = _LAST["scorer"] = Scorer(shared.value)
+        for b in batches:
+            texts = b.column(place).to_pylist()
+            parts = [scorer.decide(texts[k : k + 256])[3] for k in range(0, len(texts), 256)]
+            yield b.filter(pa.array(~np.concatenate(parts).astype(bool))) if parts else b
+
+    return rows.mapInArrow(kept, rows.schema)
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents")

@@ -238,15 +238,16 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4,
 
 
 def keep_first(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs without those that a near-duplicate with a smaller id, or an equal row, stands for."""
-    names = docs.columns
-    rows = docs.select("*", F.col(text_col).cast("string").alias("__text"))
-    rows = fingerprints(rows, "__text", words_per_shingle)
-    ids = cut(fingerprints(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), "text", words_per_shingle))
-    classes = near_classes(ids, bits).where(F.col("fp") == F.col("kept_fp")).select(F.col("fp").alias("__fp"), "component_id")
-    first = rows.join(classes, (F.col("fp") == F.col("__fp")) & F.col(id_col).cast("long").eqNullSafe(F.col("component_id")))
-    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64(*[F.col(c) for c in names])))
-    return first.withColumn("__place", place).where("__place = 1").select(*names)
+    """The rows of docs, all their columns, without those that a near-duplicate with a smaller id, or another row of the same id and
+    fingerprint, stands for."""
+    key = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
+    ids = cut(fingerprints(docs.select(*key), "text", words_per_shingle))
+    classes = near_classes(ids, bits).where(F.col("fp") == F.col("kept_fp")).select("fp", "component_id")
+    rows = fingerprints(docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "text", words_per_shingle)
+    c = classes.select(F.col("fp").alias("class_fp"), "component_id")
+    first = rows.join(c, (F.col("fp") == F.col("class_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("row")))
+    return first.withColumn("place", place).where("place = 1").select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
