@@ -97,16 +97,17 @@ def _fit_source(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"source": pdf["source"], "size": pdf["size"], "whole": np.int64(whole), "extra": extra})
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target of its source, times it is taken (0 to most) and taken words; and the columns keep."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("lot"), *[F.col(c).alias(f"kept_{c}") for c in keep])
-    narrow = cut(rows.drop(*[f"kept_{c}" for c in keep])) if not keep else rows
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_rows: bool = False) -> DataFrame:
+    """Per document: doc_id, source, size, source_size, target of its source, times it is taken (0 to most) and taken words; and, with_rows,
+    row: a struct of all columns of docs, which then go through the one shuffle by (source, size)."""
+    carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("lot"), *carried)
+    narrow = rows if with_rows else cut(rows)
     counts = cut(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     largest = counts.agg(F.max("n")).first()[0] or 0
     buckets = 1 << max(0, (int(largest) // ROWS_PER_BUCKET).bit_length())
     aimed = targets(counts.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, most)
     aimed = cut(aimed.select("source", "source_size", "target"))
-    same = lambda a, b, *keys: [a[k].eqNullSafe(b[k]) for k in keys]
     per_length = counts.join(aimed.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
     fits = per_length.groupBy("source").applyInPandas(_fit_source, "source string, size long, whole long, extra long")
     narrow = narrow.withColumn("bucket", F.pmod(F.col("lot"), F.lit(buckets)))
@@ -125,7 +126,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     place = F.row_number().over(Window.partitionBy("f_source", "f_size", "f_bucket").orderBy("lot", "doc_id"))
     times = F.when(F.col("size") > 0, F.col("whole") + (place <= F.col("extra")).cast("long")).otherwise(F.lit(0).cast("long"))
     out = joined.withColumn("times", times)
-    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), *[F.col(f"kept_{c}").alias(c) for c in keep])
+    return out.select("doc_id", "source", "size", "source_size", "target", "times", (F.col("size") * F.col("times")).alias("taken"), *(["row"] if with_rows else []))
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, seed: int = 17) -> DataFrame:
+    """The mix itself: the rows of docs, all their columns, each as many times as it is taken."""
+    times = mix(docs, weights, most, seed, with_rows=True).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")).select("row.*")
 
 
 def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
