@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tracewright.plans import catalog_core, catalog_tables  # noqa: F401
+from tracewright.plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
+
 FLAGSHIP = "win_top_diversified"
