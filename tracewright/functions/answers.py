@@ -28,7 +28,8 @@ BRACES = re.compile(r"\{.*\}", re.S)
 COMMENT = re.compile(r"//.*")
 TRAILING_COMMA = re.compile(r",\s*([\]}])")
 
-MISSING = object()
+class MISSING:
+    """Stands for no answer; a class, since one stays itself when functions are sent to workers."""
 
 
 def strip_comments(text: str) -> str:

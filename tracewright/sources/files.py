@@ -11,7 +11,12 @@ from tracewright.schemas import CSV_COLUMNS, EXAMPLE
 
 def file_stem(path=None):
     """Name of the file a row comes from, without its last extension."""
-    return F.regexp_replace(path if path is not None else F.col("_metadata.file_name"), r"\.[^.]*$", "")
+    return F.regexp_replace(plain_path(path if path is not None else F.col("_metadata.file_name")), r"\.[^.]*$", "")
+
+
+def plain_path(path):
+    """A path without the percent signs that stand for special characters in file metadata."""
+    return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def csv_dir(spark: SparkSession, folder: str, code_col: str = "Code Merged") -> DataFrame:
@@ -44,7 +49,7 @@ def csv_dir(spark: SparkSession, folder: str, code_col: str = "Code Merged") ->
 def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
     """Files of the folder by their header; the driver sees one line a file."""
     first = spark.read.option("wholetext", False).option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value")
-    heads = first.where("b = 0").groupBy("p").agg(F.first("value").alias("h"))
+    heads = first.where("b = 0").groupBy(plain_path(F.col("p")).alias("p")).agg(F.first("value").alias("h"))
     schema = F.from_csv(F.col("h"), F.lit(", ".join(f"c{i} string" for i in range(32))), {"quote": '"', "escape": '"'})
     cells = heads.select("p", F.array_compact(F.array(*[schema[f"c{i}"] for i in range(32)])).alias("cells"))
     out: dict[tuple[str, ...], list[str]] = {}
