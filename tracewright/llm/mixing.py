@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, table, word_count
 
-ROWS_PER_BUCKET = 4096
+ROWS_PER_BUCKET = 1024
 #: Words that the dynamic program closes, beyond the longest document: memory and time of a fit grow with it.
 DP_WORDS = 1 << 16
 
