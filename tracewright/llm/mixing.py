@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int =
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP_WORDS) -> np.ndarray:
-    """How many documents of each length to take, at most counts, so that the words come to budget or as little below as found."""
+    """How many documents of each length to take, at most counts, so that the words come as near to budget as found; below it if both sides are equally near."""
     lengths, counts = np.asarray(lengths, dtype=np.int64), np.asarray(counts, dtype=np.int64)
     take = np.zeros(len(lengths), dtype=np.int64)
     total = int((lengths * counts).sum())
@@ -60,29 +60,31 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
             more = min(int(counts[k] - take[k]), (rest - dp_words) // int(lengths[k]))
             take[k] += more
             rest -= more * int(lengths[k])
+    limit = rest + min(int(lengths.max()), dp_words)
     items = []
     for k in np.argsort(lengths, kind="stable"):
         size, left, step = int(lengths[k]), int(counts[k] - take[k]), 1
-        if size <= 0 or size > rest:
+        if size <= 0 or size > limit:
             continue
-        left = min(left, rest // size)
+        left = min(left, limit // size)
         while left > 0:
             items.append((int(k), min(step, left)))
             left -= step
             step *= 2
-    reached = np.zeros(rest + 1, dtype=bool)
+    reached = np.zeros(limit + 1, dtype=bool)
     reached[0] = True
-    by = np.full(rest + 1, -1, dtype=np.int32)
+    by = np.full(limit + 1, -1, dtype=np.int32)
     for i, (k, m) in enumerate(items):
         jump = int(lengths[k]) * m
-        if jump > rest:
+        if jump > limit:
             continue
         new = np.flatnonzero(reached[:-jump] & ~reached[jump:]) + jump
         reached[new] = True
         by[new] = i
         if reached[rest]:
             break
-    at = int(np.flatnonzero(reached)[-1])
+    found = np.flatnonzero(reached)
+    at = int(found[np.argmin(np.abs(found - rest))])
     while at > 0:
         k, m = items[by[at]]
         take[k] += m
