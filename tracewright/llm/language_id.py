@@ -271,8 +271,17 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str
 _LAST: dict[str, Scorer] = {}
 
 
+def scorer_of(models: Models) -> Scorer:
+    """The worker's scorer of these models. Tasks reach it through this function: what a task's own function refers to is copied."""
+    scorer = _LAST.get("scorer")
+    if scorer is None or scorer.models is not models:
+        scorer = _LAST["scorer"] = Scorer(models)
+    return scorer
+
+
 def identify(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score, cross_entropy and rejected; the model arrays are bounded by the training sample and broadcast."""
+    """docs with lang_pred, score, cross_entropy and rejected, in place of columns of these names; the model arrays are bounded by the training sample and broadcast."""
+    docs = docs.drop("lang_pred", "score", "cross_entropy", "rejected")
     spark = docs.sparkSession
     place, names = docs.columns.index(text_col), docs.columns
     if models is None:
@@ -280,9 +289,7 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text") ->
     shared = spark.sparkContext.broadcast(models)
 
     def named(batches):
-        scorer = _LAST.get("scorer")
-        if scorer is None or scorer.models is not shared.value:
-            scorer = _LAST["scorer"] = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for b in batches:
             texts = b.column(place).to_pylist()
             parts = [scorer.decide(texts[k : k + 256]) for k in range(0, len(texts), 256)]
@@ -303,9 +310,7 @@ def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") ->
     place = rows.columns.index(text_col)
 
     def kept(batches):
-        scorer = _LAST.get("scorer")
-        if scorer is None or scorer.models is not shared.value:
-            scorer = _LAST["scorer"] = Scorer(shared.value)
+        scorer = scorer_of(shared.value)
         for b in batches:
             texts = b.column(place).to_pylist()
             parts = [scorer.decide(texts[k : k + 256])[3] for k in range(0, len(texts), 256)]
