@@ -8,8 +8,8 @@ units there. Best scores, best ids and the gap to a unit's second best come from
 many units and are remembered; the n best of a text only differ from the best at the n - 1 units with the smallest gaps, where
 the A* search lists alternatives, and a queue over their sums yields the n best of the text.
 
-Order among equal scores: within a unit, the longer piece first, read from the end; in a text, by the ranks of the units'
-alternatives, first unit first.
+Order among equal scores: the best segmentation of a unit has the longer piece first, read from the end; its other ones come in the
+order in which the search finds them, which is fixed; in a text, by the ranks of the units' alternatives, first unit first.
 
 Defined results: null and empty text have no pieces (one empty segmentation, score 0); white space other than U+0020 is kept as
 characters; U+2581 in a text decodes as a space, as the model's own decoder does; texts of any length are segmented whole.
@@ -138,18 +138,26 @@ class Pieces:
         return alpha, ending
 
     def n_best(self, unit: str, n: int) -> list[tuple[float, bytes]]:
-        """The n best segmentations of a unit as (score, little-endian ids), best first: backward A* with forward Viterbi scores."""
+        """The n best segmentations of a unit as (score, little-endian ids), best first: backward A* with forward Viterbi scores.
+
+        A path is a chain of (ids of an edge, the path after it), so that long units cost no more than their edges.
+        """
         alpha, ending = self.forward(unit)
-        queue: list[tuple] = [(-alpha[-1], (), len(unit), 0.0, ())]
-        out: list[tuple[float, bytes]] = []
+        queue: list[tuple] = [(-alpha[-1], 0, len(unit), 0.0, None)]
+        pushed, out = 0, []
         while queue and len(out) < n:
-            _, lengths, at, score, ids = heapq.heappop(queue)
+            _, _, at, score, path = heapq.heappop(queue)
             if at == 0:
+                ids: list[int] = []
+                while path is not None:
+                    ids += path[0]
+                    path = path[1]
                 out.append((score, np.array(ids, dtype="<u4").tobytes()))
                 continue
-            for length, edge, s in ending[at]:
+            for length, edge, s in reversed(ending[at]):  # the longest last, which leaves the queue first among equals
                 total = score + s
-                heapq.heappush(queue, (-(total + alpha[at - length]), (*lengths, -length), at - length, total, edge + ids))
+                pushed += 1
+                heapq.heappush(queue, (-(total + alpha[at - length]), -pushed, at - length, total, (edge, path)))
         return out
 
     def _best_of(self, units: list[str]) -> list[tuple[bytes, float, float]]:
