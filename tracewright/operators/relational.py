@@ -146,9 +146,10 @@ def oversample_merged(df: DataFrame, label: str, text: str, key: str, minority:
     few, lack = sizes["few"], max(0, sizes["many"] - sizes["few"])
     if not few or not lack:
         return df.select(text, label)
-    numbered = df.where(F.col(label) == minority).select(F.col(text).alias("t"), (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key)) - 1).cast("long").alias("n"))
+    lot = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
+    ordered = numbered(df.where(F.col(label) == minority).select(F.col(text).alias("t"), lot.alias("lot")), "lot", "n").select("t", "n")
     made = spark.range(lack).select((F.col("id") % few).alias("a"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(few)).alias("b"))
-    one, two = numbered.toDF("ta", "a"), numbered.toDF("tb", "b")
+    one, two = ordered.toDF("ta", "a"), ordered.toDF("tb", "b")
     merged = made.join(one, "a").join(two, "b").select(F.concat("ta", F.lit("; "), "tb").alias(text), F.lit(minority).cast(df.schema[label].dataType).alias(label))
     return df.select(text, label).unionByName(merged)
 
