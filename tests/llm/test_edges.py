@@ -65,6 +65,7 @@ def test_language(docs, empty):
     models = language_id.fit(docs)
     got = {r.doc_id: r for r in language_id.identify(docs, models).collect()}
     assert [got[i].lang_pred for i in (200, 201, 202, 203)] == ["und"] * 4 and got[203].score == 0.0 and got[203].rejected
+    assert language_id.Scorer(models).decide(["½ ²", "a ½"])[0] != ["und", "und"] and language_id.Scorer(models).decide(["½ ²"])[0] == ["und"]
     assert got[3].lang_pred == "en" and got[104].lang_pred == "fr" and not got[3].rejected
     assert all(0 <= r.score <= 1 for r in got.values())
     kept = language_id.accepted(docs, models)

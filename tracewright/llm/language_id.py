@@ -194,7 +194,7 @@ class Scorer:
         """Language, score from 0 to 1, cross-entropy in nats a character and rejection of each text."""
         m = self.models
         sums, n = self.sums(texts)
-        none = n == 0
+        none = (n == 0) | np.array([not any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
         entropy = -sums / np.maximum(n, 1)[:, None]
         best = entropy.argmin(axis=1)
         least = entropy[np.arange(len(texts)), best]
