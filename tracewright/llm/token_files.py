@@ -2,7 +2,7 @@
 
 A token file set is a folder of Parquet files, one per range of document ids, in ascending order of doc_id:
 doc_id, part (number of the file's range), local_start (ids of the documents before it in this range), n_tokens and
-tokens (list of 32-bit ids). Ids are dictionary encoded (delta-binary-packed where a dictionary grows too large), row groups
+tokens (list of 32-bit ids). Ids and counts are delta encoded (DELTA_BINARY_PACKED), row groups
 and pages are small and carry page indexes, so that a reader can fetch the id lists of a few documents or the counts alone.
 
 Defined results: null text is an empty text (only the end id); a null doc_id sorts first; repeated ids and rows are each
@@ -11,10 +11,12 @@ written; an empty table gives an empty set; further columns are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -23,51 +25,141 @@ from tracewright.llm.common import fresh_path, table
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
-#: Words whose ids one Python worker remembers; further words are encoded again each time.
-MEMO_WORDS = 300_000
-MEMO_WORD_BYTES = 48
+#: Different words whose ids one Python worker keeps (about 40 bytes each) and their most bytes.
+KNOWN_WORDS = 1_200_000
+RECENT_WORDS = 60_000
+MAX_BYTES = 64
+LONG_BYTES = 2 << 20
+GAP = re.compile(rb"[ \t-\r]")
+SPACE, LETTER, MARK = 1, 2, 3
+BYTE_KINDS = np.zeros(256, dtype=np.uint8)
+BYTE_KINDS[[32, *range(9, 14)]] = SPACE
+BYTE_KINDS[97:123] = LETTER
+BYTE_KINDS[[c for c in range(33, 127) if not chr(c).isalnum()]] = MARK
 
 
 class WordEncoder:
-    """Ids of a text, put together from those of its white-space separated words.
+    """Ids of texts, put together from those of their words.
 
-    That is exact for tokenizers whose pre-tokenizer ends a token at white space and drops it, and whose normalizer treats
-    the words alone as it treats them in a text. The words' ids come from the tokenizers library.
+    Words are cut at ASCII white space and between a lower-case ASCII letter and an ASCII mark. That is exact for tokenizers whose
+    pre-tokenizer drops white space and never joins a letter and a mark that follows it, and whose normalizer folds case and treats
+    words alone as in a text. ASCII case is folded beforehand. A text that holds the opening of a special token's string is neither
+    folded nor cut at marks. The words' ids come from the tokenizers library.
+
+    Words of up to MAX_BYTES bytes are told apart by two 64-bit tabulation hashes; each different word is encoded once a worker while
+    fewer than KNOWN_WORDS are known, longer and further ones each time.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def _ids_of(self, words: list[bytes]) -> list[bytes]:
-        text = [w.decode("utf-8") for w in words]
-        encoding = self.tokenizer.encode(" ".join(text), add_special_tokens=False)
-        ids = np.array(encoding.ids, dtype="<u4")
+        chooser = np.random.default_rng(9)
+        self.tables = [chooser.integers(0, 1 << 64, MAX_BYTES * 256, dtype=np.uint64) for _ in range(2)]
+        #: Known words in two levels, a large and a recent one: sorted keys, checks, and where each word's ids begin and how many it has.
+        self.levels = [self._level([], [], [], []) for _ in range(2)]
+        self.ids = np.zeros(0, dtype=np.uint32)
+
+    @staticmethod
+    def _level(keys, checks, begins, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return np.asarray(keys, dtype=np.uint64), np.asarray(checks, dtype=np.uint64), np.asarray(begins, dtype=np.int32), np.asarray(sizes, dtype=np.int32)
+
+    def _learn(self, level: int, *columns: np.ndarray) -> None:
+        joined = [np.concatenate(pair) for pair in zip(self.levels[level], columns, strict=True)]
+        order = np.argsort(joined[0])
+        self.levels[level] = self._level(*(c[order] for c in joined))
+
+    def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in a row, and how many each has."""
+        text = b" ".join(words).decode("utf-8")
+        encoding = self.tokenizer.encode(text, add_special_tokens=False)
+        ids = np.array(encoding.ids, dtype=np.uint32)
         begins = np.zeros(len(words) + 1, dtype=np.int64)
-        np.cumsum(np.fromiter((len(w) + 1 for w in text), dtype=np.int64, count=len(text)), out=begins[1:])
+        np.cumsum(np.fromiter((len(w) + 1 for w in text.split(" ")), dtype=np.int64, count=len(words)), out=begins[1:])
         at = np.fromiter((o[0] for o in encoding.offsets), dtype=np.int64, count=len(ids))
-        cuts = np.searchsorted(at, begins, side="left")
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [(t or "").encode("utf-8").split() for t in texts]
-        memo = self.memo
-        new = list(dict.fromkeys(w for ws in split for w in ws if w not in memo))
-        extra: dict[bytes, bytes] = {}
-        for k in range(0, len(new), 20_000):
-            some = new[k : k + 20_000]
-            for w, ids in zip(some, self._ids_of(some), strict=True):
-                if len(memo) < MEMO_WORDS and len(w) <= MEMO_WORD_BYTES:
-                    memo[w] = ids
-                else:
-                    extra[w] = ids
-        if extra:
-            return [b"".join([memo[w] if w in memo else extra[w] for w in ws]) for ws in split]
-        return [b"".join(map(memo.__getitem__, ws)) for ws in split]
+        return ids, np.diff(np.searchsorted(at, begins, side="left"))
+
+    def _fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self._ids_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+
+    def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, and how many each has."""
+        raw = [(t or "").encode("utf-8") for t in texts]
+        odd = [b"<|" in r for r in raw]
+        if any(odd) or any(len(r) > LONG_BYTES for r in raw):
+            parts = [self._encode_long(r, o) for r, o in zip(raw, odd, strict=True)]
+            return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+        return self._encode_raw(raw, False)
+
+    def _encode_long(self, raw: bytes, as_is: bool) -> tuple[np.ndarray, np.ndarray]:
+        """One text in portions that end at white space, so that memory is bounded by its longest word."""
+        parts, begin = [], 0
+        while begin < len(raw):
+            gap = GAP.search(raw, min(begin + LONG_BYTES, len(raw)))
+            end = gap.end() if gap else len(raw)
+            parts.append(self._encode_raw([raw[begin:end]], as_is)[0])
+            begin = end
+        ids = np.concatenate(parts) if parts else np.zeros(0, dtype=np.uint32)
+        return ids, np.array([len(ids)])
+
+    def _encode_raw(self, raw: list[bytes], as_is: bool) -> tuple[np.ndarray, np.ndarray]:
+        joined = b" ".join(raw)
+        ends_of_texts = np.cumsum([len(r) + 1 for r in raw])
+        joined = joined if as_is else joined.lower()
+        kinds = BYTE_KINDS[np.frombuffer(joined, dtype=np.uint8)]
+        body = kinds != SPACE
+        first = body.copy()
+        first[1:] &= ~body[:-1] if as_is else ~body[:-1] | (kinds[:-1] == LETTER) & (kinds[1:] == MARK)
+        starts = np.flatnonzero(first)
+        n = len(starts)
+        if not n:
+            return np.zeros(0, dtype=np.uint32), np.zeros(len(raw), dtype=np.int64)
+        inside = np.flatnonzero(body)
+        lead = np.searchsorted(inside, starts).astype(np.int64)
+        lengths = np.diff(np.append(lead, len(inside)))
+        place = np.arange(len(inside), dtype=np.int64) - np.repeat(lead, lengths)
+        cell = np.minimum(place, MAX_BYTES - 1) * 256 + np.frombuffer(joined, dtype=np.uint8)[inside]
+        key, check = (np.add.reduceat(t[cell], lead) for t in self.tables)
+        del cell, place, inside
+        different, sample, of = np.unique(key, return_index=True, return_inverse=True)
+        known = np.zeros(len(different), dtype=bool)
+        begins, sizes, store = np.zeros(len(different), dtype=np.int64), np.zeros(len(different), dtype=np.int64), [self.ids]
+        for keys, checks, its_begins, its_sizes in self.levels:
+            if len(keys):
+                at = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
+                here = (keys[at] == different) & (checks[at] == check[sample])
+                begins[here], sizes[here] = its_begins[at[here]], its_sizes[at[here]]
+                known |= here
+        clash = check != check[sample][of]
+        single = (lengths > MAX_BYTES) | clash  # encoded one by one, never kept
+        kept = np.zeros(len(different), dtype=bool)
+        kept[of[~single]] = True
+        new = np.flatnonzero(~known & kept)
+        total = len(self.ids)
+        word = lambda i: joined[starts[i] : starts[i] + lengths[i]]
+        if len(new):
+            spans = zip(starts[sample[new]].tolist(), lengths[sample[new]].tolist(), strict=True)
+            ids, counts = self._fresh([joined[s : s + k] for s, k in spans])
+            begins[new], sizes[new] = total + np.cumsum(counts) - counts, counts
+            store.append(ids)
+            total += len(ids)
+        word_begin, word_size = begins[of], sizes[of]
+        for i in np.flatnonzero(single).tolist():
+            ids, counts = self._ids_of([word(i)])
+            word_begin[i], word_size[i] = total, counts[0]
+            store.append(ids)
+            total += len(ids)
+        everything = np.concatenate(store) if len(store) > 1 else self.ids
+        if len(new) and sum(len(x[0]) for x in self.levels) < KNOWN_WORDS:
+            self._learn(1, different[new], check[sample[new]], begins[new], sizes[new])
+            self.ids = everything[: len(self.ids) + len(store[1])]
+            if len(self.levels[1][0]) > RECENT_WORDS:
+                self._learn(0, *self.levels[1])
+                self.levels[1] = self._level([], [], [], [])
+        out = everything[np.repeat(word_begin - (np.cumsum(word_size) - word_size), word_size) + np.arange(int(word_size.sum()))]
+        before = np.concatenate([[0], np.cumsum(word_size)])
+        return out, np.diff(before[np.searchsorted(starts, np.concatenate([[0], ends_of_texts]))])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -79,12 +171,12 @@ def encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _chunks(texts: pa.Array, most_bytes: int = 4 << 20):
+def _chunks(texts: pa.Array, most_bytes: int = 3 << 19):
     """Consecutive slices of at most so many bytes, at least a row each."""
-    sizes = np.array([len(t) if t else 0 for t in texts.to_pylist()])
+    total = np.concatenate([[0], np.cumsum(np.nan_to_num(pc.binary_length(texts).to_numpy(zero_copy_only=False)))])
     begin = 0
     while begin < len(texts):
-        end = begin + max(1, int(np.searchsorted(np.cumsum(sizes[begin:]), most_bytes, side="right")))
+        end = max(begin + 1, int(np.searchsorted(total, total[begin] + most_bytes, side="right")) - 1)
         yield begin, texts.slice(begin, end - begin).to_pylist()
         begin = end
 
@@ -98,13 +190,13 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
 
     def encode(batches):
         words, part, start = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
-        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for begin, texts in _chunks(batch.column(1)):
-                raw = [ids + end for ids in words.encode(texts)]
-                sizes = np.array([len(r) // 4 for r in raw], dtype=np.int64)
+                ids, sizes = words.encode(texts)
+                ids = np.insert(ids, np.cumsum(sizes), end_id)
+                sizes = sizes + 1
                 offsets = np.concatenate([[0], np.cumsum(sizes)])
-                tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
+                tokens = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(texts)), pa.array([part] * len(texts), pa.int32()), pa.array(start + offsets[:-1]), pa.array(sizes), tokens], schema=schema)
                 start += int(offsets[-1])
 
@@ -113,7 +205,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int =
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "text")
     writer = ordered.mapInArrow(encode, TOKEN_FILE_SCHEMA).write
-    for key, value in (("parquet.block.size", ROW_GROUP_BYTES), ("parquet.page.size", PAGE_BYTES), ("parquet.enable.dictionary", "true"), ("parquet.writer.version", "v2"), ("compression", "zstd")):
+    for key, value in (("parquet.block.size", ROW_GROUP_BYTES), ("parquet.page.size", PAGE_BYTES), ("parquet.enable.dictionary", "false"), ("parquet.writer.version", "v2"), ("compression", "snappy")):
         writer = writer.option(key, str(value))
     writer.parquet(path)
 
