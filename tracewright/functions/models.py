@@ -11,6 +11,7 @@ import json
 import math
 import re
 import time
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
@@ -62,8 +63,7 @@ class HashedEmbedder:
         for t in texts:
             body, v = " ".join((t or "").split()[: self.max_tokens]), [0.0] * self.size
             for i in range(max(1, len(body) - 2)):
-                h = hashlib.blake2b(body[i : i + 3].encode(), digest_size=4).digest()
-                v[int.from_bytes(h, "big") % self.size] += 1.0
+                v[zlib.crc32(body[i : i + 3].encode()) % self.size] += 1.0
             n = math.sqrt(sum(x * x for x in v)) or 1.0
             out.append([x / n for x in v])
         return out

@@ -245,6 +245,15 @@ def sink_unique_names(spark, sf_dir):
     return _through_csv(spark, outputs.unique_names(eps), "names")
 
 
+@query("sink_plot", f"WITH {LEVELS_SQL}, c AS (SELECT actual, count(*) AS n FROM lv GROUP BY actual) SELECT CAST(count(*) AS BIGINT) AS bars, CAST(max(n) AS BIGINT) AS top FROM c")
+def sink_plot(spark, sf_dir):
+    counts = relational.value_counts(levels(spark, sf_dir), "actual").orderBy("actual").collect()  # one row per level
+    path = scratch(spark, "plot")
+    outputs.write_text(spark, outputs.bar_chart([(r["actual"], r["Count"]) for r in counts], f"largest {max(r['Count'] for r in counts)}"), path)
+    svg = spark.read.text(path)
+    return svg.select(F.regexp_count("value", F.lit("<rect ")).cast("long").alias("bars"), F.regexp_extract("value", r">largest (\d+)<", 1).cast("long").alias("top"))
+
+
 # prompts ---------------------------------------------------------------------------------------------------------------------------
 
 D4 = f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ep1 {PAIR_ORDER}) AS r FROM pr), c AS (SELECT *, row_number() OVER (PARTITION BY ep1, ep2_code ORDER BY r) AS c FROM r),

@@ -82,6 +82,15 @@ def stats_text(accuracy: float | None, rows: int, confusion: DataFrame, title: d
     return "\n".join(lines) + "\n"
 
 
+def bar_chart(rows: list[tuple[str, float]], title: str, height: int = 200, width: int = 60) -> str:
+    """A bar chart as SVG text; rows are few, a bar each, in order."""
+    from html import escape
+
+    top = max((v for _, v in rows), default=0) or 1
+    bars = "".join(f'<rect x="{10 + k * width}" y="{20 + height - v / top * height:.2f}" width="{width - 10}" height="{v / top * height:.2f}"/><text x="{10 + k * width}" y="{height + 35}">{escape(n)}</text>' for k, (n, v) in enumerate(rows))
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{20 + width * len(rows)}" height="{height + 45}"><text x="10" y="15">{escape(title)}</text>{bars}</svg>'
+
+
 def write_text(spark, text: str, path: str) -> None:
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(path)
 
