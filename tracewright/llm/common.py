@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +56,17 @@ def spread(df: DataFrame, *cols) -> DataFrame:
     """Deal rows evenly over the shuffle partitions by the given keys."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(n, *cols)
+
+
+def portions(batches, place: int, most_bytes: int = 2 << 20, most_rows: int = 512):
+    """Arrow batches in slices of at most so many rows and bytes of text (a row at least), so that the Python objects of a task are those of
+    a few texts, however long the texts of a batch are."""
+    for b in batches:
+        lengths = pc.fill_null(pc.binary_length(b.column(place)), 0).to_numpy(zero_copy_only=False)
+        total = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+        begin = 0
+        while begin < b.num_rows:
+            end = int(np.searchsorted(total, total[begin] + most_bytes, side="right")) - 1
+            end = min(max(begin + 1, end), begin + most_rows)
+            yield b.slice(begin, end - begin)
+            begin = end

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import boosting
-from tracewright.llm.common import table
+from tracewright.llm.common import portions, table
 
 SAMPLE_PAGES = 200
 TOKEN = re.compile(
@@ -433,10 +433,8 @@ def extract(pages: DataFrame, trees: boosting.Trees, html_col: str = "html", out
     place, names = pages.columns.index(html_col), [c for c in pages.columns if c != html_col]
 
     def extracted(batches):
-        for b in batches:
-            texts: list[str] = []
-            for k in range(0, b.num_rows, 256):
-                texts += main_texts(b.column(place).slice(k, 256).to_pylist(), shared.value)
+        for b in portions(batches, place):
+            texts = main_texts(b.column(place).to_pylist(), shared.value)
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != place), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=[*names, out_col, f"n_{out_col}_chars"])
 
     fields = [f for f in pages.schema.fields if f.name != html_col]

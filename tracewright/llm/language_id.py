@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import held_out, table
+from tracewright.llm.common import held_out, portions, table
 
 ROWS_PER_LANGUAGE = 400
 ORDER = 5
@@ -290,11 +290,8 @@ def identify(docs: DataFrame, models: Models | None, text_col: str = "text") ->
 
     def named(batches):
         scorer = scorer_of(shared.value)
-        for b in batches:
-            texts = b.column(place).to_pylist()
-            parts = [scorer.decide(texts[k : k + 256]) for k in range(0, len(texts), 256)]
-            lang = [x for p in parts for x in p[0]]
-            score, entropy, rejected = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0) for i in (1, 2, 3))
+        for b in portions(batches, place):
+            lang, score, entropy, rejected = scorer.decide(b.column(place).to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(entropy, pa.float64()), pa.array(rejected.astype(bool))], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
 
     extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("cross_entropy", T.DoubleType()), T.StructField("rejected", T.BooleanType())]
@@ -311,10 +308,8 @@ def accepted(docs: DataFrame, models: Models | None, text_col: str = "text") ->
 
     def kept(batches):
         scorer = scorer_of(shared.value)
-        for b in batches:
-            texts = b.column(place).to_pylist()
-            parts = [scorer.decide(texts[k : k + 256])[3] for k in range(0, len(texts), 256)]
-            yield b.filter(pa.array(~np.concatenate(parts).astype(bool))) if parts else b
+        for b in portions(batches, place):
+            yield b.filter(pa.array(~scorer.decide(b.column(place).to_pylist())[3].astype(bool)))
 
     return rows.mapInArrow(kept, rows.schema)
 

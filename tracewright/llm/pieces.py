@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import table
+from tracewright.llm.common import portions, table
 
 SPACE = "▁"
 MEMO_UNITS = 250_000
@@ -318,17 +318,15 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text")
 
     def encoded(batches):
         model = pieces(path)
-        for b in batches:
-            for begin in range(0, b.num_rows, 512):
-                some = b.slice(begin, 512)
-                found = model.encode(some.column(place).to_pylist(), n)
-                best = [model.decode(f[0][1]) for f in found]
-                flat = [x for f in found for x in f]
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
-                sizes = np.concatenate([[0], np.cumsum([len(ids) // 4 for _, ids in flat])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(ids for _, ids in flat), dtype="<i4")))
-                structs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), lists], fields=list(kind.value_type))
-                yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(some.columns) if i != place), pa.ListArray.from_arrays(pa.array(ends), structs), pa.array(best, pa.string())], names=[*names, "segmentations", "decoded"])
+        for some in portions(batches, place):
+            found = model.encode(some.column(place).to_pylist(), n)
+            best = [model.decode(f[0][1]) for f in found]
+            flat = [x for f in found for x in f]
+            ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+            sizes = np.concatenate([[0], np.cumsum([len(ids) // 4 for _, ids in flat])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(sizes), pa.array(np.frombuffer(b"".join(ids for _, ids in flat), dtype="<i4")))
+            structs = pa.StructArray.from_arrays([pa.array([s for s, _ in flat], pa.float64()), lists], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(some.columns) if i != place), pa.ListArray.from_arrays(pa.array(ends), structs), pa.array(best, pa.string())], names=[*names, "segmentations", "decoded"])
 
     fields = [f for f in docs.schema.fields if f.name != text_col]
     made = [T.StructField("segmentations", T.ArrayType(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("pieces", T.ArrayType(T.IntegerType()))]))), T.StructField("decoded", T.StringType())]
@@ -342,14 +340,12 @@ def encode_digest(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "
 
     def digested(batches):
         model = pieces(path)
-        for b in batches:
-            rows = []
-            for begin in range(0, b.num_rows, 512):
-                texts = b.column(place).slice(begin, 512).to_pylist()
-                for t, found in zip(texts, model.encode(texts, n), strict=True):
-                    score, ids = found[0]
-                    same = model.decode(ids) == (t or "").replace(SPACE, " ")
-                    rows.append((len(ids) // 4, score, zlib.crc32(ids), ",".join(f"{s:.0f}" for s, _ in found), ",".join(str(zlib.crc32(x)) for _, x in found), same))
+        for b in portions(batches, place):
+            rows, texts = [], b.column(place).to_pylist()
+            for t, found in zip(texts, model.encode(texts, n), strict=True):
+                score, ids = found[0]
+                same = model.decode(ids) == (t or "").replace(SPACE, " ")
+                rows.append((len(ids) // 4, score, zlib.crc32(ids), ",".join(f"{s:.0f}" for s, _ in found), ",".join(str(zlib.crc32(x)) for _, x in found), same))
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             kinds = [pa.int64(), pa.float64(), pa.int64(), pa.string(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != place), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[*names, "n_pieces", "score", "ids_crc32", "n_best", "n_best_crc32", "round_trip"])

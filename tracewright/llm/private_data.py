@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import portions, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
@@ -379,13 +379,12 @@ def find_private(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())]))
 
     def scanned(batches):
-        for b in batches:
+        for b in portions(batches, 1):
             out = []
-            for k in range(0, b.num_rows, 512):
-                for base, added in scan_all(b.column(1).slice(k, 512).to_pylist(), shared.value):
-                    spans = [(*s, True) for s in base] + [(*s, False) for s in added]
-                    spans.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
-                    out.append([{"kind": a, "start": s, "end": e, "base": f} for a, s, e, f in spans])
+            for base, added in scan_all(b.column(1).to_pylist(), shared.value):
+                spans = [(*s, True) for s in base] + [(*s, False) for s in added]
+                spans.sort(key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
+                out.append([{"kind": a, "start": s, "end": e, "base": f} for a, s, e, f in spans])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, kind)], names=["doc_id", "spans"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

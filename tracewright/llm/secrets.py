@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import table
+from tracewright.llm.common import portions, table
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -200,7 +200,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def scanned(batches):
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for b in batches:
+        for b in portions(batches, 1):
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scan(t)] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, kind)], names=["doc_id", "spans"])
 
@@ -225,7 +225,7 @@ def redact_secrets(docs: DataFrame, mark: str = "<secret>", text_col: str = "tex
     place = docs.columns.index(text_col)
 
     def cleaned(batches):
-        for b in batches:
+        for b in portions(batches, place):
             texts = [redacted(t, scan(t), mark) for t in b.column(place).to_pylist()]
             yield b.set_column(place, text_col, pa.array(texts, pa.string()))
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import cut, table
+from tracewright.llm.common import cut, portions, table
 
 PIVOTS = 32
 BLOCK_ROWS = 4096
@@ -56,7 +56,7 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int
     place, names = docs.columns.index(text_col), [c for c in docs.columns if c != text_col]
 
     def hashed(batches):
-        for b in batches:
+        for b in portions(batches, place):
             fps = np.array([fingerprint(t, words_per_shingle) for t in b.column(place).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(b.columns) if i != place), pa.array(fps)], names=[*names, "fp"])
 
