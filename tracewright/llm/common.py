@@ -70,3 +70,18 @@ def portions(batches, place: int, most_bytes: int = 2 << 20, most_rows: int = 51
             end = min(max(begin + 1, end), begin + most_rows)
             yield b.slice(begin, end - begin)
             begin = end
+
+
+#: What this Python worker keeps between tasks: one model with its remembered words, that of the operator that ran last.
+_HELD: dict[str, object] = {}
+
+
+def held(name: str, fits, make):
+    """The worker's object of this name, if fits(object) holds, else a new one in place of whatever is kept. Stages of a pipeline share
+    workers, and so one stage's memory is given up for the next one's. (Tasks must call this by import: what their own functions refer to
+    is copied for each.)"""
+    found = _HELD.get(name)
+    if found is None or not fits(found):
+        _HELD.clear()
+        found = _HELD[name] = make()
+    return found

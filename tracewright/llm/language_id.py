@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import held_out, portions, table
+from tracewright.llm.common import held, held_out, portions, table
 
 ROWS_PER_LANGUAGE = 400
 ORDER = 5
@@ -267,16 +267,9 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str
     return calibrate(train(words), [x for x in unseen if x[0] in words]) if words else None
 
 
-#: The scorer of the models that this worker used last, with its remembered words.
-_LAST: dict[str, Scorer] = {}
-
-
 def scorer_of(models: Models) -> Scorer:
-    """The worker's scorer of these models. Tasks reach it through this function: what a task's own function refers to is copied."""
-    scorer = _LAST.get("scorer")
-    if scorer is None or scorer.models is not models:
-        scorer = _LAST["scorer"] = Scorer(models)
-    return scorer
+    """The worker's scorer of these models."""
+    return held("language", lambda s: s.models is models, lambda: Scorer(models))
 
 
 def identify(docs: DataFrame, models: Models | None, text_col: str = "text") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import portions, table
+from tracewright.llm.common import held, portions, table
 
 SPACE = "▁"
 MEMO_UNITS = 250_000
@@ -52,6 +52,7 @@ class Pieces:
     def __init__(self, path: str):
         import sentencepiece
 
+        self.path = path
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         self.vocabulary: dict[str, tuple[int, float]] = {}
         self.byte_ids, self.raw = [0] * 256, []
@@ -302,13 +303,9 @@ class Pieces:
         return text[1:] if text.startswith(" ") else text
 
 
-_MODELS: dict[str, Pieces] = {}
-
-
 def pieces(path: str) -> Pieces:
-    if path not in _MODELS:
-        _MODELS[path] = Pieces(path)
-    return _MODELS[path]
+    """The worker's model of this file."""
+    return held("pieces", lambda m: m.path == path, lambda: Pieces(path))
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import fresh_path, table
+from tracewright.llm.common import fresh_path, held, table
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
@@ -53,7 +53,7 @@ class WordEncoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path, self.tokenizer = path, Tokenizer.from_file(path)
         chooser = np.random.default_rng(9)
         self.tables = [chooser.integers(0, 1 << 64, MAX_BYTES * 256, dtype=np.uint64) for _ in range(2)]
         #: Known words in two levels, a large and a recent one: sorted keys, checks, and where each word's ids begin and how many it has.
@@ -162,13 +162,9 @@ class WordEncoder:
         return out, np.diff(before[np.searchsorted(starts, np.concatenate([[0], ends_of_texts]))])
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder of this tokenizer."""
+    return held("tokens", lambda e: e.path == path, lambda: WordEncoder(path))
 
 
 def _chunks(texts: pa.Array, most_bytes: int = 3 << 19):
