@@ -3,7 +3,8 @@
 Base spans come from three patterns. The battery looks at every other run of key characters: it infers the run's encoding, then
 tests its symbols by chi-squared uniformity, a runs test and lag-1 serial correlation. The battery's score of a run is
 compared with the scores of ordinary, structured strings of the same encoding and length (words, identifiers, counters, dates),
-which gives the p-value of "ordinary". Within a document a weighted Benjamini-Hochberg step, with weights that grow with the
+which gives the p-value of "ordinary"; over the highest scores a fitted tail gives it, so that it can be as small as documents with
+many runs ask. Within a document a weighted Benjamini-Hochberg step, with weights that grow with the
 run's length in bits, decides which runs are reported as kind `random`.
 
 Defined results: null text is empty and has no spans; texts of any length are scanned whole; repeated rows give the same result
@@ -32,6 +33,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
+#: Ordinary strings of each encoding and length, and how many of the highest scores the tail is fitted to.
+NULL_SIZE, TAIL_SIZE = 10_000, 100
 MIN_BITS = 80
 
 ALPHABETS = (
@@ -130,17 +133,41 @@ def _ordinary(chooser: random.Random, length: int, chars: frozenset, name: str)
             out += (word * 2 + str(chooser.randrange(1000)))[: chooser.randrange(3, 9)] * 2
     out = out.upper() if upper else out.lower() if name in ("hex", "base36") else out
     out = "".join(c for c in out if c in chars)
-    return (out * (length // max(1, len(out)) + 1))[:length] if out else "0" * length
+    return (out * (length // max(1, len(out)) + 1))[:length] if out else min(chars) * length
 
 
 @lru_cache(maxsize=None)
-def _null_scores(name: str, length: int, size: int = 2000) -> tuple[float, ...]:
+def _null_scores(name: str, length: int, size: int = NULL_SIZE) -> tuple[float, ...]:
     """Sorted battery scores of ordinary strings: the reference distribution of one encoding and length, from a fixed seed."""
     _, chars, value = next(x for x in _SETS if x[0] == name)
     chooser = random.Random(f"{name}:{length}")
     return tuple(sorted(randomness(_ordinary(chooser, length, chars, name), value) for _ in range(size)))
 
 
+@lru_cache(maxsize=None)
+def _null_tail(name: str, length: int) -> tuple[bool, float, float, float]:
+    """Whether the null's tail is fitted to logarithms of scores; its threshold, scale and shape.
+
+    A generalized Pareto tail by probability-weighted moments. A shape under 0, which would end the scores at some value, counts as 0:
+    p-values get larger by it and never 0. Tails far too heavy for moments (some long runs) get a power law (Hill)."""
+    top = _null_scores(name, length)[-TAIL_SIZE - 1 :]
+    over = [x - top[0] for x in top[1:]]
+    mean = sum(over) / TAIL_SIZE
+    weighted = sum(x * (TAIL_SIZE - 1 - i) for i, x in enumerate(over)) / (TAIL_SIZE * (TAIL_SIZE - 1))
+    shape = max(0.0, 2 - mean / (mean - 2 * weighted)) if mean > 2 * weighted else 0.0
+    if shape <= 0.85:
+        return False, top[0], max(mean * (1 - shape), 1e-9), shape
+    logs = [math.log(max(x, 1e-300)) for x in top]
+    return True, logs[0], sum(x - logs[0] for x in logs) / TAIL_SIZE, 0.0
+
+
+def _tail_p(name: str, length: int, score: float) -> float:
+    """p-value of a score over the threshold of the tail."""
+    logs, start, scale, shape = _null_tail(name, length)
+    x = ((math.log(score) if logs else score) - start) / scale
+    return TAIL_SIZE / (1 + NULL_SIZE) * ((1 + shape * x) ** (-1 / shape) if shape > 1e-6 else math.exp(-x))
+
+
 def ordinary_p(run: str) -> tuple[float, float] | None:
     """(p-value that an ordinary string of this encoding and length scores as random, bits of the run); None: not a candidate."""
     found = infer_encoding(run)
@@ -153,6 +180,8 @@ def ordinary_p(run: str) -> tuple[float, float] | None:
         return None
     length = max(x for x in LENGTHS if x <= max(16, len(body)))
     null, score = _null_scores(name, length), randomness(run, value)
+    if score > null[-TAIL_SIZE - 1]:
+        return _tail_p(name, length, score), bits
     low, high = 0, len(null)
     while low < high:
         mid = (low + high) // 2
