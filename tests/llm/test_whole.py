@@ -2,7 +2,9 @@
 
 import random
 
-from tracewright.llm import secrets
+import pytest
+
+from tracewright.llm import html_text, secrets
 
 BASE62 = dict(secrets.ALPHABETS)["base62"]
 
@@ -23,3 +25,40 @@ def test_secret_among_hundreds_of_runs():
         found += key in got
         wrong += sum(g != key for g in got)
     assert found >= 40 and wrong <= 3
+
+
+def texts(page: str) -> list[str]:
+    return [v.text for v in html_text.nodes_of(html_text.parse(page)) if v.text is not None]
+
+
+BODY = "<article><p>The road was long.</p><p>And old.</p></article>"
+WANT = ["The road was long.", "And old."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>x</title><meta charset=a><body>{BODY}",
+        f"<html><head><title>x</title><style>p {{}}</style><script>if (a</b) c</script>{BODY}</html>",
+        f'<svg class="a" />{BODY}<svg><text>no</text></svg>',
+        f"<math/>{BODY}",
+        *[f"<{tag}>{BODY}" for tag in "noscript template select option iframe svg math object button".split()],
+        f"<button>{BODY}<button>no</button>",
+        f"<object data=a>{BODY}<object>no</object>",
+        f"<svg><svg>no</svg><text>no</text></svg>{BODY}",
+        f"<select><option>no<option>no</select>{BODY}",
+        f"<noscript><p>no <button>no</noscript>{BODY}<button>no</button>",
+        f"<title-bar></title-bar><button-row></button-row>{BODY}",
+    ],
+)
+def test_page_with_missing_end_tags(page):
+    assert texts(page) == WANT
+
+
+@pytest.mark.parametrize("tag", ["script", "style", "textarea", "title"])
+def test_raw_text_runs_to_the_end(tag):
+    assert texts(f"{BODY}<{tag}><p>no</p>") == WANT
+
+
+def test_many_unclosed_elements():
+    assert texts("<button><svg><object>" * 50_000 + "</select>" * 50_000 + BODY) == WANT

@@ -11,7 +11,9 @@ The trees are fitted on made-up page layouts, filled with texts and with the lab
 elements renamed to plain ones. All pages are then extracted whole.
 
 Defined results: null and empty html give an empty text; character references are decoded once; white space in a block becomes one
-space; blocks come in page order, joined by a line feed; broken markup is parsed to the end; repeated rows give equal results.
+space; blocks come in page order, joined by a line feed; broken markup is parsed to the end: of an element that is left out but has no
+end tag only the tag goes, except that a script, style, text area or title runs to the end of the page, as in browsers; a head ends
+by itself, as its elements hold no text; repeated rows give equal results.
 """
 
 from __future__ import annotations
@@ -33,12 +35,14 @@ from tracewright.llm.common import portions, table
 SAMPLE_PAGES = 200
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|textarea|select|option|iframe|svg|math|title|object|button|head)\b[^>]*+>.*?(?:</\1\s*+>|\Z)"
+    r"|<(script|style|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
     r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>"
     r"|<(/?)([a-z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
+#: Elements whose content is left out if they have an end tag of their own. Scripts, styles, text areas and titles are single tokens.
+SKIP = frozenset("noscript template select option iframe svg math object button".split())
 HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TOKENS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -84,6 +88,26 @@ def _hints(attributes: str) -> tuple[int, int]:
     return off, on
 
 
+def _skipped(tokens: list[re.Match]) -> dict[int, int]:
+    """By the place of a SKIP element's start tag, the place of its own end tag; elements without one are missing."""
+    unclosed, count, ends = [], dict.fromkeys(SKIP, 0), {}
+    for i, m in enumerate(tokens):
+        name = (m[3] or m[6] or "").lower()
+        if name not in SKIP:
+            continue
+        if not (m[2] or m[5]):
+            if name not in ("svg", "math") or not (m[4] or m[7] or "").endswith("/"):
+                unclosed.append((name, i))
+                count[name] += 1
+        elif count[name]:
+            found = ""
+            while found != name:
+                found, at = unclosed.pop()
+                count[found] -= 1
+            ends[at] = i
+    return ends
+
+
 def parse(html: str) -> Node:
     """The block elements of a page as a tree; runs of inline text are leaves with text."""
     root = Node("html", None)
@@ -100,13 +124,18 @@ def parse(html: str) -> Node:
             run.clear()
         links = inline = 0
 
-    for m in TOKEN.finditer(html):
+    tokens, until = list(TOKEN.finditer(html)), -1
+    skipped = _skipped(tokens)
+    for i, m in enumerate(tokens):
+        if i <= until:
+            continue
         if m.start() > end:
             piece = html[end : m.start()]
             run.append(piece)
             if in_link:
                 links += len(piece)
-        end = m.end()
+        until = skipped.get(i, i)
+        end = tokens[until].end()
         name = m[3] or m[6]
         if not name:
             if m[1]:
