@@ -27,6 +27,34 @@ def test_secret_among_hundreds_of_runs():
     assert found >= 40 and wrong <= 3
 
 
+def random_spans(text: str) -> list[str]:
+    return [text[s:e] for k, s, e in secrets.scan(text) if k == "random"]
+
+
+@pytest.mark.parametrize("before, name, after, length", [("https://x.org/api/web-hooks/", "base64url", "", 43), ("/my-first_path/", "base62", "", 40), ("some-path-", "base64", "", 44), ("/web-hooks/", "base62", "/a_b", 40)])
+def test_secret_in_a_path(before, name, after, length):
+    chooser, found = random.Random(before), 0
+    for _ in range(40):
+        key = "".join(chooser.choice(dict(secrets.ALPHABETS)[name]) for _ in range(length))
+        text = f"see {before}{key}{after} now"
+        at = text.index(key)
+        found += any(s <= at and at + length <= e for _, s, e in secrets.scan(text))
+    assert found >= 28
+
+
+@pytest.mark.parametrize("length", [14, 16, 19])
+def test_short_secret(length):
+    chooser = random.Random(length)
+    keys = ["".join(chooser.choice(BASE62) for _ in range(length)) for _ in range(100)]
+    assert sum(random_spans(f"key is {k} ok") == [k] for k in keys) >= 40
+    assert sum(random_spans(f"see {''.join(chooser.choice('road house river'.split()) for _ in range(9))[: length - 4]}2024 now") != [] for _ in range(100)) <= 3
+
+
+def test_paths_are_no_secrets():
+    for t in ("https://x.org/some-path/to_some/page-2/of/3", "src/main-app/java_files/User2Name/index-1", "a-b/c_d/e-f/g_h/i-j/k_l/1-2/3_4"):
+        assert secrets.scan(t) == []
+
+
 def texts(page: str) -> list[str]:
     return [v.text for v in html_text.nodes_of(html_text.parse(page)) if v.text is not None]
 

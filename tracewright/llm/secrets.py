@@ -8,7 +8,8 @@ many runs ask. Within a document a weighted Benjamini-Hochberg step, with weight
 run's length in bits, decides which runs are reported as kind `random`.
 
 Defined results: null text is empty and has no spans; texts of any length are scanned whole; repeated rows give the same result
-each; positions are code points with exclusive ends; a run that overlaps a base span adds nothing.
+each; positions are code points with exclusive ends; a run that overlaps a base span adds nothing. A run with symbols of both base64
+and base64url (+ or / and - or _) is tested in its parts by the one and by the other; found parts can overlap.
 """
 
 from __future__ import annotations
@@ -29,13 +30,16 @@ ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-#: Every access key, hexadecimal run and battery candidate lies in such a run.
-RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "random")
 FDR = 0.01
 #: Ordinary strings of each encoding and length, and how many of the highest scores the tail is fitted to.
 NULL_SIZE, TAIL_SIZE = 10_000, 100
 MIN_BITS = 80
+#: Symbols that hold MIN_BITS in the largest alphabets. Every access key, hexadecimal run and battery candidate lies in such a run.
+SHORTEST = math.ceil(MIN_BITS / 6)
+RUN = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}")
+#: Parts of a run that has symbols of both base64 and base64url.
+PART = (re.compile(rf"[A-Za-z0-9+/]{{{SHORTEST},}}={{0,2}}"), re.compile(rf"[A-Za-z0-9_-]{{{SHORTEST},}}={{0,2}}"))
 
 ALPHABETS = (
     ("hex", "0123456789abcdef"),
@@ -48,7 +52,7 @@ ALPHABETS = (
     ("base64url", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_"),
 )
 _SETS = [(name, frozenset(chars), {c: i for i, c in enumerate(chars)}) for name, chars in ALPHABETS]
-LENGTHS = (16, 20, 24, 32, 40, 48, 64, 96, 128)
+LENGTHS = (14, 16, 20, 24, 32, 40, 48, 64, 96, 128)
 
 
 def infer_encoding(run: str) -> tuple[str, dict[str, int]] | None:
@@ -178,7 +182,7 @@ def ordinary_p(run: str) -> tuple[float, float] | None:
     bits = len(body) * math.log2(len(value))
     if bits < MIN_BITS:
         return None
-    length = max(x for x in LENGTHS if x <= max(16, len(body)))
+    length = max(x for x in LENGTHS if x <= max(LENGTHS[0], len(body)))
     null, score = _null_scores(name, length), randomness(run, value)
     if score > null[-TAIL_SIZE - 1]:
         return _tail_p(name, length, score), bits
@@ -201,6 +205,13 @@ def discoveries(tests: list[tuple[float, float]], level: float = FDR) -> list[bo
     return [i in kept for i in range(len(q))]
 
 
+def candidates(at: int, run: str) -> list[tuple[int, str]]:
+    """(start, run) of what the battery looks at: the run, or if no single alphabet can hold it its parts by base64 and by base64url."""
+    if not (set(run) & set("+/") and set(run) & set("-_")):
+        return [(at, run)]
+    return sorted({(at + m.start(), m[0]) for part in PART for m in part.finditer(run)})
+
+
 def scan(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a whole text as (kind, start, end), by start, then kind."""
     text = text or ""
@@ -212,11 +223,14 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     for at, run in runs:
         spans += [("access", at + m.start(), at + m.end()) for m in ACCESS.finditer(run)]
         spans += [("hex", at + m.start(), at + m.end()) for m in HEX.finditer(run)]
-    free = [(at, run) for at, run in runs if not any(s < at + len(run) and at < e for _, s, e in spans)]
+    free = [(at, x) for start, run in runs for at, x in candidates(start, run) if not any(s < at + len(x) and at < e for _, s, e in spans)]
     tested = [(at, run, t) for at, run in free if (t := ordinary_p(run))]
-    for (at, run, _), found in zip(tested, discoveries([t for _, _, t in tested]), strict=True):
-        if found:
-            spans.append(("random", at, at + len(run)))
+    kept = [(at, at + len(run)) for (at, run, _), found in zip(tested, discoveries([t for _, _, t in tested]), strict=True) if found]
+    end = -1
+    for start, stop in sorted(kept, key=lambda x: (x[0], -x[1])):  # a part inside another adds nothing
+        if stop > end:
+            spans.append(("random", start, stop))
+            end = stop
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
