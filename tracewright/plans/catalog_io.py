@@ -319,8 +319,8 @@ def q_sinks_stage(spark, sf_dir):
     return stage.select("service_name", "method", "prompt1")
 
 
-def _levels_stage(spark, sf_dir):
-    e = t(spark, sf_dir, "part").where("p_size <= 10")
+def _levels_stage(spark, sf_dir, which="true"):
+    e = t(spark, sf_dir, "part").where(which)
     code = F.concat(F.lit("void m() {\n    "), F.replace(F.col("p_type"), F.lit(" "), F.lit(".")), F.lit("();\n}"))
     rows = e.select(F.col("p_brand").alias("service_name"), F.lit("C").alias("class"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("()")).alias("method"), F.lit("NORMAL").alias("access control level"), F.lit(0).alias("depth"), F.col("p_partkey").alias("seq"), F.lit("t").alias("trace"), code.alias("java_code"), F.concat(F.lit('{"Sinks": [["'), "p_type", F.lit('"]]}')).alias("json_answer"))
     api = paths.collect_paths(rows.drop("json_answer")).join(rows.select("method", "json_answer"), "method")
@@ -329,7 +329,15 @@ def _levels_stage(spark, sf_dir):
 
 @query("q_levels_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part WHERE p_size <= 10")
 def q_levels_stage(spark, sf_dir):
-    r = _levels_stage(spark, sf_dir)["result"]
+    return _levels_known(_levels_stage(spark, sf_dir, "p_size <= 10")["result"])
+
+
+@query("q_levels_stage_all", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part")
+def q_levels_stage_all(spark, sf_dir):
+    return _levels_known(_levels_stage(spark, sf_dir)["result"])
+
+
+def _levels_known(r):
     known = F.col("access control level predicted").isin("NONE", "NORMAL", "DANGEROUS", "SYS_OR_SIG", "invalid")
     return r.agg(F.count("*").alias("rows"), F.bool_and(known).alias("known"))
 
