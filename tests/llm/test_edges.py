@@ -1,5 +1,7 @@
 """Empty tables, nulls, long and repeated texts, ties and clashing columns: defined results of every operator and stage."""
 
+import zlib
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -101,14 +103,21 @@ def test_pieces(docs, empty):
 
 
 def test_tokens(spark, docs, empty):
-    for rows, n in ((docs, len(ROWS)), (empty, 0)):
-        path = fresh_path(spark, "tokens")
-        token_files.write_tokens(rows, path, WORD_BPE)
-        got = token_files.digest(token_files.read_tokens(spark, path)).collect()
-        assert len(got) == n
-        ordered = sorted(got, key=lambda r: r.start)
-        assert [r.start for r in ordered] == np.concatenate([[0], np.cumsum([r.n_tokens for r in ordered])])[:-1].tolist() if n else True
-    assert sum(r.doc_id is None for r in ordered) == 0
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(docs, path, WORD_BPE)
+    got = sorted(token_files.digest(token_files.read_tokens(spark, path)).collect(), key=lambda r: r.start)
+    want = sorted(((r[0], r[1]) for r in ROWS), key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
+    ids = [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for _, t in want]
+    assert [r.doc_id for r in got] == [i for i, _ in want]
+    assert [r.n_tokens for r in got] == [len(x) for x in ids]
+    assert [r.start for r in got] == np.cumsum([0, *[len(x) for x in ids]])[:-1].tolist()
+    assert [r.ids_crc32 for r in got] == [zlib.crc32(np.array(x, dtype="<u4").tobytes()) for x in ids]
+    path = fresh_path(spark, "tokens")
+    token_files.write_tokens(empty, path, WORD_BPE)
+    assert token_files.digest(token_files.read_tokens(spark, path)).collect() == []
 
 
 def test_mix(docs, empty):

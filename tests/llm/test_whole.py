@@ -1,10 +1,14 @@
 """Whole jobs: cases that a cut in an operator would lose."""
 
+import glob
 import random
 
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
-from tracewright.llm import html_text, secrets
+from tracewright.llm import html_text, secrets, token_files
+from tracewright.llm.common import fresh_path
 
 BASE62 = dict(secrets.ALPHABETS)["base62"]
 
@@ -90,3 +94,55 @@ def test_raw_text_runs_to_the_end(tag):
 
 def test_many_unclosed_elements():
     assert texts("<button><svg><object>" * 50_000 + "</select>" * 50_000 + BODY) == WANT
+
+
+@pytest.fixture(scope="module")
+def token_set(spark):
+    """A token file set of 6,000 documents in one file, with small row groups."""
+    chooser, path = random.Random(4), fresh_path(spark, "token-files")
+    rows = [(3 * i, " ".join(chooser.choice(["road", "house", "hill", "old", "x1"]) + str(chooser.randrange(500)) for _ in range(chooser.randrange(200)))) for i in range(6000)]
+    token_files.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), path, public_tokenizers.path("word_bpe_49k.json"), files=1)
+    return path.removeprefix("file://")
+
+
+def test_token_file_layout(token_set):
+    (name,) = glob.glob(f"{token_set}/part-*.parquet")
+    f = pq.ParquetFile(name)
+    groups = [f.metadata.row_group(i) for i in range(f.metadata.num_row_groups)]
+    for g in groups:
+        columns = {g.column(i).path_in_schema: g.column(i) for i in range(g.num_columns)}
+        assert set(columns) == {"doc_id", "part", "local_start", "n_tokens", "tokens.list.element"}
+        for c in columns.values():
+            assert "DELTA_BINARY_PACKED" in c.encodings and not c.has_dictionary_page
+            assert c.has_offset_index and c.has_column_index
+        assert columns["doc_id"].statistics.has_min_max
+        assert g.total_byte_size <= 2 * token_files.ROW_GROUP_BYTES
+        assert columns["tokens.list.element"].total_uncompressed_size < 4 * columns["tokens.list.element"].num_values  # fewer bytes than plain ids
+    ids = [i for g in range(len(groups)) for i in f.read_row_group(g, columns=["doc_id"]).column(0).to_pylist()]
+    assert ids == sorted(ids) and len(ids) == 6000
+
+
+def test_selective_token_reads(spark, token_set):
+    wanted = [3, 9000, 17997, 4]
+    few = token_files.read_ids(spark, token_set, wanted)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(doc_id, [" in plan
+    whole = {r.doc_id: r for r in token_files.read_tokens(spark, token_set).collect()}
+    assert {r.doc_id: r.tokens for r in few.collect()} == {i: whole[i].tokens for i in wanted if i in whole}
+    counts = token_files.read_counts(spark, token_set)
+    assert "ReadSchema: struct<doc_id:bigint,n_tokens:bigint>" in counts._jdf.queryExecution().executedPlan().toString()
+    assert {r.doc_id: r.n_tokens for r in counts.collect()} == {i: len(r.tokens) for i, r in whole.items()}
+
+
+def test_known_words_are_bounded(monkeypatch):
+    monkeypatch.setattr(token_files, "KNOWN_SLOTS", 64)
+    e = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    chooser = random.Random(8)
+    for _ in range(20):
+        texts = [" ".join("".join(chooser.choice("abcdeé.") for _ in range(chooser.randrange(1, 40))) for _ in range(60)) for _ in range(5)]
+        ids, sizes = e.encode(texts)
+        at = 0
+        for t, n in zip(texts, sizes.tolist(), strict=True):
+            assert ids[at : at + n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+            at += n
+    assert e.keys.nbytes + e.checks.nbytes + e.sizes.nbytes + e.ids.nbytes <= 64 * (17 + 4 * token_files.KNOWN_IDS)

@@ -6,7 +6,8 @@ tokens (list of 32-bit ids). Ids and counts are delta encoded (DELTA_BINARY_PACK
 and pages are small and carry page indexes, so that a reader can fetch the id lists of a few documents or the counts alone.
 
 Defined results: null text is an empty text (only the end id); a null doc_id sorts first; repeated ids and rows are each
-written; an empty table gives an empty set; further columns are ignored.
+written, those of one id in order of their texts; texts of any length are written whole, and encoded in portions; an empty table gives an empty
+set; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -25,9 +26,11 @@ from tracewright.llm.common import fresh_path, held, table
 
 ROW_GROUP_BYTES = 8 << 20
 PAGE_BYTES = 64 << 10
-#: Different words whose ids one Python worker keeps (about 40 bytes each) and their most bytes.
-KNOWN_WORDS = 1_200_000
-RECENT_WORDS = 60_000
+#: A worker's known words: so many slots of so many ids each, 33 bytes a slot (35 MB; 51 MB if ids reach 65,536). It keeps
+#: nothing else that grows.
+KNOWN_SLOTS = 1 << 20
+KNOWN_IDS = 8
+WORDS_AT_ONCE = 10_000
 MAX_BYTES = 64
 LONG_BYTES = 2 << 20
 GAP = re.compile(rb"[ \t-\r]")
@@ -46,8 +49,9 @@ class WordEncoder:
     words alone as in a text. ASCII case is folded beforehand. A text that holds the opening of a special token's string is neither
     folded nor cut at marks. The words' ids come from the tokenizers library.
 
-    Words of up to MAX_BYTES bytes are told apart by two 64-bit tabulation hashes; each different word is encoded once a worker while
-    fewer than KNOWN_WORDS are known, longer and further ones each time.
+    Words of up to MAX_BYTES bytes are told apart by two 64-bit tabulation hashes. The ids of a word lie in the slot that its hash names until
+    another word takes the slot, so memory is fixed and a word that is not there costs time only. Longer words, and those of more than
+    KNOWN_IDS ids, are encoded anew in each slice of texts.
     """
 
     def __init__(self, path: str):
@@ -56,18 +60,26 @@ class WordEncoder:
         self.path, self.tokenizer = path, Tokenizer.from_file(path)
         chooser = np.random.default_rng(9)
         self.tables = [chooser.integers(0, 1 << 64, MAX_BYTES * 256, dtype=np.uint64) for _ in range(2)]
-        #: Known words in two levels, a large and a recent one: sorted keys, checks, and where each word's ids begin and how many it has.
-        self.levels = [self._level([], [], [], []) for _ in range(2)]
-        self.ids = np.zeros(0, dtype=np.uint32)
-
-    @staticmethod
-    def _level(keys, checks, begins, sizes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        return np.asarray(keys, dtype=np.uint64), np.asarray(checks, dtype=np.uint64), np.asarray(begins, dtype=np.int32), np.asarray(sizes, dtype=np.int32)
-
-    def _learn(self, level: int, *columns: np.ndarray) -> None:
-        joined = [np.concatenate(pair) for pair in zip(self.levels[level], columns, strict=True)]
-        order = np.argsort(joined[0])
-        self.levels[level] = self._level(*(c[order] for c in joined))
+        self.keys, self.checks = np.zeros(KNOWN_SLOTS, dtype=np.uint64), np.zeros(KNOWN_SLOTS, dtype=np.uint64)
+        self.sizes, self.ids = np.zeros(KNOWN_SLOTS, dtype=np.uint8), np.zeros((KNOWN_SLOTS, KNOWN_IDS), dtype=np.min_scalar_type(max(self.tokenizer.get_vocab().values())))
+
+    def _known(self, key: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Slot of each word, whether it lies there, how many ids it then has, and the ids of all such words in a row."""
+        slot = (key & np.uint64(KNOWN_SLOTS - 1)).astype(np.int64)
+        there = (self.sizes[slot] > 0) & (self.keys[slot] == key) & (self.checks[slot] == check)
+        sizes = np.where(there, self.sizes[slot], 0).astype(np.int64)
+        rows = self.ids[slot[there]]
+        return slot, there, sizes, rows[np.arange(KNOWN_IDS) < sizes[there][:, None]].astype(np.uint32)
+
+    def _learn(self, slot: np.ndarray, key: np.ndarray, check: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put words with their ids, given in a row, into their slots; of several words of one slot the first."""
+        begins = np.cumsum(sizes) - sizes
+        short = np.flatnonzero((sizes > 0) & (sizes <= KNOWN_IDS))
+        slot, first = np.unique(slot[short], return_index=True)
+        some = short[first]
+        self.keys[slot], self.checks[slot], self.sizes[slot] = key[some], check[some], sizes[some]
+        if len(some):
+            self.ids[slot] = ids[np.minimum(begins[some][:, None] + np.arange(KNOWN_IDS), len(ids) - 1)]
 
     def _ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words in a row, and how many each has."""
@@ -80,7 +92,7 @@ class WordEncoder:
         return ids, np.diff(np.searchsorted(at, begins, side="left"))
 
     def _fresh(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        parts = [self._ids_of(words[k : k + 20_000]) for k in range(0, len(words), 20_000)]
+        parts = [self._ids_of(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)]
         return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -123,20 +135,13 @@ class WordEncoder:
         key, check = (np.add.reduceat(t[cell], lead) for t in self.tables)
         del cell, place, inside
         different, sample, of = np.unique(key, return_index=True, return_inverse=True)
-        known = np.zeros(len(different), dtype=bool)
-        begins, sizes, store = np.zeros(len(different), dtype=np.int64), np.zeros(len(different), dtype=np.int64), [self.ids]
-        for keys, checks, its_begins, its_sizes in self.levels:
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
-                here = (keys[at] == different) & (checks[at] == check[sample])
-                begins[here], sizes[here] = its_begins[at[here]], its_sizes[at[here]]
-                known |= here
+        slot, known, sizes, ids = self._known(different, check[sample])
+        begins, store, total = np.cumsum(sizes) - sizes, [ids], len(ids)
         clash = check != check[sample][of]
         single = (lengths > MAX_BYTES) | clash  # encoded one by one, never kept
         kept = np.zeros(len(different), dtype=bool)
         kept[of[~single]] = True
         new = np.flatnonzero(~known & kept)
-        total = len(self.ids)
         word = lambda i: joined[starts[i] : starts[i] + lengths[i]]
         if len(new):
             spans = zip(starts[sample[new]].tolist(), lengths[sample[new]].tolist(), strict=True)
@@ -144,19 +149,14 @@ class WordEncoder:
             begins[new], sizes[new] = total + np.cumsum(counts) - counts, counts
             store.append(ids)
             total += len(ids)
+            self._learn(slot[new], different[new], check[sample[new]], ids, counts)
         word_begin, word_size = begins[of], sizes[of]
         for i in np.flatnonzero(single).tolist():
             ids, counts = self._ids_of([word(i)])
             word_begin[i], word_size[i] = total, counts[0]
             store.append(ids)
             total += len(ids)
-        everything = np.concatenate(store) if len(store) > 1 else self.ids
-        if len(new) and sum(len(x[0]) for x in self.levels) < KNOWN_WORDS:
-            self._learn(1, different[new], check[sample[new]], begins[new], sizes[new])
-            self.ids = everything[: len(self.ids) + len(store[1])]
-            if len(self.levels[1][0]) > RECENT_WORDS:
-                self._learn(0, *self.levels[1])
-                self.levels[1] = self._level([], [], [], [])
+        everything = np.concatenate(store)
         out = everything[np.repeat(word_begin - (np.cumsum(word_size) - word_size), word_size) + np.arange(int(word_size.sum()))]
         before = np.concatenate([[0], np.cumsum(word_size)])
         return out, np.diff(before[np.searchsorted(starts, np.concatenate([[0], ends_of_texts]))])
@@ -211,6 +211,16 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(TOKEN_FILE_SCHEMA).parquet(path)
 
 
+def read_ids(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+    """The rows of a few documents. The ids go down to the scan, which reads only row groups and pages whose ranges can hold them."""
+    return read_tokens(spark, path).where(F.col("doc_id").isin(*doc_ids))
+
+
+def read_counts(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id and n_tokens of every document; the pages of the id lists stay unread."""
+    return read_tokens(spark, path).select("doc_id", "n_tokens")
+
+
 def part_starts(files: DataFrame) -> DataFrame:
     """part, base: ids in all ranges before it. Reads the count columns only; one row per file."""
     totals = files.groupBy("part").agg(F.min("doc_id").alias("first_id"), F.sum("n_tokens").alias("total"))
