@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tracewright.llm import collision, html_text, language_id, mixing, multi_index, pieces, private_data, secrets, simhash, token_files
+from tracewright.llm import collision, html_text, language_id, mixing, multi_index, pieces, private_data, secrets, simhash, token_files, vector_units
 from tracewright.llm.common import fresh_path
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, size int, `row` string, rejected string, place int, spans string"
@@ -131,19 +131,65 @@ def test_mix(docs, empty):
 
 
 def test_vectors(spark):
-    rows = [(i, [float(i % 5), 1.0, -2.0]) for i in range(120)] + [(200, None), (300, [0.0, 0.0, 0.0]), (400, [float("nan"), 1.0, 1.0]), (500, [None, 1.0, 1.0]), (600, [float("inf"), 1.0, 1.0]), (700, []), (None, [1.0, 1.0, 1.0]), (800, [1.0, 2.0]), (0, [0.0, 1.0, -2.0])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x")).withColumn("score", F.lit(1)).withColumn("dim", F.lit(7))
+    rows = [(i, [float(i % 5), 1.0, -2.0]) for i in range(120)] + [(200, None), (300, [0.0, 0.0, 0.0]), (400, [float("nan"), 1.0, 1.0]), (500, [None, 1.0, 1.0]), (600, [float("inf"), 1.0, 1.0]), (700, []), (None, [1.0, 1.0, 1.0]), (800, [1.0, 2.0]), (0, [0.0, 1.0, -2.0]), (50, [-3.0, 3.0, 3.0]), (900, [1e-200, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit(1)).withColumn("dim", F.lit(7)).withColumn("data", F.lit(7)).withColumn("shard", F.lit("s")).withColumn("asks", F.lit(1))
     none = df.limit(0)
-    near = collision.nearest_by_cosine(df, F.col("vec_id") % 50 == 0).collect()
-    assert {r.query_id for r in near} == {0, 50, 100}
-    assert [r.vec_id for r in sorted(near, key=lambda r: r["rank"]) if r.query_id == 50][:5] == [0, 0, 5, 10, 15]
+    near = sorted(collision.nearest_by_cosine(df, F.col("vec_id") % 50 == 0).collect(), key=lambda r: (r.query_id, r["rank"]))
+    assert [(r.query_id, r["rank"]) for r in near] == [(q, k) for q in (0, 50, 100) for k in range(1, 6)]
+    by = {q: [r.vec_id for r in near if r.query_id == q] for q in (0, 50, 100)}
+    assert by[0] == [5, 10, 15, 20, 25] and by[100] == [0, 0, 5, 10, 15]
+    assert by[50] == [0, 0, 5, 10, 15]  # the first row of id 50 in byte order is the query
     assert all(r.score <= 1.0 + 1e-12 and r.vec_id != r.query_id for r in near)
-    exact = multi_index.top_k(df, F.col("vec_id") % 100 == 0, 3).collect()
-    assert [r.vec_id for r in sorted(exact, key=lambda r: r["rank"]) if r.query_id == 100] == [0, 0, 5]
-    assert {r.query_id for r in exact} == {0, 100, 300}
+    exact = sorted(multi_index.top_k(df, F.col("vec_id") % 50 == 0, 3).collect(), key=lambda r: (r.query_id, r["rank"]))
+    assert [(r.query_id, r["rank"]) for r in exact] == [(q, k) for q in (0, 50, 100, 300, 900) for k in range(1, 4)]
+    assert [r.vec_id for r in exact if r.query_id == 100] == [0, 0, 5] and [r.vec_id for r in exact if r.query_id == 0] == [5, 10, 15]
     assert collision.nearest_by_cosine(none, F.col("vec_id") % 50 == 0).collect() == [] and multi_index.top_k(none, F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_repeated_ids_against_sql(spark, tmp_path):
+    """The oracle's answer where ids repeat with other vectors and other sizes, and some vectors take no part."""
+    duckdb = pytest.importorskip("duckdb")
+    chooser = np.random.default_rng(3)
+    rows = [(int(i), [float(x) for x in chooser.standard_normal(6 if i % 3 else 9)]) for i in chooser.integers(0, 900, 700)]
+    rows += [(100 * k, [float(x) for x in chooser.standard_normal(6)]) for k in range(9)] * 2 + [(0, None), (100, []), (200, [float("nan")] * 6), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = multi_index.top_k(df, F.col("vec_id") % 100 == 0).collect()
+    assert sorted(map(tuple, got)) == sorted(c.sql(multi_index.OP1_SQL).fetchall())
+
+
+def test_many_shards_and_lanes(spark, monkeypatch):
+    """Units that span Arrow batches, several to a task, give what one unit gives."""
+    chooser = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in chooser.standard_normal(8 if i % 4 else 5)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    is_query = F.col("vec_id") % 10 == 0
+    whole = [sorted(map(tuple, f(df, is_query, 4).collect())) for f in (multi_index.top_k, collision.nearest_by_cosine)]
+    for module in (multi_index, collision):
+        monkeypatch.setattr(module, "shards_for", lambda *a: 7)
+        monkeypatch.setattr(module, "lanes_for", lambda *a: 3)
+    monkeypatch.setattr(vector_units, "UNITS", 5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "6")
+    try:
+        parts = [f(df, is_query, 4) for f in (multi_index.top_k, collision.nearest_by_cosine)]
+        assert all("Join" not in p._jdf.queryExecution().executedPlan().toString() for p in parts)
+        parts = [sorted(map(tuple, p.collect())) for p in parts]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert parts[0] == whole[0]
+    same = len({r[::2] for r in parts[1]} & {r[::2] for r in whole[1]}) / len(whole[1])
+    assert len(parts[1]) == len(whole[1]) and same >= 0.9
+
+
+def test_units_share_no_key(spark):
+    rows = spark.range(300).select(F.col("id").alias("vec_id"), F.lit(2).alias("dim"), F.lit(b"x").alias("data"))
+    found = vector_units.units(rows, rows.where("vec_id % 3 = 0"), 5, 4).groupBy("shard", "lane").agg(F.count_if(F.expr("asks = 0")).alias("rows"), F.count_if(F.expr("asks = 1")).alias("queries")).collect()
+    assert len(found) == 20 and sum(r["rows"] for r in found) == 300 * 4 and sum(r["queries"] for r in found) == 100 * 5
+    assert max(r["rows"] for r in found) < 100 and max(r["queries"] for r in found) < 50
+
+
 def test_pages(spark):
     body = "<html><body><nav><a href='/a'>Home</a></nav><article><h1>Old &amp; new</h1><p>The road, it was said, was long.\n And old.</p></article><footer>&copy; us</footer></body></html>"
     rows = [(1, "u", body, 1), (1, "u", body, 1), (2, None, None, 2), (3, "u", "", 3), (None, "u", "<p>" + "long text, truly. " * 20_000, 4), (4, "u", "<div" * 500 + "<p>" * 500, 5)]

@@ -3,11 +3,12 @@
 import glob
 import random
 
+import numpy as np
 import public_tokenizers
 import pyarrow.parquet as pq
 import pytest
 
-from tracewright.llm import html_text, secrets, token_files
+from tracewright.llm import collision, html_text, secrets, token_files
 from tracewright.llm.common import fresh_path
 
 BASE62 = dict(secrets.ALPHABETS)["base62"]
@@ -146,3 +147,19 @@ def test_known_words_are_bounded(monkeypatch):
             assert ids[at : at + n].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
             at += n
     assert e.keys.nbytes + e.checks.nbytes + e.sizes.nbytes + e.ids.nbytes <= 64 * (17 + 4 * token_files.KNOWN_IDS)
+
+
+@pytest.mark.parametrize("kind, most", [("clustered", 0.02), ("uniform", 0.4)])
+def test_collision_counting_prunes(kind, most):
+    """Recall against brute force, and the share of all vectors that a search verifies (measured: 0.98 at 0.003, 1.00 at 0.24)."""
+    chooser = np.random.default_rng(0)
+    n = 10_000
+    v = chooser.standard_normal((100, 64))[chooser.integers(0, 100, n)] + 0.35 * chooser.standard_normal((n, 64)) if kind == "clustered" else chooser.standard_normal((n, 64))
+    ids, unit = np.arange(n), v / np.sqrt((v * v).sum(axis=1))[:, None]
+    asked = chooser.integers(0, n, 60)
+    index, hits = collision.CollisionIndex(ids, v), 0
+    for q, (got, _) in zip(asked, index.search_all(v[asked], ids[asked], 5), strict=True):
+        s = unit @ unit[q]
+        s[q] = -2
+        hits += len(set(got.tolist()) & set(np.argsort(-s, kind="stable")[:5].tolist()))
+    assert hits / 300 >= 0.95 and index.verified / (60 * n) <= most

@@ -1,41 +1,42 @@
 """Approximate nearest neighbours by collision-counting hashing (operator 2).
 
-Vectors are scaled to length 1 and projected on `projections` random directions; each direction's values form a sorted array. A query
-opens a window around its own value in every array and widens all windows together (virtual rehashing). A vector that lies in the
-windows of at least `share` of the directions is verified by its cosine in double precision. A vector at distance D lies in a
+Vectors are scaled to length 1 and projected on PROJECTIONS random directions; each direction's values form a sorted array. A query
+opens a narrow window around its own value in every array and widens all windows together (virtual rehashing). A vector that lies in the
+windows of at least SHARE of the directions is verified by its cosine in double precision. A vector at distance D lies in a
 window of half-width w with probability erf(w / (D sqrt 2)); the search ends when a vector at the distance of the kth verified one
-would be over the threshold with `surety` standard deviations to spare, or when the windows hold everything.
+would be over the threshold with SURETY standard deviations to spare, or when the windows hold everything.
 
 Arrays are built per shard (vector_units), so that all rows are indexed and no task grows with the data; each shard's k best are
 merged by cosine. The directions follow from the number of components alone, so reruns agree.
 
-Defined results: vectors that are null, zero, or hold null or non-finite components take no part; a query is never its own
-candidate; ties go to the smaller id; fewer than k candidates give fewer rows; vectors are only compared with those of the same number
-of components; an empty table gives no rows.
+Defined results: vectors that are null, zero (or so small that their squares are), or hold null or non-finite components take no part; of
+several rows of one query id, the least by components in their byte order is the query, and each row is a candidate of the other ids' queries; a query is
+never its own candidate, other rows with its id neither; ties go to the smaller id; fewer than k candidates give fewer rows; vectors are
+only compared with those of the same number of components; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import bisect
 import math
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, table
 from tracewright.llm.multi_index import valid
-from tracewright.llm.vector_units import QUERIES_PER_BLOCK, ids_of, nearest, shards_for, units
+from tracewright.llm.vector_units import lanes_for, nearest, one_per_id, searched, shards_for, units
 
-ROWS_PER_SHARD = 1 << 15
-PROJECTIONS = 64
-SHARE = 0.6
-SURETY = 2.0
-WIDEN = 1.2
-#: Distance whose windows a search opens first.
-FIRST = 1.15
+PROJECTIONS = 128
+SHARE = 0.75
+SURETY = 1.3
+#: Distance whose windows a search opens first, and the factor by which they widen.
+FIRST, WIDEN = 0.2, 1.08
+#: Steps of that size taken at once before k vectors are verified; from then on the search goes half the way to the width that would end it.
+UNPROVEN = 3
+WINDOWS_AT_ONCE = 256
 
 
 def directions(dim: int, projections: int) -> np.ndarray:
@@ -43,71 +44,82 @@ def directions(dim: int, projections: int) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projections of one shard's vectors."""
+    """Sorted projections of one shard's vectors. verified: how many vectors all searches so far have verified."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projections: int = PROJECTIONS, share: float = SHARE, surety: float = SURETY):
-        self.ids, self.vectors, self.surety = ids, vectors, surety
+        self.ids, self.vectors, self.verified = ids, vectors, 0
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.m, self.threshold = projections, math.ceil(share * projections)
         self.directions = directions(vectors.shape[1], projections)
-        values = ((vectors / self.norms[:, None]) @ self.directions).T
-        self.order = np.argsort(values, axis=1, kind="stable").astype(np.int32)
-        self.values = np.take_along_axis(values, self.order.astype(np.int64), axis=1)
-
-    @lru_cache(maxsize=8)  # noqa: B019
-    def width_for(self, distance: float) -> float:
-        """Half-width of windows that a vector at this distance passes the threshold of, with the wanted surety."""
+        self.factor = self._factor(surety)
+        steps = math.ceil(math.log(2 / FIRST) / math.log(WIDEN))
+        #: Half-widths of the windows, narrow to wide; the last ones hold everything.
+        self.widths = [*(self.factor * FIRST * WIDEN**i for i in range(steps + 1)), math.inf]
+        at = vectors @ self.directions
+        at /= self.norms[:, None]
+        self.order = np.empty((projections, len(ids)), dtype=np.int32)
+        self.values = np.empty((projections, len(ids)))
+        for i in range(projections):
+            self.order[i] = np.argsort(at[:, i], kind="stable")
+            self.values[i] = at[self.order[i], i]
+
+    def _factor(self, surety: float) -> float:
+        """Half-width of windows, as a multiple of a distance, that a vector at this distance passes the threshold of with the wanted surety."""
         low, high = 0.0, 8.0
-        for _ in range(30):
+        for _ in range(40):
             x = (low + high) / 2
             p = math.erf(x / math.sqrt(2))
-            if self.m * p - self.surety * math.sqrt(self.m * p * (1 - p)) >= self.threshold:
+            if self.m * p - surety * math.sqrt(self.m * p * (1 - p)) >= self.threshold:
                 high = x
             else:
                 low = x
-        return high * distance
+        return high
 
     def search_all(self, vectors: np.ndarray, own: np.ndarray, k: int):
-        """search() for each query; the first windows of all queries are looked up together."""
-        at = (vectors / np.sqrt((vectors * vectors).sum(axis=1))[:, None]) @ self.directions
-        width = self.width_for(1.0) * FIRST
-        low = np.stack([np.searchsorted(self.values[i], at[:, i] - width) for i in range(self.m)], axis=1)
-        high = np.stack([np.searchsorted(self.values[i], at[:, i] + width, side="right") for i in range(self.m)], axis=1)
-        for q in range(len(vectors)):
-            yield self.search(vectors[q], int(own[q]), k, at[q], width, low[q].tolist(), high[q].tolist())
-
-    def search(self, vector: np.ndarray, own: int, k: int, at: np.ndarray, width: float, lows: list[int], highs: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of up to k nearest verified vectors, nearest first. lows, highs: the first windows, of half-width width."""
-        n, m = len(self.ids), self.m
-        norm = np.sqrt((vector * vector).sum())
+        """Ids and cosines of up to k nearest verified vectors of each query, nearest first; the windows of some queries are looked up together."""
+        norms = np.sqrt((vectors * vectors).sum(axis=1))
+        at = (vectors @ self.directions) / norms[:, None]
+        for begin in range(0, len(vectors), WINDOWS_AT_ONCE):
+            some = at[begin : begin + WINDOWS_AT_ONCE]
+            edges = np.empty((len(self.widths), 2, self.m, len(some)), dtype=np.int32)
+            for j, width in enumerate(self.widths):
+                for i in range(self.m):
+                    edges[j, 0, i] = np.searchsorted(self.values[i], some[:, i] - width)
+                    edges[j, 1, i] = np.searchsorted(self.values[i], some[:, i] + width, side="right")
+            for q in range(len(some)):
+                yield self._search(vectors[begin + q], norms[begin + q], int(own[begin + q]), k, edges[:, :, :, q])
+
+    def _search(self, vector: np.ndarray, norm: float, own: int, k: int, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         done = self.ids == own
         rows, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        factor = self.width_for(1.0)
-        left, right = lows, highs
-        counts = np.bincount(np.concatenate([self.order[i, left[i] : right[i]] for i in range(m)]), minlength=n)
+        counts = np.zeros(len(self.ids), dtype=np.int64)
+        left, right, j, last = [], [], 0, len(self.widths) - 1
         while True:
+            low, high = edges[j, 0].tolist(), edges[j, 1].tolist()
+            if left:
+                new = [o[x:y] for o, x, y in zip(self.order, low, left, strict=True)] + [o[x:y] for o, x, y in zip(self.order, right, high, strict=True)]
+            else:
+                new = [o[x:y] for o, x, y in zip(self.order, low, high, strict=True)]
+            left, right = low, high
+            counts += np.bincount(np.concatenate(new), minlength=len(counts))
             fresh = np.flatnonzero((counts >= self.threshold) & ~done)
             if len(fresh):
                 done[fresh] = True
+                self.verified += len(fresh)
                 cosine = (self.vectors[fresh] * vector).sum(axis=1) / (self.norms[fresh] * norm)
                 rows, scores = np.concatenate([rows, fresh]), np.concatenate([scores, cosine])
-                if len(rows) > k:
-                    kept = np.lexsort((self.ids[rows], -scores))[:k]
-                    rows, scores = rows[kept], scores[kept]
-            if len(rows) >= k and width >= factor * math.sqrt(max(0.0, 2 - 2 * scores.min())):
-                break
-            if max(left) == 0 and min(right) == n:
+                kept = np.lexsort((self.ids[rows], -scores))[:k]
+                rows, scores = rows[kept], scores[kept]
+            if len(rows) < k:
+                if j == last:
+                    break
+                j = min(j + UNPROVEN, last)
+                continue
+            enough = bisect.bisect_left(self.widths, self.factor * math.sqrt(max(0.0, 2 - 2 * scores[-1])))
+            if j >= enough:
                 break
-            aim = factor * math.sqrt(max(0.0, 2 - 2 * scores.min())) if len(rows) >= k else 0.0
-            width = max(width * WIDEN, min(aim, width * WIDEN * WIDEN))
-            new = []
-            for i in range(m):
-                low, high = np.searchsorted(self.values[i], (at[i] - width, at[i] + width)).tolist()
-                new += [self.order[i, low : left[i]], self.order[i, right[i] : high]]
-                left[i], right[i] = min(low, left[i]), max(high, right[i])
-            counts += np.bincount(np.concatenate(new), minlength=n)
-        kept = np.lexsort((self.ids[rows], -scores))[:k]
-        return self.ids[rows[kept]], scores[kept]
+            j += max(1, (enough - j) // 2)
+        return self.ids[rows], scores
 
 
 def vector_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -123,29 +135,25 @@ def vector_rows(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lengths, pa.int32()), pa.array([view[x:y] for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())], names=["vec_id", "dim", "data"])
 
     v = F.col(vector_col).cast("array<double>")
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(valid(F.col("v")) & F.exists("v", lambda x: x != 0) & F.col("vec_id").isNotNull())
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v")).where(valid(F.col("v")) & F.exists("v", lambda x: x * x > 0) & F.col("vec_id").isNotNull())
     return rows.mapInArrow(raw, "vec_id long, dim int, data binary")
 
 
 def nearest_by_cosine(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: up to k near rows of each row for which is_query (a column over vec_id) holds, by cosine."""
+    """query_id, rank, vec_id, score: up to k near rows of each id for which is_query (a column over vec_id) holds, by cosine."""
     rows = cut(vector_rows(vectors, id_col, vector_col))
-    counts = rows.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = shards_for(counts["n"], ROWS_PER_SHARD, 4096, 12), max(1, math.ceil(counts["q"] / QUERIES_PER_BLOCK))
-
-    def searched(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                index = CollisionIndex(ids_of(row.shard_ids), np.frombuffer(row.shard_data, dtype="<f8").reshape(-1, row.dim))
-                out: list = [[], [], []]
-                owners = ids_of(row.block_ids)
-                for own, (ids, score) in zip(owners.tolist(), index.search_all(np.frombuffer(row.block_data, dtype="<f8").reshape(-1, row.dim), owners, k), strict=True):
-                    out[0].append(np.full(len(ids), own, dtype=np.int64))
-                    out[1].append(ids)
-                    out[2].append(score)
-                yield pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
-
-    found = units(rows, rows.where(is_query), shards, blocks).mapInPandas(searched, "query_id long, vec_id long, score double")
+    queries = cut(one_per_id(rows.where(is_query)))
+    size = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_for(size["n"], 8 * (size["dim"] or 1) + 12 * PROJECTIONS, 4096, 12)
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+
+    def answers(index, owners, data):
+        found = list(zip(owners.tolist(), index.search_all(data, owners, k), strict=True))
+        columns = np.repeat(owners, [len(ids) for _, (ids, _) in found]), np.concatenate([f[0] for _, f in found]), np.concatenate([f[1] for _, f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kind)
+
+    found = units(rows, queries, shards, lanes_for(queries.count(), shards, tasks)).mapInArrow(lambda batches: searched(batches, "<f8", CollisionIndex, answers), "query_id long, vec_id long, score double")
     return nearest(found, k, [F.col("score").desc(), F.col("vec_id")]).select("query_id", "rank", "vec_id", "score")
 
 

@@ -9,24 +9,23 @@ Codes of vectors are their components' signs (1 above zero); vectors of over 64
 directions. The index is built per shard (vector_units), each shard answers exactly, and the shards' answers are merged.
 
 Defined results: null vectors, and those with null or non-finite components or none at all, take no part; ties go to the smaller
-id; a query is never its own candidate, other rows with its id neither; fewer than k candidates give fewer rows; vectors are only
-compared with those of the same number of components; an empty table gives no rows.
+id; of several rows of one query id the one with the fewest components, then the least code, is the query, and each row is a candidate of the other
+ids' queries; a query is never its own candidate, other rows with its id neither; fewer than k candidates give fewer rows; vectors are only
+compared with those of the same number of components; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import cut, table
-from tracewright.llm.vector_units import QUERIES_PER_BLOCK, ids_of, nearest, shards_for, units
+from tracewright.llm.vector_units import lanes_for, nearest, one_per_id, searched, shards_for, units
 
-ROWS_PER_SHARD = 1 << 16
+#: Code, id, mark and places in up to 8 segments of a row in a shard.
+ROW_BYTES = 96
 
 
 def valid(vector) -> object:
@@ -111,24 +110,20 @@ class MultiIndex:
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, distance: the k rows of least Hamming distance to each row for which is_query (a column over vec_id) holds."""
+    """query_id, rank, vec_id, distance: the k rows of least Hamming distance to each id for which is_query (a column over vec_id) holds."""
     codes = cut(binary_codes(vectors, id_col, vector_col))
-    counts = codes.agg(F.count("*").alias("n"), F.count_if(is_query).alias("q")).first()
-    shards, blocks = shards_for(counts["n"], ROWS_PER_SHARD, 512, 32), max(1, math.ceil(counts["q"] / QUERIES_PER_BLOCK))
-
-    def searched(frames):
-        for pdf in frames:
-            for row in pdf.itertuples(index=False):
-                index = MultiIndex(ids_of(row.shard_ids), np.frombuffer(row.shard_data, dtype=">u8").astype(np.uint64))
-                out: list = [[], [], []]
-                for own, code in zip(ids_of(row.block_ids).tolist(), np.frombuffer(row.block_data, dtype=">u8").astype(np.uint64), strict=True):
-                    ids, d = index.search(code, own, k)
-                    out[0].append(np.full(len(ids), own, dtype=np.int64))
-                    out[1].append(ids)
-                    out[2].append(d)
-                yield pd.DataFrame({c: np.concatenate(v).astype(np.int64) for c, v in zip(("query_id", "vec_id", "distance"), out, strict=True)})
-
-    found = units(codes, codes.where(is_query), shards, blocks).mapInPandas(searched, "query_id long, vec_id long, distance long")
+    queries = cut(one_per_id(codes.where(is_query)))
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards_for(codes.count(), ROW_BYTES, 512, 32)
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.int64())])
+
+    def answers(index, owners, data):
+        found = [index.search(code, own, k) for own, code in zip(owners.tolist(), data[:, 0].astype(np.uint64), strict=True)]
+        columns = np.repeat(owners, [len(ids) for ids, _ in found]), np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=kind)
+
+    build = lambda ids, data: MultiIndex(ids, data[:, 0].astype(np.uint64))
+    found = units(codes, queries, shards, lanes_for(queries.count(), shards, tasks)).mapInArrow(lambda batches: searched(batches, ">u8", build, answers), "query_id long, vec_id long, distance long")
     return nearest(found, k, [F.col("distance"), F.col("vec_id")]).select("query_id", "rank", "vec_id", "distance")
 
 
@@ -142,10 +137,13 @@ WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), queries AS (
+  SELECT vec_id, bits FROM v WHERE vec_id % 100 = 0
+  QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY len(bits), bits) = 1
 ), pairs AS (
   SELECT q.vec_id AS query_id, c.vec_id,
     CAST(len(list_filter(list_zip(q.bits, c.bits), lambda z: z[1] <> z[2])) AS BIGINT) AS distance
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.bits) = len(c.bits) WHERE q.vec_id % 100 = 0
+  FROM queries q JOIN v c ON q.vec_id <> c.vec_id AND len(q.bits) = len(c.bits)
 ), ranked AS (
   SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS INTEGER) AS rank, vec_id, distance FROM pairs
 )
