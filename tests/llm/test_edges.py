@@ -193,9 +193,11 @@ def test_units_share_no_key(spark):
 def test_pages(spark):
     body = "<html><body><nav><a href='/a'>Home</a></nav><article><h1>Old &amp; new</h1><p>The road, it was said, was long.\n And old.</p></article><footer>&copy; us</footer></body></html>"
     rows = [(1, "u", body, 1), (1, "u", body, 1), (2, None, None, 2), (3, "u", "", 3), (None, "u", "<p>" + "long text, truly. " * 20_000, 4), (4, "u", "<div" * 500 + "<p>" * 500, 5)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int").withColumn("main_text", F.lit(7)).withColumn("N_MAIN_TEXT_CHARS", F.lit("x"))
     trees = html_text.fit(df)
-    got = html_text.extract(df, trees).collect()
+    found = html_text.extract(df, trees)
+    assert found.columns == ["page_id", "url", "text", "main_text", "n_main_text_chars"]
+    got = found.collect()
     assert [r.main_text for r in got if r.page_id == 1] == ["Old & new\nThe road, it was said, was long. And old."] * 2
     assert [r.main_text for r in got if r.page_id in (2, 3)] == ["", ""] and all(r.n_main_text_chars == len(r.main_text) for r in got)
     assert len([r for r in got if r.page_id is None][0].main_text) > 100_000

@@ -2,6 +2,7 @@
 
 import glob
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -75,12 +76,16 @@ WANT = ["The road was long.", "And old."]
         f"<html><head><title>x</title><style>p {{}}</style><script>if (a</b) c</script>{BODY}</html>",
         f'<svg class="a" />{BODY}<svg><text>no</text></svg>',
         f"<math/>{BODY}",
-        *[f"<{tag}>{BODY}" for tag in "noscript template select option iframe svg math object button".split()],
+        *[f"<{tag}>{BODY}" for tag in "noscript template select option datalist iframe svg math object button".split()],
         f"<button>{BODY}<button>no</button>",
-        f"<object data=a>{BODY}<object>no</object>",
+        f"<object data=a>{BODY}<object></object>",
+        f"<datalist><option>no<option value=a>no</datalist>{BODY}",
+        f"<option>no<option>no{BODY}",
+        f"{BODY}<option>no",
+        f"{BODY}<p class='x",
         f"<svg><svg>no</svg><text>no</text></svg>{BODY}",
         f"<select><option>no<option>no</select>{BODY}",
-        f"<noscript><p>no <button>no</noscript>{BODY}<button>no</button>",
+        f"<template><p>no <button>no</template>{BODY}<button>no</button>",
         f"<title-bar></title-bar><button-row></button-row>{BODY}",
     ],
 )
@@ -93,6 +98,80 @@ def test_raw_text_runs_to_the_end(tag):
     assert texts(f"{BODY}<{tag}><p>no</p>") == WANT
 
 
+@pytest.mark.parametrize("tag", ["math", "noscript", "object"])
+def test_words_in_transparent_elements(tag):
+    assert texts(f"<article><p>The <{tag}><b>road</b></{tag}> was long.</p><p>And <{tag}>old</{tag}>.</p></article>") == WANT
+
+
+def test_text_that_looks_like_a_tag():
+    assert texts("<p>a < b and 3 <4, x<=y") == ["a < b and 3 <4, x<=y"]
+    assert texts("<p>a > b") == ["a > b"] and texts("") == [] and texts("x") == ["x"] and texts(">") == [">"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>" * 10_000 + "</p>" * 10_000, "<p a='" * 17_000, "<p a='>'" * 12_500, "<p " * 33_000, "<p><td>" + "<center>" * 10_000, "<dl><dd>" + "<center>" * 6_000 + "<dd>x" * 6_000,
+     "<!--" * 25_000, "<script></script " * 6_000, "<title>" * 14_000, "<svg>" * 20_000, '<p class="' * 10_000, "&#" * 50_000, "<" * 100_000],
+)
+def test_hostile_pages_take_linear_time(page):
+    def seconds(p):
+        began = time.process_time()
+        html_text.parse(p)
+        return time.process_time() - began
+
+    assert min(seconds(page) for _ in range(2)) < 1.0  # 0.02 to 0.4 s here; quadratic parsing took 4 to 10 s
+    assert seconds(page * 4) < 4.0
+
+
+NEWS = """<!DOCTYPE html><html lang=en><head><meta charset=utf-8><title>Bridge - Daily</title><link rel=x href=y><body class=home>
+<div id=top-bar><a href=/>Daily</a> <a href=/news>News</a> <a href=/sport>Sport</a> <a href=/weather>Weather</a></div>
+<div class="cookie-banner"><p>We use cookies to make this site better.</p><button>Accept</button></div>
+<div class=wrapper><div class=main-content><h1>Old bridge to reopen &mdash; at last</h1>
+<p>The old stone bridge over the river will reopen on Monday, the council said, after repairs that took two years and
+cost more than had been planned.<p>Engineers had found cracks in two of its piers, and traffic had to take the long way round by the mill.
+<blockquote>It was worth the wait, said one of the neighbours, who had walked across it to school as a child.</blockquote>
+<p>A market will be held on the square that day, and the mayor is going to cut a ribbon before the first cars may cross.</div>
+<div class=sidebar><h3>Most read</h3><ul><li><a href=/1>Storm warning</a><li><a href=/2>New bakery</a><li><a href=/3>Cup final</a></ul></div></div>
+<div class=comments><h3>2 comments</h3><div class=comment><p>Finally! I missed that bridge.</p></div><div class=comment><p>Too expensive if you ask me.</p></div></div>
+<div class=footer>&copy; Daily <a href=/imprint>Imprint</a> <a href=/privacy>Privacy</a></div>"""
+NEWS_WANT = """Old bridge to reopen \u2014 at last
+The old stone bridge over the river will reopen on Monday, the council said, after repairs that took two years and cost more than had been planned.
+Engineers had found cracks in two of its piers, and traffic had to take the long way round by the mill.
+It was worth the wait, said one of the neighbours, who had walked across it to school as a child.
+A market will be held on the square that day, and the mayor is going to cut a ribbon before the first cars may cross."""
+RECIPE = """<html><body><header><h2>Kitchen notes</h2><nav><ul><li><a href=/a>Soups</a></li><li><a href=/b>Bread</a></li><li><a href=/c>Cakes</a></li></ul></nav></header>
+<main><article><h1>Plain bread</h1><p>This loaf needs four things, one bowl and an afternoon, and it keeps for a week in a cloth.</p>
+<h2>You need</h2><ul><li>500 g of flour and a little more for the board</li><li>two spoons of salt, coarse or fine</li><li>a cup of warm water</li></ul>
+<table><tr><td>First rise of the dough</td><td>one hour in a warm place</td></tr><tr><td>Second rise of the dough</td><td>half an hour in its tin</td></tr></table>
+<p>Mix, knead, and wait. Bake it hot, for forty minutes, until it sounds hollow when you knock on it.</p></article>
+<aside class="advert"><p>Buy our new mixer today!</p></aside></main>
+<form action=/subscribe><label>Your mail</label><input name=m><p>Get a recipe a week.</p></form>
+<footer><p>All rights reserved.</p><ul><li><a href=/d>About</a></li></ul></footer></body></html>"""
+RECIPE_WANT = """Plain bread
+This loaf needs four things, one bowl and an afternoon, and it keeps for a week in a cloth.
+You need
+500 g of flour and a little more for the board
+two spoons of salt, coarse or fine
+a cup of warm water
+First rise of the dough
+one hour in a warm place
+Second rise of the dough
+half an hour in its tin
+Mix, knead, and wait. Bake it hot, for forty minutes, until it sounds hollow when you knock on it."""
+PLAIN = "<center><font size=2><a href=/>Home</a> | <a href=/list>List</a> | <a href=/mail>Mail</a></font></center><hr><h1>On walls</h1>The wall of the garden is older than the house. It was built, they say, by monks.<p>Nobody knows when it was last mended, though some stones are new, and the gate has been painted more than once.<hr><center><small>Last change in May. <a href=/>Back</a></small></center>"
+PLAIN_WANT = "On walls\nThe wall of the garden is older than the house. It was built, they say, by monks.\nNobody knows when it was last mended, though some stones are new, and the gate has been painted more than once."
+
+
+@pytest.mark.parametrize("page, want", [(NEWS, NEWS_WANT), (RECIPE, RECIPE_WANT), (PLAIN, PLAIN_WANT)])
+def test_written_pages(trees, page, want):
+    assert html_text.main_text(page, trees) == want
+
+
+@pytest.fixture(scope="module")
+def trees():
+    return html_text.train([], layouts=500)
+
+
 def test_many_unclosed_elements():
     assert texts("<button><svg><object>" * 50_000 + "</select>" * 50_000 + BODY) == WANT
 

@@ -52,10 +52,10 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def spread(df: DataFrame, *cols) -> DataFrame:
-    """Deal rows evenly over the shuffle partitions by the given keys."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *cols)
+def without(df: DataFrame, *names: str, keep: str = "") -> DataFrame:
+    """df without the columns, in any case of letters, whose names an operator gives to its own; keep stays."""
+    low = {n.lower() for n in names}
+    return df.drop(*[c for c in df.columns if c.lower() in low and c != keep])
 
 
 def portions(batches, place: int, most_bytes: int = 2 << 20, most_rows: int = 512):

@@ -10,14 +10,16 @@ The trees are fitted on made-up page layouts, filled with texts and with the lab
 `sample_pages` pages (default 200, by a hash of the id) that mark their article up with semantic elements, as they are and with these
 elements renamed to plain ones. All pages are then extracted whole.
 
-Defined results: null and empty html give an empty text; character references are decoded once; white space in a block becomes one
-space; blocks come in page order, joined by a line feed; broken markup is parsed to the end: of an element that is left out but has no
-end tag only the tag goes, except that a script, style, text area or title runs to the end of the page, as in browsers; a head ends
-by itself, as its elements hold no text; repeated rows give equal results.
+Defined results: null and empty html give an empty text, an empty table no rows; character references are decoded once; white space in a block becomes one
+space; blocks come in page order, joined by a line feed; pages of any length are parsed whole, in linear time; broken markup is parsed to the end: of an element that is left out but has no
+end tag only the tag goes, except that a script, style, text area or title runs to the end of the page, as in browsers, and a stray option to the next tag; a tag that the page breaks off in
+goes; a head ends by itself, as its elements hold no text; words in noscript, math and object elements are text like any other, and
+the trees decide; repeated rows give equal results; further columns are kept.
 """
 
 from __future__ import annotations
 
+import bisect
 import html as entities
 import math
 import random
@@ -30,19 +32,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm import boosting
-from tracewright.llm.common import portions, table
+from tracewright.llm.common import portions, table, without
 
 SAMPLE_PAGES = 200
+#: Larger pages stay out of the sample (not out of the extraction), so that the driver holds at most SAMPLE_PAGES times this.
+SAMPLE_PAGE_BYTES = 1 << 18
+#: Names, values and gaps in a tag up to which a > in quotes does not end it.
+ATTRIBUTES = 64
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(script|style|textarea|title)(?=[\s/>])[^>]*+>.*?(?:</\1\s*+>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)/?>"
+    rf"|<(/?)([a-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'){{0,{ATTRIBUTES}}}+)/?>"
     r"|<(/?)([a-z][^\s/>]*+)([^>]*+)>"
     r"|<[!?/][^>]*+(?:>|\Z)",
     re.I | re.S,
 )
-#: Elements whose content is left out if they have an end tag of their own. Scripts, styles, text areas and titles are single tokens.
-SKIP = frozenset("noscript template select option iframe svg math object button".split())
+#: Elements whose content is left out if they have an end tag of their own: form controls, and what browsers don't show as text. Scripts,
+#: styles, text areas and titles are single tokens.
+SKIP = frozenset("template select datalist iframe svg button".split())
 HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 TOKENS = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -52,6 +59,9 @@ BLOCK = frozenset(
 CLOSES_P = BLOCK - frozenset("td th tr tbody thead tfoot caption dd dt li legend label summary body html".split())
 SAME = {"li": frozenset(["li"]), "p": frozenset(["p"]), "dd": frozenset(["dd", "dt"]), "dt": frozenset(["dd", "dt"]), "tr": frozenset(["tr", "td", "th"]), "td": frozenset(["td", "th"]), "th": frozenset(["td", "th"])}
 SCOPE = frozenset("html body div article main section nav aside table ul ol dl form header footer td th blockquote".split())
+CELLS = frozenset(["tr", "td", "th"])
+#: By the tag of a new element, the open elements of its scope that it ends.
+ENDS = {t: SAME.get(t, frozenset()) | (frozenset(["p"]) if t in CLOSES_P else frozenset()) for t in CLOSES_P | SAME.keys()}
 
 TAG_GROUPS = {
     "paragraph": frozenset("p pre blockquote dd figcaption".split()),
@@ -70,7 +80,7 @@ FEATURES = [f"tag_{g}" for g in TAG_GROUPS] + "text_leaf off_tokens on_tokens of
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "text", "order", "links", "hints", "depth", "chars", "link_chars", "tags", "blocks", "paragraphs", "stops", "caps", "digits", "words", "start", "off_above", "on_above", "off_tag_above", "main_above", "list_above")
+    __slots__ = ("tag", "parent", "children", "text", "order", "links", "hints", "depth", "scope", "cells", "chars", "link_chars", "tags", "blocks", "paragraphs", "stops", "caps", "digits", "words", "start", "off_above", "on_above", "off_tag_above", "main_above", "list_above")
 
     def __init__(self, tag: str, parent: Node | None, hints: tuple[int, int] = (0, 0)):
         self.tag, self.parent, self.children, self.text, self.links, self.hints = tag, parent, [], None, 0, hints
@@ -88,6 +98,10 @@ def _hints(attributes: str) -> tuple[int, int]:
     return off, on
 
 
+def _depth(v: Node) -> int:
+    return v.depth
+
+
 def _skipped(tokens: list[re.Match]) -> dict[int, int]:
     """By the place of a SKIP element's start tag, the place of its own end tag; elements without one are missing."""
     unclosed, count, ends = [], dict.fromkeys(SKIP, 0), {}
@@ -96,7 +110,7 @@ def _skipped(tokens: list[re.Match]) -> dict[int, int]:
         if name not in SKIP:
             continue
         if not (m[2] or m[5]):
-            if name not in ("svg", "math") or not (m[4] or m[7] or "").endswith("/"):
+            if name != "svg" or not (m[4] or m[7] or "").endswith("/"):
                 unclosed.append((name, i))
                 count[name] += 1
         elif count[name]:
@@ -110,8 +124,11 @@ def _skipped(tokens: list[re.Match]) -> dict[int, int]:
 
 def parse(html: str) -> Node:
     """The block elements of a page as a tree; runs of inline text are leaves with text."""
+    html += ">"  # ends a tag that the page breaks off in; not part of a text
     root = Node("html", None)
+    root.depth, root.scope, root.cells = 0, 0, 0
     at, run, links, inline, in_link, end = root, [], 0, 0, 0, 0
+    opened: dict[str, list[Node]] = {}
 
     def flush() -> None:
         nonlocal links, inline
@@ -124,6 +141,14 @@ def parse(html: str) -> Node:
             run.clear()
         links = inline = 0
 
+    def close(node: Node) -> None:
+        """End node and all in it that is still open."""
+        nonlocal at
+        stop = node.parent
+        while at is not stop:
+            opened[at.tag].pop()
+            at = at.parent
+
     tokens, until = list(TOKEN.finditer(html)), -1
     skipped = _skipped(tokens)
     for i, m in enumerate(tokens):
@@ -149,36 +174,34 @@ def parse(html: str) -> Node:
                 in_link = 0 if closing else 1
             elif tag == "br":
                 run.append(" ")
+            elif tag == "option" and not closing:  # a stray one: its text goes to the next tag
+                end = tokens[i + 1].start() if i + 1 < len(tokens) else len(html)
             continue
         flush()
         if closing:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root:
-                at = node.parent
+            if opened.get(tag):
+                close(opened[tag][-1])
             in_link = 0
             continue
-        if tag in CLOSES_P or tag in SAME:
-            ends = SAME.get(tag, frozenset()) | (frozenset(["p"]) if tag in CLOSES_P else frozenset())
-            node, match = at, None
-            while node is not root:
-                if node.tag in ends:
-                    match = node
-                if node.tag in SCOPE and node.tag not in ends:
-                    break
-                node = node.parent
-            if match is not None:
-                at = match.parent
+        ends = ENDS.get(tag)
+        if ends:
+            limit = at.cells if tag in CELLS else at.scope
+            outer = [found[k] for t in ends if (found := opened.get(t)) and (k := bisect.bisect_right(found, limit, key=_depth)) < len(found)]
+            if outer:
+                close(min(outer, key=_depth))
         if tag in ("html", "body"):
             continue
         in_link = 0
         child = Node(tag, at, _hints(m[4] if m[3] else m[7]))
         at.children.append(child)
         if tag != "hr":
+            child.depth = at.depth + 1
+            child.scope = child.depth if tag in SCOPE else at.scope
+            child.cells = child.depth if tag in SCOPE and tag not in CELLS else at.cells
+            opened.setdefault(tag, []).append(child)
             at = child
-    if end < len(html):
-        run.append(html[end:])
+    if end < len(html) - 1:
+        run.append(html[end:-1])
     flush()
     return root
 
@@ -342,13 +365,17 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
     say = lambda a, b: entities.escape(_texts(chooser, stock, chooser.randint(a, b)), quote=False)
     plain = chooser.random() < 0.5  # no semantic elements
     named = chooser.random() < 0.85  # tokens that tell
+    old = plain and chooser.random() < 0.2  # a layout without sections, its links in lines
 
     def box(tag: str, name: str, inner: str) -> str:
-        tag = "div" if plain and chooser.random() < 0.8 else tag
+        tag = ("center" if old else "div") if plain and chooser.random() < 0.8 else tag
         hint = f' {chooser.choice(["class", "id", "class"])}="{name}"' if named and (tag == "div" or chooser.random() < 0.5) else ""
         return f"<{tag}{hint}>{inner}</{tag}>"
 
     def links(a: int, b: int) -> str:
+        if old or chooser.random() < 0.15:
+            mark = chooser.choice([" | ", " ", " &middot; ", " - "])
+            return (f"{say(1, 5)}. " if chooser.random() < 0.4 else "") + mark.join(f'<a href="/{k}">{say(1, 2)}</a>' for k in range(chooser.randint(1, b)))
         return "<ul>" + "".join(f'<li><a href="/{k}">{say(1, 4)}</a></li>' for k in range(chooser.randint(a, b))) + "</ul>"
 
     def paragraph() -> str:
@@ -387,7 +414,7 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
     if chooser.random() < 0.5:
         page.append(f'<div class="{chooser.choice(["ad", "ads", "advert", "sponsored"])}">{say(3, 25)}</div>')
     bare = chooser.random() < 0.15
-    page.append(body() if bare else box(chooser.choice(["article", "main"]), chooser.choice(["content", "article", "post", "entry-content", "story"]), body()))
+    page.append(body() if bare or old else box(chooser.choice(["article", "main"]), chooser.choice(["content", "article", "post", "entry-content", "story"]), body()))
     if chooser.random() < 0.3:
         page.append(box("aside", chooser.choice(["sidebar", "side", "widget"]), f"<h3>{say(1, 4)}</h3>{links(2, 6)}<p>{say(4, 30)}</p>"))
     if chooser.random() < 0.35:
@@ -396,6 +423,8 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
         page.append(f'<form action="/s"><label>{say(1, 5)}</label><input name="q"><p>{say(1, 12)}</p></form>')
     if chooser.random() < 0.85:
         page.append(box("footer", chooser.choice(["footer", "site-footer", "copyright"]), f"&copy; {say(1, 4)} &middot; {say(3, 14)}" if chooser.random() < 0.6 else f"<p>{say(3, 20)}</p>{links(1, 4)}"))
+    if old:
+        page = [x for part in page for x in (part, "<hr>")]
     if chooser.random() < 0.2:
         page = ['<div class="wrapper">', *page, "</div>"]
     return f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title></head><body>{''.join(page)}</body></html>"
@@ -452,12 +481,14 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, id_col: str = "page_
     n = pages.count()
     lot = F.pmod(F.xxhash64(F.lit("page sample"), F.col(id_col)), F.lit(1 << 30))
     share = min(1.0, (2 * sample_pages + 50) / max(1, n))
-    rows = pages.select(lot.alias("lot"), F.col(id_col).cast("string").alias("i"), F.col(html_col).cast("string").alias("h")).where(F.col("h").isNotNull() & (F.col("lot") < int(share * (1 << 30))))
+    rows = pages.select(lot.alias("lot"), F.col(id_col).cast("string").alias("i"), F.col(html_col).cast("string").alias("h")).where((F.octet_length("h") <= SAMPLE_PAGE_BYTES) & (F.col("lot") < int(share * (1 << 30))))
     return train([r["h"] for r in rows.orderBy("lot", "i").limit(sample_pages).collect()])
 
 
 def extract(pages: DataFrame, trees: boosting.Trees, html_col: str = "html", out_col: str = "main_text") -> DataFrame:
-    """pages without the html, with the main text and n_main_chars. The trees, some kilobytes, are broadcast."""
+    """pages without the html, with the main text and n_main_text_chars, in place of columns of these names. The trees, some kilobytes, are
+    broadcast."""
+    pages = without(pages, out_col, f"n_{out_col}_chars", keep=html_col)
     shared = pages.sparkSession.sparkContext.broadcast(trees)
     place, names = pages.columns.index(html_col), [c for c in pages.columns if c != html_col]
 
