@@ -52,11 +52,36 @@ def test_keep_first(docs, empty):
     kept = simhash.keep_first(docs)
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert len(ids) == len(set(ids)) and 206 not in ids or ids.count(206) <= 1
+    classes = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    assert sorted(ids, key=str) == sorted({c for _, c in classes}, key=str)
     assert 200 in ids and 201 not in ids and 207 not in ids
     assert simhash.keep_first(empty).collect() == []
 
 
+@pytest.mark.parametrize("hubs", [1000, 1])
+def test_fingerprints_of_a_hot_class(spark, monkeypatch, hubs):
+    """A third of all rows in one class, and hot keys by broadcast or by shuffle, all the same."""
+    monkeypatch.setattr(simhash, "HUBS", hubs)
+    rows = [(i, EN if i % 3 == 0 else f"{EN} {i} {i + 7}" if i % 3 == 1 else f"{i} {FR} {i * i}") for i in range(240)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_duplicates(df).collect()}
+    want = {}
+    for i in sorted(got):  # the smallest id reachable over links of at most 4 bits
+        if i not in want:
+            queue, want[i] = [i], i
+            while queue:
+                x = queue.pop()
+                near = [j for j in got if j not in want and (got[x][0] ^ got[j][0]).bit_count() <= 4]
+                want.update(dict.fromkeys(near, i))
+                queue += near
+    assert {i: c for i, (_, c) in got.items()} == want
+
+
+def test_fingerprints_replace_fp(docs):
+    rows = simhash.fingerprints(docs)
+    assert [c for c in rows.columns if c == "fp"] == ["fp"] and rows.select("fp").distinct().count() > 3
+
+
 def test_null_ids_alone(spark):
     rows = spark.createDataFrame([doc(None, "only this text is here"), doc(None, "only this text is here")], DOCS)
     assert [r.component_id for r in simhash.near_duplicates(rows).collect()] == [None, None]
@@ -93,7 +118,11 @@ def test_private(docs, empty):
 
 
 def test_pieces(docs, empty):
-    got = pieces.encode_digest(docs.select("doc_id", "text"), PIECES).collect()
+    docs = docs.withColumn("decoded", F.lit(1)).withColumn("Segmentations", F.lit("x")).withColumn("n_best", F.lit(2))
+    found = pieces.encode_digest(docs, PIECES)
+    assert [c for c in found.columns if c in ("score", "n_best")] == ["score", "n_best"] and "row" in found.columns
+    assert pieces.encode(docs, PIECES).columns.count("decoded") == 1
+    got = found.select("doc_id", "n_pieces", "n_best", "round_trip", "score").collect()
     assert len(got) == len(ROWS) and all(r.round_trip for r in got)
     by = {r.doc_id: r for r in got}
     assert by[200].n_pieces == by[201].n_pieces == 0 and by[201].n_best == "0"

@@ -12,7 +12,8 @@ Order among equal scores: the best segmentation of a unit has the longer piece f
 order in which the search finds them, which is fixed; in a text, by the ranks of the units' alternatives, first unit first.
 
 Defined results: null and empty text have no pieces (one empty segmentation, score 0); white space other than U+0020 is kept as
-characters; U+2581 in a text decodes as a space, as the model's own decoder does; texts of any length are segmented whole.
+characters; U+2581 in a text decodes as a space, as the model's own decoder does; texts of any length are segmented whole; repeated
+rows give equal results; an empty table gives no rows; further columns are kept, but for those named like the operator's own, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import held, portions, table
+from tracewright.llm.common import held, portions, table, without
 
 SPACE = "▁"
 MEMO_UNITS = 250_000
@@ -309,7 +310,9 @@ def pieces(path: str) -> Pieces:
 
 
 def encode(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:
-    """docs without the text, with segmentations: array of (score, pieces), best first, and decoded: the text of the best one."""
+    """docs without the text, with segmentations: array of (score, pieces), best first, and decoded: the text of the best one; columns of
+    these names are replaced."""
+    docs = without(docs, "segmentations", "decoded", keep=text_col)
     place, names = docs.columns.index(text_col), [c for c in docs.columns if c != text_col]
     kind = pa.list_(pa.struct([("score", pa.float64()), ("pieces", pa.list_(pa.int32()))]))
 
@@ -332,7 +335,9 @@ def encode(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text")
 
 def encode_digest(docs: DataFrame, path: str, n: int = N_BEST, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_pieces, score, ids_crc32 of the best segmentation, n_best (scores) and n_best_crc32 (comma-joined),
-    and round_trip: whether the best one decodes to the text. The same as digests of encode(), without moving the id lists."""
+    and round_trip: whether the best one decodes to the text; columns of these names are replaced. The same as digests of encode(), without
+    moving the id lists."""
+    docs = without(docs, "n_pieces", "score", "ids_crc32", "n_best", "n_best_crc32", "round_trip", keep=text_col)
     place, names = docs.columns.index(text_col), [c for c in docs.columns if c != text_col]
 
     def digested(batches):

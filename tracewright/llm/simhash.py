@@ -10,12 +10,16 @@ block stays small. Blocks of more than BLOCK_ROWS fingerprints are cut into chun
 Only spanning links leave a task. Components are found by alternating large-star and small-star steps on the links, with
 a checkpoint a step; nothing is collected.
 
-Defined results: null text is empty; a text without words has fingerprint 0, which links like any other; a null id is kept but is
-never a component's id (null if the component has no other); repeated rows and ids share a component; an empty table gives no rows.
+Defined results: null text is empty; a text without words has fingerprint 0, which links like any other; a bit that is set in just half of
+the shingles is 0; texts of any length are read whole, in portions of 65,536 shingles; a null id is kept but is
+never a component's id (null if the component has no other); repeated rows and ids share a component; of rows with equal ids and
+fingerprints, keep_first keeps one by a hash of all its columns; an empty table gives no rows; further columns, whatever their names, are
+kept by keep_first and fingerprints (fp is replaced) and ignored by near_duplicates.
 """
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 import numpy as np
@@ -25,12 +29,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import cut, portions, table
+from tracewright.llm.common import cut, portions, table, without
 
 PIVOTS = 32
 BLOCK_ROWS = 4096
 PAIRS_AT_ONCE = 1 << 21
 EXPECTED_BLOCK = 1024
+#: Most nodes whose links are looked up by a broadcast: those with over this part of all links.
+HUBS = 1000
 
 
 def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
@@ -52,7 +58,8 @@ def fingerprint(text: str | None, words_per_shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words_per_shingle: int = 4) -> DataFrame:
-    """docs without text_col, with fp: the fingerprint as a signed long."""
+    """docs without text_col, with fp, in place of a column of that name: the fingerprint as a signed long."""
+    docs = without(docs, "fp", keep=text_col)
     place, names = docs.columns.index(text_col), [c for c in docs.columns if c != text_col]
 
     def hashed(batches):
@@ -155,8 +162,8 @@ def links(distinct: DataFrame, bits: int = 4, pivots: int = PIVOTS, block_rows:
             yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(np.repeat(fps.view(np.int64), keys.shape[1])), coordinates], names=["key", "fp", "coordinates"])
 
     spread = cut(distinct.mapInArrow(blocked, "key long, fp long, coordinates binary"))
-    large = spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).select("key", F.ceil(F.col("n") / (block_rows // 2)).cast("int").alias("chunks"))
-    rows = spread.join(large, "key", "left")
+    large = cut(spread.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block_rows).withColumn("chunks", F.ceil(F.col("n") / (block_rows // 2)).cast("int")))
+    rows = looked_up(spread, large, "key", max(block_rows, spread.count() / HUBS))
     chunk = F.coalesce(F.pmod(F.xxhash64("fp", F.lit(3)), F.col("chunks")).cast("int"), F.lit(0))
     rows = rows.withColumn("chunk", chunk)
     alone = F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
@@ -198,43 +205,66 @@ def _with_end(batches):
     yield None
 
 
-def components(edges: DataFrame, most_steps: int = 60) -> DataFrame:
-    """edges: a, b (a > b). Returns node, root: every node on a link, with the smallest node of its component."""
+def looked_up(rows: DataFrame, table: DataFrame, key: str, most: float) -> DataFrame:
+    """rows with the values of table's row of their key, null where it has none. table: key, n (how many rows have it), values. The rows of a
+    hot key, one of more than most rows, would all go to one task; so such keys, of which there are fewer than the rows by most, are
+    broadcast, and their rows stay where they are."""
+    values = [c for c in table.columns if c not in (key, "n")]
+    hot = F.broadcast(table.where(F.col("n") > most).select(F.col(key).alias("hot"), *[F.col(c).alias(f"hot_{c}") for c in values]))
+    marked = rows.join(hot, F.col(key) == F.col("hot"), "left")
+    of_hot = marked.where(F.col("hot").isNotNull()).select(*rows.columns, *[F.col(f"hot_{c}").alias(c) for c in values])
+    others = marked.where(F.col("hot").isNull()).select(*rows.columns)
+    return others.join(table.where(F.col("n") <= most).drop("n"), key, "left").select(*rows.columns, *values).unionByName(of_hot)
+
+
+def components(edges: DataFrame, hubs: int = HUBS) -> DataFrame:
+    """edges: a, b (a > b). Returns node, root: every node on a link, with the smallest node of its component. Steps go on until nothing
+    changes: their number grows with the logarithm of the links, not with the longest chain."""
     edges = cut(edges)
-    seen = None
-    for _ in range(most_steps):
+    size, seen = edges.count(), None
+    while True:
+        most = 2 * size / hubs
         both = edges.union(edges.select("b", "a"))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n")).select("a", F.least("a", "low").alias("low"), "n")
+        large = looked_up(both.where(F.col("b") > F.col("a")), least, "a", most).select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").distinct()
         large = cut(large)
-        least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(least, "a").where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
+        least = large.groupBy("a").agg(F.min("b").alias("low"), F.count("*").alias("n"))
+        small = looked_up(large, least, "a", most).where(F.col("b") != F.col("low")).select(F.col("b").alias("a"), F.col("low").alias("b"))
         edges = cut(small.union(least.select("a", F.col("low").alias("b"))).where("a <> b").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             break
-        seen = state
-    else:
-        raise RuntimeError(f"components did not settle in {most_steps} steps")
+        size, seen = state[0], state
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
 
 
 def near_classes(ids: DataFrame, bits: int = 4) -> DataFrame:
-    """ids: doc_id, fp. Returns one row per fingerprint: fp, root, component_id, and the id and fingerprint of the class's first row."""
-    distinct = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    """ids: doc_id, fp. Returns one row per fingerprint: fp, root, component_id, kept_fp (the fingerprint of the class's first row) and n, its rows.
+
+    A fingerprint without links is its own class. Of the others, those of a large class are dealt over salts, to which the class's one
+    row is copied, so that no salt holds more than an even share of them."""
+    distinct = cut(ids.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
     roots = components(links(distinct.select("fp"), bits))
-    by_fp = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    joined = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", "root", F.col("n").alias("rows")))
+    alone = joined.where(F.col("root").isNull()).select("fp", F.col("fp").alias("root"), F.col("first_id").alias("component_id"), F.col("fp").alias("kept_fp"), F.col("rows").alias("n"))
+    linked = joined.where(F.col("root").isNotNull())
     order = F.struct(F.col("first_id").isNull().alias("none"), "first_id", "fp")
-    first = by_fp.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.first_id").alias("component_id"), F.col("first.fp").alias("kept_fp"))
-    return by_fp.join(first, "root").select("fp", "root", "component_id", "kept_fp")
+    first = cut(linked.groupBy("root").agg(F.min(order).alias("first"), F.count("*").alias("n")))
+    size = first.agg(F.sum("n").alias("total"), F.max("n").alias("largest")).first()
+    share = (size["total"] or 0) / int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salts = max(1, math.ceil((size["largest"] or 0) / max(1.0, share)))
+    copied = first.select("root", F.col("first.first_id").alias("component_id"), F.col("first.fp").alias("kept_fp"), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    dealt = linked.withColumn("salt", F.pmod(F.xxhash64(F.lit(7), "fp"), F.lit(salts)).cast("int"))
+    return alone.unionByName(dealt.join(copied, ["root", "salt"]).select("fp", "root", "component_id", "kept_fp", F.col("rows").alias("n")))
 
 
 def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest id reachable over links)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     ids = cut(fingerprints(rows, "text", words_per_shingle))
-    classes = near_classes(ids, bits)
-    return ids.join(classes.select("fp", "component_id"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = cut(near_classes(ids, bits).select("fp", "component_id", "n"))
+    most = (classes.agg(F.sum("n")).first()[0] or 0) / HUBS
+    return looked_up(ids, classes, "fp", most).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
