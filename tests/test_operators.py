@@ -1,6 +1,8 @@
 import random
+import time
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tracewright.functions import arrays, models, text
@@ -67,7 +69,37 @@ def test_cosine_pairs_in_blocks(spark):
     df = spark.createDataFrame(rows, "method string, sink_idx long, embedding array<double>")
     key = lambda r: (r.ep1, r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx)
     want = sorted(map(key, similarity.cosine_pairs_native(df, 0.5).collect()))
-    assert want and sorted(map(key, similarity.cosine_pairs(df, 0.5, block_rows=16).collect())) == want
+    assert want
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # units span batches, and batches units
+    try:
+        for block_bytes in (16 * 6 * 8, 1 << 20):
+            found = similarity.cosine_pairs(df, 0.5, block_bytes=block_bytes)
+            assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+            assert sorted(map(key, found.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    own = similarity.cosine_pairs(df, 0.5, same_row_only=True).collect()
+    assert {key(r) for r in own} >= set(want) and any(r.ep1 == r.ep2_id for r in own)
+    assert similarity.cosine_pairs(df.limit(0), 0.5).collect() == []
+
+
+def test_units_of_the_join_share_no_key(spark):
+    rows = spark.range(600).select(F.col("id").cast("string").alias("g"), F.col("id").alias("i"), F.array(F.lit(1.0)).alias("v"))
+    found = similarity._units(rows, 6, 3).groupBy("block", "lane").agg(F.count_if(F.expr("asks = 0")).alias("own"), F.count_if(F.expr("asks = 1")).alias("others")).collect()
+    assert len(found) == 18 and sum(r["own"] for r in found) == 600 * 3 and sum(r["others"] for r in found) == 600 * 6
+    assert max(r["own"] for r in found) < 200 and max(r["others"] for r in found) < 300
+
+
+def test_stratified_split_is_that_of_one_sort_per_label(spark):
+    rows = [(i, "a" if i % 10 < 7 else "b" if i % 10 < 9 else None, i % 3) for i in range(500)] + [(7, "a", 9), (7, "a", 9), (1000, "lone", 0)]
+    df = spark.createDataFrame(rows, "k long, label string, x int")
+    w = Window.partitionBy("label")
+    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(42), "k"), "k"))
+    want = df.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * 0.8), "train").otherwise("test"))
+    got = relational.stratified_split(df, "label", "k")
+    assert got.columns == want.columns
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert relational.stratified_split(df.limit(0), "label", "k").collect() == []
 
 
 def test_text_functions(spark):
@@ -104,6 +136,50 @@ def test_restore_and_accuracy(spark):
     assert relational.accuracy(none, "actual", "predicted").first().accuracy is None
 
 
+class Hanging:
+    """A client that never answers and knows no limit."""
+
+    def chat(self, system, user, timeout=None):
+        while user == "hang":
+            time.sleep(1)
+        return f"said {user}"
+
+
+def test_chat_keeps_its_own_limit(spark):
+    df = spark.createDataFrame([("hang",), ("a",), ("b",), (None,)], "prompt string").coalesce(1)
+    began = time.time()
+    got = {r.prompt: r.res for r in models.chat(df, Hanging, "s", "prompt", "res", threads=2, timeout=0.5).collect()}
+    assert got == {"hang": "invalid", "a": "said a", "b": "said b", None: None} and time.time() - began < 30
+    with pytest.raises(ValueError, match="own"):
+        models.within(5, lambda: (_ for _ in ()).throw(ValueError("own")))
+
+
+class OnDevice:
+    def __init__(self, device):
+        self.device = device
+
+    def generate(self, system, prompts):
+        if "bad" in prompts:
+            raise RuntimeError
+        return [f"{self.device} {len(prompts)} {p}" for p in prompts]
+
+
+def test_local_batches(spark):
+    rows = [(f"p{i}",) for i in range(20)] + [(None,)]
+    got = models.generate(spark.createDataFrame(rows, "prompt string"), OnDevice, ["d0", "d1"], "s", "prompt", "res", batch=4).collect()
+    assert len(got) == 21 and {r.res for r in got if r.prompt is None} == {None}
+    said = [r.res.split() for r in got if r.prompt]
+    assert {d for d, _, _ in said} == {"d0", "d1"} and max(int(n) for _, n, _ in said) == 4 and all(p == r.prompt for (_, _, p), r in zip(said, [r for r in got if r.prompt], strict=True))
+    failed = models.generate(spark.createDataFrame([("bad",)], "prompt string"), OnDevice, ["d0"], "s", "prompt", "res").collect()
+    assert [r.res for r in failed] == ["invalid"]
+
+
+def test_encode_ids(spark):
+    df = spark.createDataFrame([("a" * 600,), ("",), (None,), ("xax",)], "t string")
+    got = df.select(models.encode_ids(df.t, lambda: lambda s: [ord(c) for c in s], 512, frozenset([ord("x")])).alias("ids")).collect()
+    assert [list(r.ids) for r in got] == [[97] * 512, [], [], [97]]
+
+
 def test_chat_failures(spark):
     df = spark.createDataFrame([("p",), (None,)], "prompt string")
     slow = models.chat(df, lambda: models.CannedClient(delay=9.0), "s", "prompt", "res", timeout=0.01)

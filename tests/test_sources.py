@@ -31,6 +31,17 @@ def test_csv_dir(spark, folder):
     assert files.csv_dir(spark, str(folder), "Java Code Representation").where("java_code = 'old2'").count() == 1
 
 
+def test_wide_and_unnamed_headers(spark, tmp_path):
+    """A header of any number of cells, a row index without a name, names that repeat, a byte order mark."""
+    wide = ",".join(f"x{i}" for i in range(60))
+    write(tmp_path, "wide.csv", f"{wide}," + HEAD + ",".join("v" * 60) + ",LW,w(),1,t,o,c,NONE\n")
+    write(tmp_path, "index.csv", "," + HEAD + "0,LI,i(),2,t,o,c,NORMAL\n1,LI,j(),3,t,o,c,NONE\n")
+    write(tmp_path, "twice.csv", "\ufeff\"Class\",Note," + HEAD.replace("Class", "Note") + "LT,n,m,k(),4,t,o,\"c, d\",NONE\n")
+    rows = files.csv_dir(spark, str(tmp_path)).collect()
+    got = sorted((r.service_name, r["class"], r.method, r.depth, r.java_code, r["access control level"]) for r in rows)
+    assert got == [("index", "LI", "i()", 2, "c", "NORMAL"), ("index", "LI", "j()", 3, "c", "NONE"), ("twice", "LT", "k()", 4, "c, d", "NONE"), ("wide", "LW", "w()", 1, "c", "NONE")]
+
+
 def test_bad_depth_fails(spark, tmp_path):
     write(tmp_path, "a.csv", HEAD + "A,b,x,t,o,c,NONE\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cast"):

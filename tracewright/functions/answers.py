@@ -18,15 +18,37 @@ from pyspark.sql import functions as F
 
 from tracewright.schemas import INVALID
 
-#: Fixed patterns of places where an answer may stand.
-JSON_FENCE = re.compile(r"```json\s*\n(.*?)```", re.S)
-JSON_FENCE_LOOSE = re.compile(r"```json\s*(.*?)```", re.S)
-ANY_FENCE = re.compile(r"```\s*\n(.*?)```", re.S)
-EITHER_FENCE = re.compile(r"```(?:json)?\n(.*?)\n```", re.S)
-BOXED = re.compile(r"\$\s*\\boxed\s*\{(.*?)\}\s*\$", re.S)
-BRACES = re.compile(r"\{.*\}", re.S)
+#: Fixed patterns of places where an answer may stand: what opens a block and what closes it.
+JSON_FENCE = re.compile(r"```json\s*\n"), re.compile(r"```")
+JSON_FENCE_LOOSE = re.compile(r"```json\s*"), re.compile(r"```")
+ANY_FENCE = re.compile(r"```\s*\n"), re.compile(r"```")
+EITHER_FENCE = re.compile(r"```(?:json)?\n"), re.compile(r"\n```")
+BOXED = re.compile(r"\$\s*\\boxed\s*\{"), re.compile(r"\}\s*\$")
 COMMENT = re.compile(r"//.*")
 TRAILING_COMMA = re.compile(r",\s*([\]}])")
+#: What Python's parser and writer raise on a text that is no JSON, has a number of too many digits, or brackets that are too deep.
+NOT_JSON = (ValueError, RecursionError)
+
+
+def blocks(text: str, place: tuple[re.Pattern, re.Pattern]) -> list[str]:
+    """What stands between an opening and the next closing, one block after the other, in one pass over the text."""
+    opening, closing = place
+    out, at, end = [], 0, None
+    while found := opening.search(text, at):
+        if end is None or end.start() < found.end():
+            end = closing.search(text, found.end())
+        if end is None:
+            break
+        out.append(text[found.end() : end.start()])
+        at = end.end()
+    return out
+
+
+def braces(text: str) -> list[str]:
+    """From the first opening brace to the last closing one."""
+    begin, end = text.find("{"), text.rfind("}")
+    return [text[begin : end + 1]] if 0 <= begin < end else []
+
 
 class MISSING:
     """Stands for no answer; a class, since one stays itself when functions are sent to workers."""
@@ -49,7 +71,7 @@ class Mode:
     """passes: cleanings of a candidate, one stage run each; first_fence: the pattern of tagged blocks."""
 
     passes: tuple
-    first_fence: re.Pattern
+    first_fence: tuple
     boxed: tuple = ()
     braces: tuple = ()
 
@@ -67,7 +89,7 @@ def _parsed(candidates: Iterator[str], steps: tuple):
             text = step(text).strip()
         try:
             return json.loads(text)
-        except json.JSONDecodeError:
+        except NOT_JSON:
             continue
     return MISSING
 
@@ -75,15 +97,13 @@ def _parsed(candidates: Iterator[str], steps: tuple):
 def extract(text: str, mode: str = "post"):
     """The value of the first stage that yields one; MISSING if none does. A JSON null inside a block counts as none, as whole text it ends the search."""
     if mode == "first":
-        found = EITHER_FENCE.search(text)
-        return MISSING if not found else _parsed(iter([found[1]]), (str,))
+        return _parsed(iter(blocks(text, EITHER_FENCE)[:1]), (str,))
     m = MODES[mode]
-    tagged, fenced = m.first_fence.findall(text)[::-1], ANY_FENCE.findall(text)[::-1]
-    braces = BRACES.search(text)
-    stages = [(tagged, ()), (fenced, ()), ([text], None), (BOXED.findall(text), m.boxed), ([braces[0]] if braces else [], m.braces)]
-    for blocks, after in stages:
+    tagged, fenced = blocks(text, m.first_fence)[::-1], blocks(text, ANY_FENCE)[::-1]
+    stages = [(tagged, ()), (fenced, ()), ([text], None), (blocks(text, BOXED), m.boxed), (braces(text), m.braces)]
+    for candidates, after in stages:
         for clean in m.passes:
-            value = _parsed(iter(blocks), (clean, *(after or ())))
+            value = _parsed(iter(candidates), (clean, *(after or ())))
             if value is not MISSING and (value is not None or after is None):
                 return value
     return MISSING
@@ -100,7 +120,7 @@ def sinks_of(text: str | None, limit: int | None = None) -> list[str]:
         value = json.loads(text) if text is not None else None
         sinks = value.get("Sinks") if isinstance(value, dict) else None
         return ["\n".join(s) for s in sinks[:limit]] if isinstance(sinks, list) else []
-    except (json.JSONDecodeError, TypeError):
+    except (*NOT_JSON, TypeError):
         return []
 
 
@@ -115,7 +135,10 @@ def extract_json(c: Column, mode: str = "post") -> Column:
     def found(texts: pd.Series) -> pd.Series:
         def one(t):
             value = MISSING if t is None else extract(t, mode)
-            return None if value is MISSING else json.dumps(value)
+            try:
+                return None if value is MISSING else json.dumps(value)
+            except NOT_JSON:
+                return None
 
         return texts.map(one, na_action=None)
 
@@ -132,10 +155,17 @@ def parse_sinks(c: Column, limit: int | None = None) -> Column:
     return parsed(c)
 
 
+#: An object of the key Sinks alone with a list of lists of plain texts, which both parsers read alike; longer ones go to the exact parser.
+WELL_FORMED = r'^\{"Sinks": ?\[(?:\[(?:"[^"\\\x00-\x1f]*"(?:, ?"[^"\\\x00-\x1f]*")*)?\](?:, ?\[(?:"[^"\\\x00-\x1f]*"(?:, ?"[^"\\\x00-\x1f]*")*)?\])*)?\]\}$'
+NATIVE_LENGTH = 4096
+
+
 def parse_sinks_native(c: Column) -> Column:
-    """The same for answers known to be well-formed objects with a list of lists of texts; stays in the JVM."""
-    parsed = F.from_json(c, "Sinks array<array<string>>", {"allowSingleQuotes": "false"})
-    return F.coalesce(F.transform(parsed["Sinks"], lambda s: F.array_join(s, "\n")), F.array().cast("array<string>"))
+    """The same by the JVM's parser for well-formed answers, which then need no Python; all others go to the exact parser."""
+    good = F.coalesce((F.length(c) <= NATIVE_LENGTH) & c.rlike(WELL_FORMED), F.lit(False))
+    parsed = F.from_json(F.when(good, c), "Sinks array<array<string>>", {"allowSingleQuotes": "false"})
+    native = F.transform(parsed["Sinks"], lambda s: F.array_join(s, "\n"))
+    return F.when(good, native).otherwise(parse_sinks(F.when(~good, c)))
 
 
 def access_level(c: Column, mode: str = "post") -> Column:

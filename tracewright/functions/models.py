@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 import re
+import threading
 import time
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -17,6 +18,7 @@ from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +30,12 @@ class ModelClient(Protocol):
     def chat(self, system: str, user: str, timeout: float | None = None) -> str: ...
 
 
+class BatchModel(Protocol):
+    """A model in the worker's own process, on one device."""
+
+    def generate(self, system: str, prompts: list[str]) -> list[str]: ...
+
+
 class Embedder(Protocol):
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -52,6 +60,16 @@ class CannedClient:
         return f"Here is the answer.\n```json\n{json.dumps(answer)}\n```"
 
 
+class CannedBatchModel:
+    """CannedClient's answers, a batch at a time, as a model on a device."""
+
+    def __init__(self, device: str, kind: str = "sinks"):
+        self.device, self.client = device, CannedClient(kind)
+
+    def generate(self, system: str, prompts: list[str]) -> list[str]:
+        return [self.client.chat(system, p) for p in prompts]
+
+
 class HashedEmbedder:
     """Counts of hashed character 3-grams, scaled to length 1; texts are cut at max_tokens words."""
 
@@ -69,9 +87,34 @@ class HashedEmbedder:
         return out
 
 
+def within(seconds: float | None, call: Callable[[], str]) -> str:
+    """call's result; TimeoutError if it takes longer, whether or not the call itself keeps a limit. A call that hangs is left behind in
+    a thread that ends with the worker."""
+    if seconds is None:
+        return call()
+    box: list = []
+
+    def run() -> None:
+        try:
+            box.append((True, call()))
+        except BaseException as e:
+            box.append((False, e))
+
+    thread = threading.Thread(target=run, daemon=True)
+    thread.start()
+    thread.join(seconds)
+    if not box:
+        raise TimeoutError
+    done, value = box[0]
+    if not done:
+        raise value
+    return value
+
+
 def chat(df: DataFrame, client: Callable[[], ModelClient], system: str, prompt_col: str, out_col: str, threads: int = 1, timeout: float | None = None, on_failure: str | None = INVALID) -> DataFrame:
     """df with the model's answer to every prompt. Each partition runs `threads` calls at a time (partitions at work times threads is the
-    load on the server). A null prompt is not sent and has a null answer; a call beyond the timeout, or one that fails, gives on_failure."""
+    load on the server). A null prompt is not sent and has a null answer; a call that takes longer than the timeout, which the client is told and
+    the engine keeps, or one that fails, gives on_failure."""
 
     def answered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = client()
@@ -80,7 +123,7 @@ def chat(df: DataFrame, client: Callable[[], ModelClient], system: str, prompt_c
             if prompt is None:
                 return None
             try:
-                return model.chat(system, prompt, timeout)
+                return within(timeout, lambda: model.chat(system, prompt, timeout))
             except Exception:  # any failure of a call becomes the row's sentinel
                 return on_failure
 
@@ -91,6 +134,30 @@ def chat(df: DataFrame, client: Callable[[], ModelClient], system: str, prompt_c
     return df.mapInPandas(answered, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def generate(df: DataFrame, model: Callable[[str], BatchModel], devices: list[str], system: str, prompt_col: str, out_col: str, batch: int = 32, on_failure: str | None = INVALID) -> DataFrame:
+    """df with the answers of models in the workers' own processes: one partition and one model a device, prompts in batches. Null
+    prompts are not sent; the rows of a batch that fails get on_failure."""
+
+    def answered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = None
+        for pdf in frames:
+            own = own or model(devices[TaskContext.get().partitionId() % len(devices)])
+            prompts = [None if pd.isna(p) else p for p in pdf[prompt_col]]
+            sent, said = [p for p in prompts if p is not None], []
+            for at in range(0, len(sent), batch):
+                some = sent[at : at + batch]
+                try:
+                    got = list(own.generate(system, some))
+                except Exception:  # any failure of a batch becomes its rows' sentinel
+                    got = []
+                said += got if len(got) == len(some) else [on_failure] * len(some)
+            answers = iter(said)
+            yield pdf.assign(**{out_col: [None if p is None else next(answers) for p in prompts]})
+
+    dealt = df.repartition(len(devices))
+    return dealt.mapInPandas(answered, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+
+
 def embed(df: DataFrame, embedder: Callable[[], Embedder], text_col: str, out_col: str = "embedding") -> DataFrame:
     """df with a vector per text; null texts have null vectors."""
 
@@ -115,6 +182,17 @@ def token_counts(c: Column, counter: Callable[[], Callable[[str], int]]) -> Colu
     return counted(c)
 
 
+def encode_ids(c: Column, encoder: Callable[[], Callable[[str], list[int]]], most: int = 512, special: frozenset[int] = frozenset()) -> Column:
+    """Token ids of a text by an injected encoder: without special ones, the first `most`; null text has none."""
+
+    @F.pandas_udf("array<int>")
+    def encoded(texts: pd.Series) -> pd.Series:
+        encode = encoder()
+        return texts.map(lambda t: [] if t is None else [i for i in encode(t) if i not in special][:most])
+
+    return encoded(c)
+
+
 #: What a batch service says of a request, and the text that stands for it.
 BATCH_STATES = {"errored": "Error: request errored", "expired": "Error: request expired"}
 

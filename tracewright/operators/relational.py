@@ -124,11 +124,25 @@ def speedup(runs: DataFrame, size: str = "size", seconds: str = "seconds", basel
 # sampling and splitting ------------------------------------------------------------------------------------------------------------
 
 
+#: Labels up to which their sizes are broadcast; beyond, labels are many and their rows are joined by label.
+LABELS_BROADCAST = 10_000
+
+
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
-    """df with split: per label the first share of rows in a seeded order are 'train', the others 'test'."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key))
-    return df.withColumn("split", F.when(place <= F.floor(F.count("*").over(w) * share), "train").otherwise("test"))
+    """df with split: per label the first share of rows in a seeded order are 'train', the others 'test'.
+
+    All rows are numbered by label and order over range partitions, so that a label's rows are not one task's; a row's place in its label
+    is its number less the rows of the labels before.
+    """
+    lot = F.struct(F.col(label).alias("l"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
+    ordered = numbered(df.withColumn("__lot", lot), "__lot").drop("__lot")
+    sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__size"))
+    before = Window.orderBy("__label").rowsBetween(Window.unboundedPreceding, -1)  # a row per label
+    sizes = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
+    sizes = F.broadcast(sizes) if sizes.count() <= LABELS_BROADCAST else sizes
+    joined = ordered.join(sizes, ordered[label].eqNullSafe(sizes["__label"]))
+    place = F.col("__n") - F.col("__start") + 1
+    return joined.withColumn("split", F.when(place <= F.floor(F.col("__size") * share), "train").otherwise("test")).drop("__n", "__label", "__size", "__start")
 
 
 def seeded_order(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:

@@ -1,8 +1,9 @@
 """Similar snippets across entry points: thresholded cosine join, best neighbour and diversified top-N.
 
-The join is quadratic by nature. Vectors are scaled to length 1 once and packed into blocks of bounded size; every pair of blocks is
-one unit of work for a matrix product, and only pairs above the threshold leave it. Blocks keep rows of different entry points
-together, pairs of one entry point are masked inside the product. No side is broadcast whole.
+The join is quadratic by nature. Vectors are dealt to blocks of bounded bytes; a unit of work is a block and a lane, a share of all
+vectors, and a key of its own in the one shuffle. In its task the block's vectors come first and are scaled to length 1 once; the lane's stream past
+them as Arrow batches and meet them in matrix products. Only pairs above the threshold leave a unit, pairs of one entry point are
+masked inside the product. No side is broadcast.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.arrays import cosine
 
-BLOCK_ROWS = 4096
+BLOCK_BYTES = 32 << 20
+UNITS = 10_000
 LIMIT = 1e-12
+ROWS_AT_ONCE = 512
 
 
 def explode_sinks(api: DataFrame) -> DataFrame:
@@ -27,52 +30,81 @@ def explode_sinks(api: DataFrame) -> DataFrame:
     return api.where(F.size("embeddings") > 0).select("method", F.posexplode(both).alias("sink_idx", "z")).select("method", "sink_idx", F.col("z.code").alias("code"), F.col("z.embedding").alias("embedding"))
 
 
-def _blocks(sinks: DataFrame, group: str, index: str, vector: str, blocks: int) -> DataFrame:
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        v = np.stack([np.asarray(x, dtype="<f8") for x in pdf["v"]])
-        v = v / np.maximum(np.sqrt((v * v).sum(axis=1)), LIMIT)[:, None]
-        return pd.DataFrame({"block": [pdf["block"].iloc[0]], "n": [len(pdf)], "groups": [pdf["g"].tolist()], "places": [pdf["i"].tolist()], "data": [v.tobytes()]})
+def _units(rows: DataFrame, blocks: int, lanes: int) -> DataFrame:
+    """rows: g, i, v. Returns block, lane, asks (0: of the block, 1: of the lane) and the row; all of a unit in one partition, in this order."""
+    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "g", "i"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = rows.withColumn("block", part(1, blocks)).withColumn("lane", every(lanes)).withColumn("asks", F.lit(0))
+    others = rows.withColumn("lane", part(2, lanes)).withColumn("block", every(blocks)).withColumn("asks", F.lit(1))
+    both = own.unionByName(others).select("block", "lane", "asks", "g", "i", "v")
+    return both.repartition(max(1, min(blocks * lanes, UNITS)), "block", "lane").sortWithinPartitions("block", "lane", "asks")
 
-    rows = sinks.where(F.col(vector).isNotNull() & (F.size(vector) > 0)).select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("g", "i"), F.lit(blocks)).cast("int"))
-    return dealt.groupBy("block").applyInPandas(pack, "block int, n int, groups array<string>, places array<long>, data binary")
 
+def _scaled(lists: pa.Array) -> np.ndarray:
+    v = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(lists), -1)
+    return v / np.maximum(np.sqrt((v * v).sum(axis=1)), LIMIT)[:, None]
 
-def cosine_pairs(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding", same_row_only: bool = False, block_rows: int = BLOCK_ROWS) -> DataFrame:
+
+class _Block:
+    """The vectors of a block with their groups and places."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        self.v = np.concatenate([_scaled(p.column(5)) for p in parts])
+        self.groups, self.places = table.column(3).combine_chunks(), table.column(4).to_numpy()
+        self.codes: dict[str, int] = {}
+        self.own = self.coded(self.groups)
+
+    def coded(self, groups: pa.Array) -> np.ndarray:
+        return np.array([self.codes.setdefault(g, len(self.codes)) for g in groups.to_pylist()])
+
+    def pairs(self, other: pa.RecordBatch, threshold: float, same_row_only: bool):
+        w, codes, places = _scaled(other.column(5)), self.coded(other.column(3)), other.column(4).to_numpy()
+        for at in range(0, len(w), ROWS_AT_ONCE):
+            s = self.v @ w[at : at + ROWS_AT_ONCE].T
+            same = self.own[:, None] == codes[None, at : at + ROWS_AT_ONCE]
+            if same_row_only:
+                same &= self.places[:, None] == places[None, at : at + ROWS_AT_ONCE]
+            x, y = np.nonzero((s > threshold) & ~same)
+            if len(x):
+                columns = [self.groups.take(pa.array(x)), pa.array(self.places[x]), other.column(3).take(pa.array(at + y)), pa.array(places[at + y]), pa.array(s[x, y])]
+                yield pa.RecordBatch.from_arrays(columns, names=["ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "similarity"])
+
+
+def cosine_pairs(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding", same_row_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, similarity of all ordered pairs above threshold whose groups differ.
 
     same_row_only: only the very same row is excluded, pairs within a group count. Vectors must have one length; null groups take no part.
     """
-    n = sinks.count()
-    blocks = max(1, math.ceil(n / block_rows), min(8, n // 256))
-    left = _blocks(sinks.where(F.col(group).isNotNull()), group, index, vector, blocks)
-    right = left.select(*[F.col(c).alias(f"{c}_2") for c in left.columns])
-    pairs = left.withColumn("block_2", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(right, "block_2")
-    pairs = pairs.repartition(min(blocks * blocks, 10_000), "block", "block_2")
-
-    def product(frames):
-        for pdf in frames:
-            for r in pdf.itertuples(index=False):
-                a = np.frombuffer(r.data, dtype="<f8").reshape(r.n, -1)
-                b = np.frombuffer(r.data_2, dtype="<f8").reshape(r.n_2, -1)
-                g, h = np.asarray(r.groups, dtype=object), np.asarray(r.groups_2, dtype=object)
-                i, j = np.asarray(r.places), np.asarray(r.places_2)
-                codes = {x: k for k, x in enumerate(dict.fromkeys([*g, *h]))}
-                gc, hc = np.array([codes[x] for x in g]), np.array([codes[x] for x in h])
-                for at in range(0, len(a), 512):
-                    s = a[at : at + 512] @ b.T
-                    same = gc[at : at + 512, None] == hc[None, :]
-                    if same_row_only:
-                        same &= i[at : at + 512, None] == j[None, :]
-                    x, y = np.nonzero((s > threshold) & ~same)
-                    if len(x):
-                        yield pd.DataFrame({"ep1": g[at + x], "ep1_sink_idx": i[at + x], "ep2_id": h[y], "ep2_sink_idx": j[y], "similarity": s[x, y]})
-
-    return pairs.mapInPandas(product, "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double")
+    rows = sinks.where(F.col(group).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    rows = rows.select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n, tasks = size["n"], int(sinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, math.ceil(n * 8 * (size["dim"] or 1) / block_bytes), min(4, n // 512))
+    lanes = max(1, min(math.ceil(tasks / blocks), n // 256))
+
+    def product(batches):
+        unit, own, block = None, [], None
+        for b in batches:
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if begin == end:
+                    continue
+                if (here := tuple(keys[begin, :2].tolist())) != unit:
+                    unit, own, block = here, [], None
+                part = b.slice(begin, end - begin)
+                if not keys[begin, 2]:
+                    own.append(part)
+                elif own or block:
+                    block, own = block or _Block(own), []
+                    yield from block.pairs(part, threshold, same_row_only)
+
+    return _units(rows, blocks, lanes).mapInArrow(product, "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double")
 
 
 def cosine_pairs_native(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding") -> DataFrame:
-    """The same as an expression join, for small inputs and as a check."""
+    """The same as an expression join: every pair of rows in a nested loop. A check for small inputs; no pipeline uses it."""
     a = sinks.select(F.col(group).alias("ep1"), F.col(index).cast("long").alias("ep1_sink_idx"), F.col(vector).alias("v1"))
     b = sinks.select(F.col(group).alias("ep2_id"), F.col(index).cast("long").alias("ep2_sink_idx"), F.col(vector).alias("v2"))
     return a.join(b, F.col("ep1") != F.col("ep2_id")).withColumn("similarity", cosine(F.col("v1"), F.col("v2"))).where(F.col("similarity") > threshold).drop("v1", "v2")

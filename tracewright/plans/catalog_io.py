@@ -63,9 +63,9 @@ def scan_csv_altcol(spark, sf_dir):
 # other sources ---------------------------------------------------------------------------------------------------------------------
 
 
-@query("scan_parquet", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
+@query("scan_parquet", "SELECT l_orderkey, l_quantity FROM lineitem")
 def scan_parquet(spark, sf_dir):
-    return files.stage_table(spark, f"{sf_dir}/lineitem.parquet").where("l_quantity > 45").select("l_orderkey", "l_quantity")
+    return files.stage_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_quantity")
 
 
 @query("scan_baseline_csv", "SELECT c_name AS method, 'android.' || c_name AS \"Entrypoint\" FROM customer")
@@ -102,14 +102,16 @@ def q_text_pipeline(spark, sf_dir):
     return pipelines.text_stage(spark, _write_sections(spark, sf_dir)).select("EP", "label")
 
 
-@query("scan_text_tree", "SELECT doc_id, CAST(length(text) AS BIGINT) AS n FROM (SELECT doc_id, 'doc ' || doc_id || chr(10) || source AS text FROM documents WHERE source = 'src1')")
+@query("scan_text_tree", "SELECT doc_id, CAST(length('doc ' || doc_id || ' of ' || coalesce(source, 'none')) AS BIGINT) AS n FROM documents")
 def scan_text_tree(spark, sf_dir):
+    """All documents as lines of the files of a tree, a folder per source and share of the ids; each file is read as one text."""
     root = scratch(spark, "tree")
-    d = t(spark, sf_dir, "documents").where("source = 'src1'")
-    d.select(F.col("doc_id").alias("id"), F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit("\n"), "source").alias("value")).repartition(8, "id").write.partitionBy("id").text(root)
+    said = F.concat(F.lit("doc "), F.col("doc_id").cast("string"), F.lit(" of "), F.coalesce("source", F.lit("none")))
+    d = t(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("source"), (F.col("doc_id") % 4).alias("share"), said.alias("value"))
+    d.repartition("source", "share").write.partitionBy("source", "share").text(root)
     tree = files.text_tree(spark, root, "part-*")
-    body = F.rtrim(F.regexp_replace("text", "\n$", ""))
-    return tree.select(F.regexp_extract("path", r"id=(\d+)", 1).cast("long").alias("doc_id"), F.char_length(body).cast("long").alias("n"))
+    lines = tree.select(F.explode(F.split("text", "\n")).alias("line")).where("line <> ''")
+    return lines.select(F.regexp_extract("line", r"^doc (\d+) of ", 1).cast("long").alias("doc_id"), F.char_length("line").cast("long").alias("n"))
 
 
 @query("scan_jsonl", "SELECT 'doc ' || doc_id AS code, CAST(quality AS INTEGER) AS label FROM labels")
@@ -180,14 +182,9 @@ def sink_csv_allpairs(spark, sf_dir):
     return report.fillna("", ["EP1_Code", "EP2_Code"]).withColumn("Similarity", F.round("Similarity", 6))
 
 
-@query("sink_csv_score", f"WITH {PAIRS_SQL}, {EPS}, b AS (SELECT ep1, ep2_id, max(similarity) AS m FROM pr GROUP BY 1, 2) SELECT method AS \"EP\", coalesce(ep2_id, 'No similar EPs') AS \"EP2_ID\", coalesce(CAST(round(m, 3) AS DOUBLE), -1.0) AS best, row_number() OVER (PARTITION BY method ORDER BY m DESC NULLS LAST, ep2_id) AS place FROM eps LEFT JOIN b ON b.ep1 = eps.method")
+@query("sink_csv_score", f"WITH {PAIRS_SQL}, {EPS}, b AS (SELECT ep1, ep2_id, max(similarity) AS m FROM pr GROUP BY 1, 2) SELECT method AS \"EP\", coalesce(ep2_id, 'No similar EPs') AS \"EP2_ID\", coalesce(printf('%.4f', m), '') AS \"Max_Similarity\", row_number() OVER (PARTITION BY method ORDER BY m DESC NULLS LAST, ep2_id) AS place FROM eps LEFT JOIN b ON b.ep1 = eps.method")
 def sink_csv_score(spark, sf_dir):
-    report = _through_csv(spark, outputs.score_report(_eps(spark, sf_dir), coded_pairs(spark, sf_dir)), "score")
-    # four decimals may round differently in the last place, so three are compared with what the exact value gives
-    exact = coded_pairs(spark, sf_dir).groupBy(F.col("ep1").alias("e"), F.col("ep2_id").alias("o")).agg(F.max("similarity").alias("m"))
-    joined = report.join(exact, (F.col("EP") == F.col("e")) & (F.col("EP2_ID") == F.col("o")), "left")
-    near = F.abs(F.col("Max_Similarity").try_cast("double") - F.col("m")) <= 0.00005000001
-    return joined.select("EP", "EP2_ID", F.when(near, F.round("m", 3)).otherwise(-1.0).alias("best"), "place")
+    return _through_csv(spark, outputs.score_report(_eps(spark, sf_dir), coded_pairs(spark, sf_dir)), "score").fillna("", ["Max_Similarity"])
 
 
 @query("sink_csv_topn", f"WITH {PAIRS_SQL}, {EPS}, r AS (SELECT *, row_number() OVER (PARTITION BY ep1 {PAIR_ORDER}) AS place FROM pr) SELECT method AS \"EP1_ID\", coalesce(ep2_id, 'No similar EPs with similarity > 0.5') AS \"EP2_ID\", coalesce(ep2_code, '') AS \"EP2_Code\", place FROM eps LEFT JOIN r ON r.ep1 = eps.method")
@@ -319,26 +316,19 @@ def q_sinks_stage(spark, sf_dir):
     return stage.select("service_name", "method", "prompt1")
 
 
-def _levels_stage(spark, sf_dir, which="true"):
-    e = t(spark, sf_dir, "part").where(which)
+def _levels_stage(spark, sf_dir):
+    e = t(spark, sf_dir, "part")
     code = F.concat(F.lit("void m() {\n    "), F.replace(F.col("p_type"), F.lit(" "), F.lit(".")), F.lit("();\n}"))
     rows = e.select(F.col("p_brand").alias("service_name"), F.lit("C").alias("class"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("()")).alias("method"), F.lit("NORMAL").alias("access control level"), F.lit(0).alias("depth"), F.col("p_partkey").alias("seq"), F.lit("t").alias("trace"), code.alias("java_code"), F.concat(F.lit('{"Sinks": [["'), "p_type", F.lit('"]]}')).alias("json_answer"))
     api = paths.collect_paths(rows.drop("json_answer")).join(rows.select("method", "json_answer"), "method")
     return pipelines.levels_stage(spark, api, HashedEmbedder, lambda: CannedClient("level"), "system", scratch(spark, "stage2"), threshold=0.95)
 
 
-@query("q_levels_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part WHERE p_size <= 10")
+@query("q_levels_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part")
 def q_levels_stage(spark, sf_dir):
-    return _levels_known(_levels_stage(spark, sf_dir, "p_size <= 10")["result"])
-
-
-@query("q_levels_stage_all", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part")
-def q_levels_stage_all(spark, sf_dir):
     return _levels_known(_levels_stage(spark, sf_dir)["result"])
 
 
 def _levels_known(r):
     known = F.col("access control level predicted").isin("NONE", "NORMAL", "DANGEROUS", "SYS_OR_SIG", "invalid")
     return r.agg(F.count("*").alias("rows"), F.bool_and(known).alias("known"))
-
-

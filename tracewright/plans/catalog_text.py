@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from tracewright.functions import answers, arrays, models, text
@@ -198,10 +200,9 @@ def json_parse_sinks(spark, sf_dir):
     return _sinks_json(spark, sf_dir).select("event_id", F.array_join(answers.parse_sinks(F.col("json_answer")), "|").alias("sinks"))
 
 
-@query("json_parse_sinks_native", "SELECT event_id, event_type || chr(10) || 'b|' || user_id AS sinks FROM events WHERE event_id % 4 = 0")
+@query("json_parse_sinks_native", SINKS)
 def json_parse_sinks_native(spark, sf_dir):
-    good = _sinks_json(spark, sf_dir).where("event_id % 4 = 0")
-    return good.select("event_id", F.array_join(answers.parse_sinks_native(F.col("json_answer")), "|").alias("sinks"))
+    return _sinks_json(spark, sf_dir).select("event_id", F.array_join(answers.parse_sinks_native(F.col("json_answer")), "|").alias("sinks"))
 
 
 @query("json_get_level", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'invalid' ELSE CAST(event_id AS VARCHAR) END AS level FROM events")
@@ -289,14 +290,24 @@ def udf_llm_threads(spark, sf_dir):
     return _said(spark, sf_dir, models.CannedClient, threads=4).select("n_nationkey", answers.parse_sinks(found)[0].alias("sink"))
 
 
-@query("udf_llm_timeout", "SELECT n_nationkey, 'invalid' AS res FROM nation")
+class _Hangs(models.CannedClient):
+    """A client that ignores its limit: every third prompt takes a minute."""
+
+    def chat(self, system, user, timeout=None):
+        time.sleep(60 if len(user) % 3 == 0 else 0)
+        return "said"
+
+
+@query("udf_llm_timeout", "SELECT n_nationkey, CASE WHEN length('void m() {' || chr(10) || '    call' || n_name || '();' || chr(10) || '}') % 3 = 0 THEN 'invalid' ELSE 'said' END AS res FROM nation")
 def udf_llm_timeout(spark, sf_dir):
-    return _said(spark, sf_dir, lambda: models.CannedClient(delay=100.0), timeout=0.1).select("n_nationkey", "res")
+    return _said(spark, sf_dir, _Hangs, threads=8, timeout=0.5).select("n_nationkey", "res")
 
 
 @query("udf_llm_local_batch", "SELECT n_nationkey, 'call' || n_name || '();' AS sink FROM nation")
 def udf_llm_local_batch(spark, sf_dir):
-    return udf_llm_threads(spark, sf_dir)
+    n = t(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("void m() {\n    call"), "n_name", F.lit("();\n}")).alias("prompt"))
+    said = models.generate(n, models.CannedBatchModel, ["device:0", "device:1"], "system", "prompt", "res", batch=4)
+    return said.select("n_nationkey", answers.parse_sinks(answers.extract_json(F.col("res"), "pre"))[0].alias("sink"))
 
 
 @query("udf_llm_async_batch", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'answer ' || n_nationkey WHEN 1 THEN 'Error: request errored' END AS res FROM nation")
@@ -324,11 +335,14 @@ def udf_canned(spark, sf_dir):
     return said.select("n_nationkey", (answers.access_level(F.col("res")) != "invalid").alias("known"))
 
 
-@query("udf_encode_code", "SELECT p_partkey, CAST(len(string_split(p_name || ' ' || p_type, ' ')) AS BIGINT) AS n FROM part")
-def udf_encode_code(spark, sf_dir):
-    def words():
-        return lambda s: len(s.split(" "))
+CODE_SQL = "repeat('<s>' || p_name || ' ' || p_type, 15)"
 
-    return t(spark, sf_dir, "part").select("p_partkey", models.token_counts(F.concat_ws(" ", "p_name", "p_type"), words).alias("n"))
 
+@query("udf_encode_code", f"SELECT p_partkey, CAST(len(ids) AS BIGINT) AS n, CAST(list_sum(ids) AS BIGINT) AS total FROM (SELECT p_partkey, list_transform(string_split({CODE_SQL.replace('<s>', '')}, ''), lambda c: ord(c))[1:512] AS ids FROM part)")
+def udf_encode_code(spark, sf_dir):
+    def characters():
+        return lambda s: [1 if c == "\x01" else ord(c) for c in s]  # 1: a special id
 
+    code = F.repeat(F.concat(F.lit("\x01"), "p_name", F.lit(" "), "p_type"), 15)
+    ids = models.encode_ids(code, characters, 512, frozenset([1]))
+    return t(spark, sf_dir, "part").select("p_partkey", ids.alias("ids")).select("p_partkey", F.size("ids").cast("long").alias("n"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))

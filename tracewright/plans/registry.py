@@ -29,9 +29,13 @@ def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A path of its own in the folder that all executors share, or where none is named (tests on one machine) in a temporary one."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own in the folder that all executors share, spark.checkpoint.dir. Where none is named, one machine's temporary folder
+    does only if everything runs on it; a cluster would lose what its machines write there."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir")
+    if not root and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{(root or tempfile.gettempdir()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 # stand-ins: execution paths from events, levels from orders, sinks from embeddings -------------------------------------------------

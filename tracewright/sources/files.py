@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,14 +49,15 @@ def csv_dir(spark: SparkSession, folder: str, code_col: str = "Code Merged") ->
 
 
 def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of the folder by their header; the driver sees one line a file."""
+    """Files of the folder by their header, of any number of cells; the driver sees one line a file. Cells without a name, and
+    further ones of a name, get their place as name."""
     first = spark.read.option("wholetext", False).option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value")
     heads = first.where("b = 0").groupBy(plain_path(F.col("p")).alias("p")).agg(F.first("value").alias("h"))
-    schema = F.from_csv(F.col("h"), F.lit(", ".join(f"c{i} string" for i in range(32))), {"quote": '"', "escape": '"'})
-    cells = heads.select("p", F.array_compact(F.array(*[schema[f"c{i}"] for i in range(32)])).alias("cells"))
     out: dict[tuple[str, ...], list[str]] = {}
-    for r in cells.collect():
-        out.setdefault(tuple(c.lstrip("﻿").strip() for c in r["cells"]), []).append(r["p"])
+    for r in heads.collect():
+        cells = [c.strip() for c in next(csv.reader([r["h"].lstrip("\ufeff")]), [])]
+        names = tuple(c if c and c not in cells[:i] else f"_c{i}" for i, c in enumerate(cells))
+        out.setdefault(names, []).append(r["p"])
     return {k: sorted(v) for k, v in out.items()}
 
 
