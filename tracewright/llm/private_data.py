@@ -6,11 +6,12 @@ share transition potentials; distant tokens that repeat or resemble one another
 digits) share skip potentials, which pull their labels together. Loopy message passing gives each token's marginals; runs
 of one confident label that overlap no base span, and could be an address or number of that kind, are added.
 
-Weights are trained on at most `sample_docs` documents (default 1,500, by a hash of the id), labelled by the base patterns; in copies
+Weights are trained on at most `sample_docs` documents (default 1,500, by a hash of the id, of up to SAMPLE_TEXT_BYTES), labelled by the base patterns; in copies
 of them, made from the same documents, some occurrences lose the sign that the pattern needs (a phone's plus) but keep their label.
 
 Defined results: null text is empty; whole texts of any length are scanned in linear time; repeated rows give equal results; positions
-are code points with exclusive ends; spans are ordered by kind as listed (email, ip, card, phone), then start.
+are code points with exclusive ends; spans are ordered by kind as listed (email, ip, card, phone), then start, then end; an empty table gives
+no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -28,6 +29,8 @@ from tracewright.llm.common import portions, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
+#: Longer texts stay out of the sample (not out of the scan), so that the driver holds at most SAMPLE_DOCS times this.
+SAMPLE_TEXT_BYTES = 1 << 16
 PASSES = 15
 SURE = 0.9
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -367,7 +370,7 @@ def scan_all(texts: list[str | None], field: Field) -> list[tuple[list[tuple[str
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
     """Train on at most sample_docs documents with a digit or an at sign."""
-    rows = docs.select(F.pmod(F.xxhash64(F.lit("private sample"), F.col(id_col)), F.lit(1 << 30)).alias("lot"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where(F.col("t").rlike("[0-9@]"))
+    rows = docs.select(F.pmod(F.xxhash64(F.lit("private sample"), F.col(id_col)), F.lit(1 << 30)).alias("lot"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where((F.octet_length("t") <= SAMPLE_TEXT_BYTES) & F.col("t").rlike("[0-9@]"))
     share = min(1.0, (1.5 * sample_docs + 100) / max(1, rows.count()))
     got = rows.where(F.col("lot") < int(share * (1 << 30))).orderBy("lot", "i").limit(sample_docs).collect()
     return train([r["t"] for r in got])
