@@ -5,7 +5,8 @@ times and fits the rest as a subset sum: every length gives the same share of it
 program over the remaining lengths closes what is left. Within a length, documents are picked in the order of a seeded hash.
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are separate documents; an empty table gives no rows; targets beyond 3 times a source's size are reshared.
+repeated rows are separate documents; rows of one length are taken in the order of their hash, then id; texts of any length count whole; an empty table
+gives no rows; targets beyond 3 times a source's size are reshared; further columns, whatever their names, are carried by mixed.
 Sizes at work: one row per (source, length) goes to the task that fits the source, one row per source to the one task that
 computes targets. Copies in a hot (source, length) are dealt over buckets of about ROWS_PER_BUCKET rows.
 """
@@ -85,6 +86,11 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: int = DP
             break
     found = np.flatnonzero(reached)
     at = int(found[np.argmin(np.abs(found - rest))])
+    longer = [int(lengths[k]) for k in np.flatnonzero((lengths > limit) & (counts > take))]
+    one = min(longer, default=None)
+    if one is not None and abs(one - rest) < abs(at - rest):  # one document over the program's limit, the shortest, comes nearer than all under it
+        take[int(np.flatnonzero(lengths == one)[0])] += 1
+        return take
     while at > 0:
         k, m = items[by[at]]
         take[k] += m
