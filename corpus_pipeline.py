@@ -6,7 +6,9 @@
 4. mixing: sources are brought to their target weights, a document taken n times is n rows;
 5. SentencePiece: the n best segmentations of each text, best first.
 
-All stages but the last return the columns of documents. A null text is rejected by the first stage.
+All stages but the last return the columns of documents. A null text is rejected by the first stage; repeated rows are one document to the
+second; texts of any length go through whole; an empty table gives an empty result; further columns are kept by all stages but the last, which
+returns its own.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import language_id, mixing, pieces, secrets, simhash
-from tracewright.llm.common import fresh_path, table
+from tracewright.llm.common import fresh_path, remove, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,10 +64,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder and reread."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; what lies between them is written to the shared folder, reread, and deleted once the next stage is
+    written. The last one's input stays for the reader of the result."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
         path = fresh_path(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -7,17 +7,21 @@ back-off weights. A text gets the language of the lowest cross-entropy per chara
 labelled rows that the models have not seen.
 
 Training reads labelled rows outside the test fold, at most `rows_per_language` of each language (default 400, chosen by a hash of
-the id); all texts are then scored whole.
+the id) with texts of up to SAMPLE_TEXT_BYTES; all texts are then scored whole.
 
 Defined results: null text or text without a letter is `und`, score 0, rejected; equal cross-entropies go to the smaller language
-code; a language needs 2 labelled rows to be learnt; without any learnt language all rows are `und`; repeated rows get equal results.
+code; a language needs 2 labelled rows to be learnt; without any learnt language all rows are `und`; texts of any length are scored whole,
+in portions; repeated rows get equal results; an empty table gives no rows; further columns are kept, but for those named like the operator's
+own, which are replaced.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +33,40 @@ from tracewright.llm.common import held, held_out, portions, table
 
 ROWS_PER_LANGUAGE = 400
 ORDER = 5
-LETTERS = re.compile(r"[^\W\d_]+")
-MEMO_WORDS = 300_000
+#: Longer labelled texts stay out of the sample (not out of the predictions), so that the driver holds at most languages times rows times this.
+SAMPLE_TEXT_BYTES = 1 << 16
+#: Bytes of the remembered scores of words, a column per language, and most words.
+MEMO_BYTES, MEMO_WORDS = 32 << 20, 300_000
+#: Most bytes of models that go to workers. They hold a column per language, so some tens of languages fit; more end in an error.
+MODEL_BYTES = 1 << 30
 LONG_WORD = 32
 MARK = 0x1FFFFF
 #: Odd multipliers, one per place of an n-gram, counted from its last character.
 _MULT = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) ^ (0xBF58476D1CE4E5B9 << k)) % (1 << 64) | 1 for k in range(8)], dtype=np.uint64)
 
 
+PLAIN_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+@lru_cache(maxsize=1)
+def letters() -> re.Pattern:
+    """Runs of letters, with the marks that combine with them (vowel signs of Indic and Thai scripts, accents of their own)."""
+    runs: list[list[int]] = []
+    for c in range(0x300, 0x20000):
+        if unicodedata.category(chr(c)) in ("Mn", "Mc"):
+            if runs and runs[-1][1] == c - 1:
+                runs[-1][1] = c
+            else:
+                runs.append([c, c])
+    marks = "".join(f"{chr(a)}-{chr(b)}" for a, b in runs)
+    return re.compile(rf"[^\W\d_]+(?:[{marks}]+[^\W\d_]*)*")
+
+
+def words_of(text: str | None) -> list[str]:
+    text = (text or "").lower()
+    return (PLAIN_LETTERS if text.isascii() else letters()).findall(text)
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(31))
     h = h * np.uint64(0x94D049BB133111EB)
@@ -151,6 +181,9 @@ def train(words: dict[str, Counter], order: int = ORDER) -> Models:
             weights[np.searchsorted(all_contexts, groups), k] = np.minimum(1.0, discount * kinds / total)
         grams.append((all_keys, shares))
         contexts.append((all_contexts, weights))
+    size = sum(a.nbytes for pair in [*grams, *contexts] for a in pair)
+    if size > MODEL_BYTES:
+        raise ValueError(f"models of {len(languages)} languages take {size} bytes: learn from fewer rows per language")
     return Models(languages, grams, contexts, 1.0 / (len(alphabet) + 1))
 
 
@@ -159,11 +192,12 @@ class Scorer:
 
     def __init__(self, models: Models):
         self.models, self.memo = models, {}
-        self.table = np.zeros((MEMO_WORDS, len(models.languages)))
+        self.words = max(1, min(MEMO_WORDS, MEMO_BYTES // (8 * len(models.languages))))
+        self.table = np.zeros((self.words, len(models.languages)))
 
     def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Log probability of each text under every language, and its characters with one end mark a word."""
-        split = [LETTERS.findall((t or "").lower()) for t in texts]
+        split = [words_of(t) for t in texts]
         memo = self.memo
         new = list(dict.fromkeys(w for ws in split for w in ws if w not in memo))
         extra: dict[str, np.ndarray] = {}
@@ -175,7 +209,7 @@ class Scorer:
                 end += 1
             some = new[begin:end]
             for w, s in zip(some, self.models.log_probabilities(some), strict=True):
-                if len(memo) < MEMO_WORDS and len(w) <= LONG_WORD:
+                if len(memo) < self.words and len(w) <= LONG_WORD:
                     self.table[len(memo)] = s
                     memo[w] = len(memo)
                 else:
@@ -244,13 +278,12 @@ def calibrate(models: Models, rows: list[tuple[str, str]]) -> Models:
 
 def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Models | None:
     """Train and calibrate on at most rows_per_language labelled rows of each language, none of the test fold."""
-    usable = F.col(text_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
+    usable = (F.octet_length(F.col(text_col).cast("string")) <= SAMPLE_TEXT_BYTES) & F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)
     rows = docs.where(usable).select(F.col(id_col).cast("string").alias("i"), F.col(lang_col).cast("string").alias("l"), F.col(text_col).cast("string").alias("t"))
     lot = F.pmod(F.xxhash64(F.lit("language sample"), "i"), F.lit(1 << 30))
-    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}
-    drawn = F.lit(False)
-    for lang, n in counts.items():
-        drawn = drawn | ((F.col("l") == lang) & (lot < int(min(1.0, 1.5 * rows_per_language / n + 50 / n) * (1 << 30))))
+    counts = {r["l"]: r["n"] for r in rows.groupBy("l").agg(F.count("*").alias("n")).collect()}  # a row per language
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (1.5 * rows_per_language + 50) / n) * (1 << 30)))]) if counts else None
+    drawn = lot < shares[F.col("l")] if counts else F.lit(False)
     first = F.row_number().over(Window.partitionBy("l").orderBy("lot", "i"))
     sample = rows.withColumn("lot", lot).where(drawn).withColumn("place", first).where(F.col("place") <= rows_per_language)
     got = sample.select("l", "t", "place").collect()
@@ -262,7 +295,7 @@ def fit(docs: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, id_col: str
         if r["place"] % 5 == 2:
             unseen.append((r["l"], r["t"]))
         else:
-            words[r["l"]].update(LETTERS.findall(r["t"].lower()))
+            words[r["l"]].update(words_of(r["t"]))
     words = {lang: w for lang, w in words.items() if w}
     return calibrate(train(words), [x for x in unseen if x[0] in words]) if words else None
 
