@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from bisect import bisect_left
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow.compute as pc
@@ -94,3 +96,18 @@ def held(name: str, fits, make):
         _HELD.clear()
         found = _HELD[name] = make()
     return found
+
+
+def overlap_test(spans: Iterable[tuple[int, int]]) -> Callable[[int, int], bool]:
+    """Whether an interval (start, exclusive end) overlaps any of spans, in any order, by binary search."""
+    starts: list[int] = []
+    reach: list[int] = []
+    for s, e in sorted(spans):
+        starts.append(s)
+        reach.append(max(e, reach[-1]) if reach else e)
+
+    def overlaps(begin: int, end: int) -> bool:
+        before = bisect_left(starts, end)
+        return before > 0 and reach[before - 1] > begin
+
+    return overlaps

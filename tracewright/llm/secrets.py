@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import portions, table
+from tracewright.llm.common import overlap_test, portions, table
 
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -251,7 +251,8 @@ def scan(text: str | None) -> list[tuple[str, int, int]]:
     for at, run in runs:
         spans += [("access", at + m.start(), at + m.end()) for m in ACCESS.finditer(run)]
         spans += [("hex", at + m.start(), at + m.end()) for m in HEX.finditer(run)]
-    free = [(at, x) for start, run in runs for at, x in candidates(start, run) if not any(s < at + len(x) and at < e for _, s, e in spans)]
+    taken = overlap_test((s, e) for _, s, e in spans)
+    free = [(at, x) for start, run in runs for at, x in candidates(start, run) if not taken(at, at + len(x))]
     tested = [(at, run, t) for at, run in free if (t := ordinary_p(run))]
     kept = [(at, at + len(run)) for (at, run, _), found in zip(tested, discoveries([t for _, _, t in tested]), strict=True) if found]
     end = -1
