@@ -9,7 +9,7 @@ of one confident label that overlap no base span, and could be an address or num
 Weights are trained on at most `sample_docs` documents (default 1,500, by a hash of the id, of up to SAMPLE_TEXT_BYTES), labelled by the base patterns; in copies
 of them, made from the same documents, some occurrences lose the sign that the pattern needs (a phone's plus) but keep their label.
 
-Defined results: null text is empty; whole texts of any length are scanned in linear time; repeated rows give equal results; positions
+Defined results: null text is empty; whole texts of any length are scanned in linear time (spans are looked up by binary search); repeated rows give equal results; positions
 are code points with exclusive ends; spans are ordered by kind as listed (email, ip, card, phone), then start, then end; an empty table gives
 no rows; further columns, whatever their names, are ignored.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import portions, table
+from tracewright.llm.common import overlap_test, portions, table
 
 KINDS = ("email", "ip", "card", "phone")
 SAMPLE_DOCS = 1500
 #: Longer texts stay out of the sample (not out of the scan), so that the driver holds at most SAMPLE_DOCS times this.
 SAMPLE_TEXT_BYTES = 1 << 16
 PASSES = 15
+#: Messages computed at once; bounds the memory beside a text's own edges.
+EDGES_AT_ONCE = 1 << 16
 SURE = 0.9
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -206,27 +209,32 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return (top + np.log(np.exp(a - top).sum(axis=axis, keepdims=True))).squeeze(axis)
 
 
-def pass_messages(unary: np.ndarray, edges: np.ndarray, pairs: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray]:
-    """Loopy belief propagation with damping, a fixed number of passes, all graphs at once: log marginals of nodes and of edges."""
-    e = len(edges)
-    source = np.concatenate([edges[:, 0], edges[:, 1]])
-    sink = np.concatenate([edges[:, 1], edges[:, 0]])
-    both = np.concatenate([pairs, pairs.transpose(0, 2, 1)])
-    back = np.concatenate([np.arange(e, 2 * e), np.arange(e)])
-    messages = np.zeros((2 * e, unary.shape[1]))
-    belief = unary
+def pass_messages(unary: np.ndarray, edges: np.ndarray, tables: np.ndarray, kinds: np.ndarray, passes: int = PASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Loopy belief propagation with damping, a fixed number of passes, all graphs at once: log marginals of nodes, and the beliefs and
+    messages they come from. tables: the potentials of each kind of edge. A pass goes over EDGES_AT_ONCE messages at a time, so that a
+    long text costs a few numbers per edge and label, not per pair of labels."""
+    e, size = len(edges), unary.shape[1]
+    source, sink = np.concatenate([edges[:, 0], edges[:, 1]]), np.concatenate([edges[:, 1], edges[:, 0]])
+    both, kind = np.concatenate([tables, tables.transpose(0, 2, 1)]), np.concatenate([kinds, kinds + len(tables)])
+    messages, belief = np.zeros((2 * e, size)), unary
     for _ in range(passes if e else 0):
-        cavity = belief[source] - messages[back]
-        new = _log_sum(cavity[:, :, None] + both, 1)
-        messages = 0.5 * messages + 0.5 * (new - _log_sum(new, 1)[:, None])
-        belief = unary.copy()
+        sent = np.empty_like(messages)
+        for a in range(0, 2 * e, EDGES_AT_ONCE):
+            at = np.arange(a, min(a + EDGES_AT_ONCE, 2 * e))
+            cavity = belief[source[at]] - messages[(at + e) % (2 * e)]
+            new = _log_sum(cavity[:, :, None] + both[kind[at]], 1)
+            sent[at] = 0.5 * messages[at] + 0.5 * (new - _log_sum(new, 1)[:, None])
+        messages, belief = sent, unary.copy()
         np.add.at(belief, sink, messages)
-    nodes = belief - _log_sum(belief, 1)[:, None]
-    if not e:
-        return nodes, pairs
+    return belief - _log_sum(belief, 1)[:, None], belief, messages
+
+
+def edge_marginals(belief: np.ndarray, messages: np.ndarray, edges: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Log marginals of edges by their two labels. pairs: each edge's potentials."""
+    e = len(edges)
     joint = (belief[edges[:, 0]] - messages[e:])[:, :, None] + (belief[edges[:, 1]] - messages[:e])[:, None, :] + pairs
-    flat = joint.reshape(e, -1)
-    return nodes, (flat - _log_sum(flat, 1)[:, None]).reshape(joint.shape)
+    flat = joint.reshape(e, pairs.shape[1] * pairs.shape[2])
+    return (flat - _log_sum(flat, 1)[:, None]).reshape(joint.shape) if e else joint
 
 
 def marginals(graphs: list[Graph], field: Field) -> list[np.ndarray]:
@@ -234,13 +242,20 @@ def marginals(graphs: list[Graph], field: Field) -> list[np.ndarray]:
     n, rows, cols, edges, kinds = _joined(graphs)
     unary = np.zeros((n, len(LABELS)))
     np.add.at(unary, rows, field.unary[cols])
-    nodes, _ = pass_messages(unary, edges, np.stack([field.chain, field.skip])[kinds])
+    nodes = pass_messages(unary, edges, np.stack([field.chain, field.skip]), kinds)[0]
     ends = np.cumsum([len(g.x) for g in graphs])
     return [np.exp(nodes[b - len(g.x) : b]) for g, b in zip(graphs, ends, strict=True)]
 
 
 def labels_of(g: Graph, spans: list[tuple[str, int, int]]) -> list[int]:
-    return [next((LABELS.index(k) for k, s, e in spans if s < end and begin < e), 0) for begin, end in g.spans]
+    """Per token, the label of the first of spans that overlaps it."""
+    labels, ends = [0] * len(g.spans), [end for _, end in g.spans]
+    for k, s, e in spans:
+        i = bisect_right(ends, s)
+        while i < len(ends) and g.spans[i][0] < e:
+            labels[i] = labels[i] or LABELS.index(k)
+            i += 1
+    return labels
 
 
 def weakened(text: str, spans: list[tuple[str, int, int]], chooser: random.Random) -> tuple[str, list[tuple[str, int, int]]]:
@@ -309,7 +324,9 @@ def train(texts: list[str], seed: int = 7, steps: int = 80) -> Field:
     for step in range(1, steps + 1):
         unary = np.zeros((n, size))
         np.add.at(unary, at, weights[0][cols])
-        nodes, joint = pass_messages(unary, edges, np.stack(weights[1:])[kinds], 8)
+        tables = np.stack(weights[1:])
+        nodes, belief, messages = pass_messages(unary, edges, tables, kinds, 8)
+        joint = edge_marginals(belief, messages, edges, tables[kinds])
         p = np.exp(nodes)
         expected = np.zeros_like(weights[0])
         np.add.at(expected, cols, p[at])
@@ -342,14 +359,14 @@ def _could_be(kind: str, body: str) -> bool:
 def added_spans(g: Graph, p: np.ndarray, text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Runs of tokens with one sure label next to each other that overlap no base span."""
     label = np.where(p.max(axis=1) >= SURE, p.argmax(axis=1), 0)
-    linked, out, i = set(g.chain), [], 0
+    linked, taken, out, i = set(g.chain), overlap_test((s, e) for _, s, e in base), [], 0
     while i < len(label):
         j = i
         while label[i] and j + 1 < len(label) and label[j + 1] == label[i] and (j, j + 1) in linked:
             j += 1
         if label[i]:
             kind, begin, end = LABELS[label[i]], g.spans[i][0], g.spans[j][1]
-            if _could_be(kind, text[begin:end]) and not any(s < end and begin < e for _, s, e in base):
+            if not taken(begin, end) and _could_be(kind, text[begin:end]):
                 out.append((kind, begin, end))
         i = j + 1
     return out
