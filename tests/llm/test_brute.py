@@ -348,6 +348,43 @@ def test_op7(spark, documents, model):
         assert r.n_best_crc32 == ",".join(str(zlib.crc32(i)) for _, i in found)
 
 
+def plain_n_best(text, n=4):
+    """Scores of the n best segmentations of a whole text, best first, by the n best ways up to each place of the uncut lattice."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = {sp.id_to_piece(i): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))}
+    unknown, longest = min(x for x in plain.values() if x > -1e8) - 10, max(map(len, plain))
+
+    def scores(t):
+        body = "\u2581" + t.replace(" ", "\u2581") if t else ""
+        best = [[0.0]] + [[] for _ in body]
+        for end in range(1, len(body) + 1):
+            ways = []
+            for begin in range(max(0, end - longest), end):
+                piece = body[begin:end]
+                score = plain.get(piece, unknown if len(piece) == 1 else None)
+                if score is not None:
+                    ways += [b + score for b in best[begin]]
+            best[end] = sorted(ways, reverse=True)[:n]
+        return best[-1]
+
+    return [scores(t or "") for t in text]
+
+
+def test_op7_against_the_uncut_lattice(spark, tmp_path):
+    """The query's scores, and its best segmentations' round trip, on a table of texts with ties, unknown characters and none."""
+    chooser = random.Random(8)
+    texts = [None, "", " ", "  a", "the cat, is. a\nb", "\u6587\u5b57 \u00e9t\u00e9", "x" * 60, "th th th", "\U0001f600 ok"]
+    texts += ["".join(chooser.choice(["the ", "and", " on", "x", "\u00f1", ", ", "\n", "12", "ing", "\u6587"]) for _ in range(chooser.randrange(30))) for _ in range(120)]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in catalog.QUERIES["op7_n_best_pieces"](spark, str(tmp_path)).collect()}
+    assert len(got) == len(texts)
+    for i, want in enumerate(plain_n_best(texts)):
+        assert got[i].n_best == ",".join(f"{s:.0f}" for s in want) and got[i].score == want[0] and got[i].round_trip
+        assert len(set(got[i].n_best_crc32.split(","))) == len(want)
+
+
 # 9: token files --------------------------------------------------------------------------------------------------------------------
 
 
