@@ -145,7 +145,7 @@ def nearest_by_cosine(vectors: DataFrame, is_query, k: int = 5, id_col: str = "v
     queries = cut(one_per_id(rows.where(is_query)))
     size = rows.agg(F.count("*").alias("n"), F.max("dim").alias("dim")).first()
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards_for(size["n"], 8 * (size["dim"] or 1) + 12 * PROJECTIONS, 4096, 12)
+    shards = shards_for(size["n"], 8 * (size["dim"] or 1) + 12 * PROJECTIONS)
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def answers(index, owners, data):

@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     codes = cut(binary_codes(vectors, id_col, vector_col))
     queries = cut(one_per_id(codes.where(is_query)))
     tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = shards_for(codes.count(), ROW_BYTES, 512, 32)
+    shards = shards_for(codes.count(), ROW_BYTES)
     kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.int64())])
 
     def answers(index, owners, data):

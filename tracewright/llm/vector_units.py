@@ -1,6 +1,6 @@
 """Shards and lanes for searches of a stated query set against all rows.
 
-Rows are dealt by a hash of their id to shards of bounded bytes. A lane is a share of the queries, so that a few shards with many queries
+Rows are dealt by a hash of their id to shards of bounded bytes. A lane is a share of the queries, so that a few shards
 still make many tasks: each shard goes once to every lane, each query once to every shard, and a unit of work is a shard and a lane, a
 key of its own in the one shuffle. Within its task a unit's rows come first, then its queries, so that an index is built once a unit and
 queries stream past it, however many there are. No pair of single rows is ever made.
@@ -15,21 +15,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Bytes of rows and of their index in a shard, and queries that make another lane worth a copy of the shard.
+#: Bytes of rows and of their index in a shard, and queries that make another lane worth a copy of the shard and of its index.
 SHARD_BYTES = 64 << 20
-QUERIES_PER_LANE = 4096
+QUERIES_PER_LANE = 128
+#: More queries than this make another lane in any case, so that a unit's work is bounded, and what a lost executor costs.
+MOST_PER_LANE = 1 << 14
 UNITS = 10_000
 QUERIES_AT_ONCE = 1024
 
 
-def shards_for(n: int, row_bytes: int, least_rows: int, usual: int) -> int:
-    """Shards of about least_rows up to the usual number, then more only as SHARD_BYTES demands."""
-    return max(1, math.ceil(n * row_bytes / SHARD_BYTES), min(usual, math.ceil(n / least_rows)))
+def shards_for(n: int, row_bytes: int) -> int:
+    """As few shards as SHARD_BYTES allows: a search of a large one ends sooner than those of its parts, for its kth best is nearer."""
+    return max(1, math.ceil(n * row_bytes / SHARD_BYTES))
 
 
 def lanes_for(queries: int, shards: int, tasks: int) -> int:
-    """Lanes that bring the units up to the number of tasks wanted, as far as there are queries for them."""
-    return max(1, min(math.ceil(tasks / shards), math.ceil(queries / QUERIES_PER_LANE)))
+    """Lanes that bring the units up to the number of tasks wanted, as far as there are queries for them, and bound each lane."""
+    wanted = min(math.ceil(tasks / shards), math.ceil(queries / QUERIES_PER_LANE))
+    return max(1, wanted, math.ceil(queries / MOST_PER_LANE))
 
 
 def one_per_id(rows: DataFrame) -> DataFrame:
