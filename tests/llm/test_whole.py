@@ -103,6 +103,35 @@ def test_short_secret(length):
     assert sum(random_spans(f"see {''.join(chooser.choice('road house river'.split()) for _ in range(9))[: length - 4]}2024 now") != [] for _ in range(100)) <= 3
 
 
+UNLIKE = "paragraph subject invoice warehouse monday customer payment refund velocity javascript blueprint journal quality index exchange".split()
+
+
+@pytest.mark.parametrize(
+    "make, most",
+    [
+        (lambda c: f"{c.randrange(1990, 2030)}-{c.randrange(1, 13):02d}-{c.randrange(1, 29):02d}T{c.randrange(24):02d}-{c.randrange(60):02d}-00Z", 0),
+        (lambda c: f"INV-{c.randrange(2000, 2030)}-{c.randrange(10**6):06d}-AX", 0),
+        (lambda c: "_".join(c.choices(UNLIKE, k=4)) + f"_{c.randrange(100)}_v{c.randrange(9)}", 0),
+        (lambda c: "/usr/lib/" + "/".join(c.choices(UNLIKE, k=3)) + f"/{c.choice(UNLIKE)}{c.randrange(100)}", 0),
+        (lambda c: "".join(c.choices(UNLIKE, k=3)) + str(c.randrange(10000)), 2),
+        (lambda c: "".join(w + str(c.randrange(10)) for w in c.choices(UNLIKE, k=4)), 20),
+    ],
+)
+def test_ordinary_strings_alone_and_together(make, most):
+    """Strings that no generator of the reference distribution makes, of other words: of 100 texts with one, at most so many report it; of 500
+    in texts of 50, at most 4 % are reported."""
+    chooser = random.Random(21)
+    assert sum(random_spans(f"see {make(chooser)} now") != [] for _ in range(100)) <= most
+    assert sum(len(random_spans(" ".join(make(chooser) for _ in range(50)))) for _ in range(10)) <= 20
+
+
+def test_equal_pairs():
+    assert secrets._pairs_p("abcdefghij", 36) == 1.0
+    lone, many = secrets._pairs_p("abxyzwabqr", 36), secrets._pairs_p("user1user2user3user4", 36)
+    rate = 9 * 8 / 2 / 36**2
+    assert abs(lone - (1 - np.exp(-rate))) < 1e-12 and many < 1e-9
+
+
 def test_paths_are_no_secrets():
     for t in ("https://x.org/some-path/to_some/page-2/of/3", "src/main-app/java_files/User2Name/index-1", "a-b/c_d/e-f/g_h/i-j/k_l/1-2/3_4"):
         assert secrets.scan(t) == []

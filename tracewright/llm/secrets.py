@@ -1,9 +1,9 @@
 """Secret scan: fixed patterns plus a randomness test battery under false-discovery control (operator 8).
 
 Base spans come from three patterns. The battery looks at every other run of key characters: it infers the run's encoding, then
-tests its symbols by chi-squared uniformity (over groups of neighbouring and of alike common symbols), a runs test and lag-1 serial
-correlation. The battery's score of a run is
-compared with the scores of ordinary, structured strings of the same encoding and length (words, identifiers, counters, dates),
+tests its symbols by chi-squared uniformity (over groups of neighbouring and of alike common symbols), a runs test, lag-1 serial
+correlation and a serial test of pairs (neighbours that come again). The battery's score of a run is
+compared with the scores of ordinary, structured strings of the same encoding and length (words, made-up words, identifiers, counters, dates),
 which gives the p-value of "ordinary"; over the highest scores a fitted tail gives it, so that it can be as small as documents with
 many runs ask. Within a document a weighted Benjamini-Hochberg step, with weights that grow with the
 run's length in bits, decides which runs are reported as kind `random`.
@@ -20,6 +20,7 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pyarrow as pa
@@ -102,9 +103,21 @@ def _uniform_p(places: list[int], size: int) -> float:
     return _chi_tail(sum((c - n * e / size) ** 2 / (n * e / size) for c, e in zip(counts, expected, strict=True)), groups - 1)
 
 
-def battery(run: str, name: str) -> tuple[float, float, float, float]:
+def _pairs_p(body: str, size: int) -> float:
+    """p-value of as many equal pairs among all pairs of neighbours (Poisson): words and counters come again, random symbols seldom do."""
+    n = len(body) - 1
+    equal = sum(c * (c - 1) // 2 for c in Counter(zip(body, body[1:], strict=False)).values())
+    rate = n * (n - 1) / 2 / size**2
+    term, below = math.exp(-rate), 0.0
+    for k in range(equal):
+        below += term
+        term *= rate / (k + 1)
+    return 1 - below if 1 - below > 1e-12 else max(1e-300, term)
+
+
+def battery(run: str, name: str) -> tuple[float, float, float, float, float]:
     """p-values of uniformity over an encoding: chi-squared over groups of neighbouring and of alike common symbols, runs about the
-    alphabet's middle, lag-1 serial correlation."""
+    alphabet's middle, lag-1 serial correlation, equal pairs of neighbours."""
     value, rank = _VALUES[name], _RANKS[name]
     body = run.rstrip("=")
     v = [value[c] for c in body]
@@ -123,7 +136,7 @@ def battery(run: str, name: str) -> tuple[float, float, float, float]:
     var = sum((x - m) ** 2 for x in v)
     r = sum((a - m) * (b - m) for a, b in zip(v, v[1:], strict=False)) / var if var else 1.0
     p_serial = _normal_tail((r + 1 / n) * math.sqrt(n))
-    return p_value, p_rank, p_runs, p_serial
+    return p_value, p_rank, p_runs, p_serial, _pairs_p(body, size)
 
 
 def _changes(run: str) -> float:
@@ -134,20 +147,32 @@ def _changes(run: str) -> float:
 
 def randomness(run: str, name: str) -> float:
     """Larger is more random: the Bonferroni p-value of the battery, scaled by how often neighbours change class. The factor stands beside the
-    battery: words, counters and dates keep to one class, which three tests on a few symbols don't always see. As the same score is
+    battery: words, counters and dates keep to one class, which tests on a few symbols don't always see. As the same score is
     taken of ordinary strings, it changes which runs rank high, not how often an ordinary one is reported."""
-    return min(1.0, 4 * min(battery(run, name))) * _changes(run.rstrip("="))
+    found = battery(run, name)
+    return min(1.0, len(found) * min(found)) * _changes(run.rstrip("="))
 
 
 _SYLLABLES = "the and ing er ion con pro ent ter com re in st ate al ver per ist der us est out man ness able ment form data user name path file get set list item node page view base main test code type text line id key app src lib bin tmp log img css org net www v".split()
 
 
+_ONSETS = "b c d f g h j k l m n p qu r s t v w x y z br cl dr fl gr kr pl ph sh st th tr wh".split()
+_VOWELS = "a e i o u y ai ea ee io oo ou".split()
+_CODAS = ["", "", "", "", *"n r s t l ck ng x rt st m zz".split()]
+
+
+def _made_up(chooser: random.Random) -> str:
+    """A word of one to three syllables that can be said; rare letters are as common in it as others."""
+    return "".join(chooser.choice(_ONSETS) + chooser.choice(_VOWELS) + chooser.choice(_CODAS) for _ in range(chooser.randrange(1, 4)))
+
+
 def _ordinary(chooser: random.Random, length: int, chars: frozenset, name: str) -> str:
     """A structured string that no generator of secrets wrote: words, identifiers, counters, dates and repeats."""
-    upper, kind, out = name in ("HEX", "BASE36", "base32"), chooser.randrange(5), ""
+    upper, kind, out = name in ("HEX", "BASE36", "base32"), chooser.randrange(8), ""
+    common, title = chooser.random() < 0.5, chooser.random() < 0.3
     capital = kind == 1 and chooser.random() < 0.5
     while len(out) < length:
-        word = chooser.choice(_SYLLABLES)
+        word = chooser.choice(_SYLLABLES) if common else _made_up(chooser)
         if capital:
             out += word.title()
             if len(out) >= length:
@@ -161,8 +186,15 @@ def _ordinary(chooser: random.Random, length: int, chars: frozenset, name: str)
             out += f"{chooser.randrange(1990, 2030)}{chooser.randrange(1, 13):02d}{chooser.randrange(1, 29):02d}" + word
         elif kind == 3:
             out += f"{chooser.randrange(1000):08d}" + word * chooser.randrange(2)
-        else:
+        elif kind == 4:
             out += (word * 2 + str(chooser.randrange(1000)))[: chooser.randrange(3, 9)] * 2
+        elif kind == 5:
+            word += _made_up(chooser)
+            out += (word.title() if title else word) + str(chooser.randrange(10 ** chooser.randrange(1, 3)))
+        elif kind == 6:
+            out += word + _made_up(chooser) + str(chooser.randrange(10 ** chooser.randrange(2, 7)))
+        else:
+            out += word.upper()[: chooser.randrange(1, 4)] + str(chooser.randrange(10 ** chooser.randrange(4, 21)))
     out = out.upper() if upper else out.lower() if name in ("hex", "base36") else out
     out = "".join(c for c in out if c in chars)
     return (out * (length // max(1, len(out)) + 1))[:length] if out else min(chars) * length
