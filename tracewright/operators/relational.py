@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.arrays import level_rank
+from tracewright.operators.running import numbered, running
 from tracewright.schemas import INVALID, LEVELS
 
 
@@ -131,18 +132,14 @@ LABELS_BROADCAST = 10_000
 def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.8, seed: int = 42) -> DataFrame:
     """df with split: per label the first share of rows in a seeded order are 'train', the others 'test'.
 
-    All rows are numbered by label and order over range partitions, so that a label's rows are not one task's; a row's place in its label
-    is its number less the rows of the labels before.
+    Rows get their place in their label as a running count over range partitions, so that a label's rows are not one task's.
     """
-    lot = F.struct(F.col(label).alias("l"), F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
-    ordered = numbered(df.withColumn("__lot", lot), "__lot").drop("__lot")
+    lot = F.xxhash64(F.lit(seed), F.col(key))
+    ordered = running(df.withColumn("__lot", lot), [label], ["__lot", key], {"__n": F.lit(1)}).drop("__lot")
     sizes = df.groupBy(F.col(label).alias("__label")).agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__label").rowsBetween(Window.unboundedPreceding, -1)  # a row per label
-    sizes = sizes.withColumn("__start", F.coalesce(F.sum("__size").over(before), F.lit(0)))
     sizes = F.broadcast(sizes) if sizes.count() <= LABELS_BROADCAST else sizes
     joined = ordered.join(sizes, ordered[label].eqNullSafe(sizes["__label"]))
-    place = F.col("__n") - F.col("__start") + 1
-    return joined.withColumn("split", F.when(place <= F.floor(F.col("__size") * share), "train").otherwise("test")).drop("__n", "__label", "__size", "__start")
+    return joined.withColumn("split", F.when(F.col("__n") <= F.floor(F.col("__size") * share), "train").otherwise("test")).drop("__n", "__label", "__size")
 
 
 def seeded_order(df: DataFrame, group: str, key: str, seed: int = 42) -> DataFrame:
@@ -161,34 +158,20 @@ def oversample_merged(df: DataFrame, label: str, text: str, key: str, minority:
     if not few or not lack:
         return df.select(text, label)
     lot = F.struct(F.xxhash64(F.lit(seed), F.col(key)).alias("h"), F.col(key).alias("k"))
-    ordered = numbered(df.where(F.col(label) == minority).select(F.col(text).alias("t"), lot.alias("lot")), "lot", "n").select("t", "n")
+    ordered = numbered(df.where(F.col(label) == minority).select(F.col(text).alias("t"), lot.alias("lot")), "lot", out="n").select("t", "n")
     made = spark.range(lack).select((F.col("id") % few).alias("a"), F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(few)).alias("b"))
     one, two = ordered.toDF("ta", "a"), ordered.toDF("tb", "b")
     merged = made.join(one, "a").join(two, "b").select(F.concat("ta", F.lit("; "), "tb").alias(text), F.lit(minority).cast(df.schema[label].dataType).alias(label))
     return df.select(text, label).unionByName(merged)
 
 
-def numbered(df: DataFrame, key: str, out: str = "__n") -> DataFrame:
-    """df with consecutive numbers from 0 by key, without one task that sorts all rows: rows are range-partitioned by key, numbered in
-    each partition, and each partition's numbers start after those before it (one row per partition is summed up)."""
-    spark = df.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(parts, key).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(key)) - 1)
-    sizes = ranged.groupBy("__part").agg(F.count("*").alias("__size"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("__part", F.coalesce(F.sum("__size").over(before), F.lit(0)).alias("__start"))
-    return local.join(starts, "__part").withColumn(out, (F.col("__start") + F.col("__local")).cast("long")).drop("__part", "__local", "__start")
-
-
 def contiguous_parts(df: DataFrame, key: str, n: int) -> DataFrame:
     """df with part from 1: n contiguous parts by key, the first ones a row longer if the rows do not divide evenly; empty parts vanish."""
-    total = df.count()
-    small, longer = divmod(total, n)
-    i = F.col("__n")
+    i, total = F.col("__n"), F.col("__rows")
+    small, longer = F.floor(total / n), total % n
     cut = longer * (small + 1)
-    part = F.when(i < cut, F.floor(i / (small + 1))).otherwise(longer + F.floor((i - cut) / max(1, small)))
-    return numbered(df, key).withColumn("part", (part + 1).cast("long")).drop("__n")
+    part = F.when(i < cut, F.floor(i / (small + 1))).otherwise(longer + F.floor((i - cut) / F.greatest(small, F.lit(1))))
+    return numbered(df, key, total="__rows").withColumn("part", (part + 1).cast("long")).drop("__n", "__rows")
 
 
 def batches(df: DataFrame, key: str, size: int) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import arrays
 from tracewright.operators import paths, relational
+from tracewright.operators.running import running
 from tracewright.plans.registry import LEVELS_SQL, PATHS, RANK, levels, path_rows, query, t
 from tracewright.schemas import INVALID
 
@@ -308,8 +309,8 @@ def agg_cls_metrics(spark, sf_dir):
 
 @query("win_state_fill", "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS held FROM conversations")
 def win_state_fill(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("held"))
+    turns = t(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    return running(turns, ["conv_id"], ["turn"], lasts={"held": F.when(F.col("role") == "user", F.col("turn"))}).select("conv_id", "turn", "held")
 
 
 @query("win_prefixes", "WITH w AS (SELECT p_partkey, string_split(p_type, ' ') AS a FROM part) SELECT p_partkey, array_to_string(list_transform(range(1, len(a) + 1), lambda i: array_to_string(a[1:i], ' ')), '|') AS prefixes FROM w")
@@ -381,14 +382,14 @@ def smp_oversample_merge(spark, sf_dir):
     return made.groupBy("quality").agg(F.count("*").alias("n"), F.count_if(F.contains("code", F.lit("; "))).alias("merged"))
 
 
-@query("part_split_n", "SELECT doc_id, ntile(7) OVER (ORDER BY doc_id) AS part FROM documents")
+@query("part_split_n", "SELECT doc_id, source, ntile(7) OVER (ORDER BY doc_id) AS part FROM documents")
 def part_split_n(spark, sf_dir):
-    return relational.contiguous_parts(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 7)
+    return relational.contiguous_parts(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 7)
 
 
-@query("part_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 150 AS batch FROM documents")
+@query("part_batches", "SELECT doc_id, source, (row_number() OVER (ORDER BY doc_id) - 1) // 150 AS batch FROM documents")
 def part_batches(spark, sf_dir):
-    return relational.batches(t(spark, sf_dir, "documents").select("doc_id"), "doc_id", 150)
+    return relational.batches(t(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id", 150)
 
 
 # numbers ---------------------------------------------------------------------------------------------------------------------------
