@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from tracewright.llm.collision import op2_collision_counting
+from tracewright.llm.divergence import OP11_SQL, op11_source_divergence
+from tracewright.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
 from tracewright.llm.html_text import op5_html_main_text
 from tracewright.llm.language_id import op6_language_id
 from tracewright.llm.mixing import op10_mix_sources
@@ -24,5 +26,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_token_files": op9_token_files,
     "op10_mix_sources": op10_mix_sources,
+    "op11_source_divergence": op11_source_divergence,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_hamming_top_k": OP1_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_hamming_top_k": OP1_SQL, "op11_source_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}

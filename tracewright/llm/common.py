@@ -53,6 +53,13 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table of its own in the shared folder: computed once, however often it is read, and of a size that Spark knows."""
+    path = fresh_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def held_out(doc_id: str = "doc_id"):
     """The test fold: crc32 of the id's decimal text leaves 2 on division by 4. A null id is in neither fold."""
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
