@@ -61,8 +61,8 @@ def test_running_equals_windows(spark, hot):
     chooser.shuffle(rows)
     df = spark.createDataFrame(rows, "g int, o long, v int, s string").repartition(5)
     w = Window.partitionBy("g").orderBy("o").rowsBetween(Window.unboundedPreceding, 0)
-    want = df.select("*", F.sum("v").over(w).alias("total"), F.count("*").over(w).alias("place"), F.last("s", ignorenulls=True).over(w).alias("held"))
-    got = running(df, ["g"], ["o"], {"total": F.col("v"), "place": F.lit(1)}, {"held": F.col("s")})
+    want = df.select("*", F.sum("v").over(w).alias("total"), F.count("*").over(w).alias("place"), F.last("s", ignorenulls=True).over(w).alias("held"), F.first("s").over(w).alias("opening"))
+    got = running(df, ["g"], ["o"], {"total": F.col("v"), "place": F.lit(1)}, {"held": F.col("s")}, {"opening": F.col("s")})
     assert got.columns == want.columns
     assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
 

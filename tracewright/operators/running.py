@@ -39,27 +39,30 @@ def numbered(df: DataFrame, *order: str | Column, out: str = "__n", total: str |
     return rows.join(F.broadcast(starts), PART).select(*[F.col(f"`{c}`") for c in df.columns], number, *([F.col(TOTAL).alias(total)] if total else []))
 
 
-def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None) -> DataFrame:
-    """df with running values of each row's group, a null key being a key: sums (long) over its rows up to and with this one in this order, and the
-    last values up to there that are not null. Rows of a group that are equal in the order come in any order."""
-    sums, lasts = sums or {}, lasts or {}
+def running(df: DataFrame, keys: list[str], order: list[str | Column], sums: dict[str, Column] | None = None, lasts: dict[str, Column] | None = None, firsts: dict[str, Column] | None = None) -> DataFrame:
+    """df with running values of each row's group, a null key being a key: sums (long) over its rows up to and with this one in this order, the
+    last values up to there that are not null, and the values, null or not, of the group's first row. Rows of a group that are equal in the order
+    come in any order."""
+    sums, lasts, firsts = sums or {}, lasts or {}, firsts or {}
     value = lambda name: f"__v_{name}"
-    rows = in_order(df.select("*", *[c.cast("long").alias(value(n)) for n, c in sums.items()], *[c.alias(value(n)) for n, c in lasts.items()]), *keys, *order)
+    rows = in_order(df.select("*", *[c.cast("long").alias(value(n)) for n, c in sums.items()], *[c.alias(value(n)) for n, c in (lasts | firsts).items()]), *keys, *order)
     here = Window.partitionBy(PART, *keys).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*keys).orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
     held = rows.groupBy(PART, *keys).agg(
         F.count("*").alias("__rows"),
         *[F.sum(value(n)).alias(value(n)) for n in sums],
         *[F.max_by(value(n), F.when(F.col(value(n)).isNotNull(), F.col(PLACE))).alias(value(n)) for n in lasts],
+        *[F.min_by(value(n), PLACE).alias(value(n)) for n in firsts],
     )
     renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
-    carried = held.select(F.col(PART).alias("__at"), *renamed, F.sum("__rows").over(before).alias("__earlier"), *[F.sum(value(n)).over(before).alias(f"__c_{n}") for n in sums], *[F.last(value(n), ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts])
+    carried = held.select(F.col(PART).alias("__at"), *renamed, F.sum("__rows").over(before).alias("__earlier"), *[F.sum(value(n)).over(before).alias(f"__c_{n}") for n in sums], *[F.last(value(n), ignorenulls=True).over(before).alias(f"__c_{n}") for n in lasts], *[F.first(value(n)).over(before).alias(f"__c_{n}") for n in firsts])
     carried = carried.where(F.col("__earlier") > 0)
     met = F.col(PART) == F.col("__at")
     for i, k in enumerate(keys):
         met = met & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    local = [F.sum(value(n)).over(here).alias(f"__l_{n}") for n in sums] + [F.last(value(n), ignorenulls=True).over(here).alias(f"__l_{n}") for n in lasts]
+    local = [F.first(value(n)).over(here).alias(f"__l_{n}") for n in firsts] + [F.sum(value(n)).over(here).alias(f"__l_{n}") for n in sums] + [F.last(value(n), ignorenulls=True).over(here).alias(f"__l_{n}") for n in lasts]
     joined = rows.select("*", *local).join(F.broadcast(carried), met, "left")
     zero = F.lit(0).cast("long")
     made = [(F.coalesce(f"__l_{n}", zero) + F.coalesce(f"__c_{n}", zero)).alias(n) for n in sums] + [F.coalesce(f"__l_{n}", f"__c_{n}").alias(n) for n in lasts]
+    made += [F.when(F.col("__earlier").isNull(), F.col(f"__l_{n}")).otherwise(F.col(f"__c_{n}")).alias(n) for n in firsts]
     return joined.select(*[F.col(f"`{c}`") for c in df.columns], *made)
