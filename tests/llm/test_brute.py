@@ -33,7 +33,7 @@ def run(spark, name):
 
 def test_registered():
     assert set(catalog.QUERIES) | {"pipeline"} <= set(__spark_entry__.queries())
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in catalog.QUERIES) == list(range(1, 14))
 
 
 # 1 and 2: vectors ------------------------------------------------------------------------------------------------------------------

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tracewright.llm.chat_windows import OP12_SQL, op12_chat_windows
 from tracewright.llm.collision import op2_collision_counting
 from tracewright.llm.divergence import OP11_SQL, op11_source_divergence
 from tracewright.llm.fill_in_middle import OP13_SQL, op13_fill_in_middle
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_mix_sources": op10_mix_sources,
     "op11_source_divergence": op11_source_divergence,
+    "op12_chat_windows": op12_chat_windows,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
-ORACLE_SQL: dict[str, str] = {"op1_exact_hamming_top_k": OP1_SQL, "op11_source_divergence": OP11_SQL, "op13_fill_in_middle": OP13_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_exact_hamming_top_k": OP1_SQL, "op11_source_divergence": OP11_SQL, "op12_chat_windows": OP12_SQL, "op13_fill_in_middle": OP13_SQL}
