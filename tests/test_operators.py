@@ -83,13 +83,6 @@ def test_cosine_pairs_in_blocks(spark):
     assert similarity.cosine_pairs(df.limit(0), 0.5).collect() == []
 
 
-def test_units_of_the_join_share_no_key(spark):
-    rows = spark.range(600).select(F.col("id").cast("string").alias("g"), F.col("id").alias("i"), F.array(F.lit(1.0)).alias("v"))
-    found = similarity._units(rows, 6, 3).groupBy("block", "lane").agg(F.count_if(F.expr("asks = 0")).alias("own"), F.count_if(F.expr("asks = 1")).alias("others")).collect()
-    assert len(found) == 18 and sum(r["own"] for r in found) == 600 * 3 and sum(r["others"] for r in found) == 600 * 6
-    assert max(r["own"] for r in found) < 200 and max(r["others"] for r in found) < 300
-
-
 def test_stratified_split_is_that_of_one_sort_per_label(spark):
     rows = [(i, "a" if i % 10 < 7 else "b" if i % 10 < 9 else None, i % 3) for i in range(500)] + [(7, "a", 9), (7, "a", 9), (1000, "lone", 0)]
     df = spark.createDataFrame(rows, "k long, label string, x int")

@@ -1,26 +1,41 @@
 """Similar snippets across entry points: thresholded cosine join, best neighbour and diversified top-N.
 
-The join is quadratic by nature. Vectors are dealt to blocks of bounded bytes; a unit of work is a block and a lane, a share of all
-vectors, and a key of its own in the one shuffle. In its task the block's vectors come first and are scaled to length 1 once; the lane's stream past
-them as Arrow batches and meet them in matrix products. Only pairs above the threshold leave a unit, pairs of one entry point are
-masked inside the product. No side is broadcast.
+The join prunes by angles. Vectors are dealt to cells, each to its nearest centre; a cell's radius is the largest angle to its centre. By the triangle
+inequality a vector whose angle to a cell's centre exceeds that cell's radius by more than the threshold's angle has no partner there, and is not
+sent to it. Of two cells one holds the vectors that the other's are sent to, so that no two vectors meet twice.
+
+A cell is cut into blocks of bounded bytes, and what is sent to it into lanes; a unit of work is a block and a lane, with a number and a
+partition of its own in the one shuffle. In its task the block's vectors come first, the lane's stream past them as Arrow batches and meet them in
+matrix products. Only pairs above the threshold leave a unit, or, for the diversified choice, the best of each entry point and code. No side is
+broadcast; what goes to tasks by value are the centres, at most CELLS.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.arrays import cosine
+from tracewright.shared import written
 
 BLOCK_BYTES = 32 << 20
+#: Rows of a block that keeps the best per code, and entries of its table of them.
+BLOCK_ROWS, BEST_ENTRIES = 8192, 4 << 20
 UNITS = 10_000
+#: Cells: one for so many vectors, at most so many, found on a sample of so many vectors a cell.
+CELL_ROWS, CELLS, SAMPLE_A_CELL = 2048, 256, 16
+LANE_ROWS = 1 << 15
+#: Products at once.
+PRODUCTS = 4 << 20
 LIMIT = 1e-12
-ROWS_AT_ONCE = 512
+#: Angles are trusted to this many radians, similarities to so many digits.
+SLACK, DIGITS = 1e-6, 12
 
 
 def explode_sinks(api: DataFrame) -> DataFrame:
@@ -30,77 +45,324 @@ def explode_sinks(api: DataFrame) -> DataFrame:
     return api.where(F.size("embeddings") > 0).select("method", F.posexplode(both).alias("sink_idx", "z")).select("method", "sink_idx", F.col("z.code").alias("code"), F.col("z.embedding").alias("embedding"))
 
 
-def _units(rows: DataFrame, blocks: int, lanes: int) -> DataFrame:
-    """rows: g, i, v. Returns block, lane, asks (0: of the block, 1: of the lane) and the row; all of a unit in one partition, in this order."""
-    part = lambda salt, n: F.pmod(F.xxhash64(F.lit(salt), "g", "i"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    own = rows.withColumn("block", part(1, blocks)).withColumn("lane", every(lanes)).withColumn("asks", F.lit(0))
-    others = rows.withColumn("lane", part(2, lanes)).withColumn("block", every(blocks)).withColumn("asks", F.lit(1))
-    both = own.unionByName(others).select("block", "lane", "asks", "g", "i", "v")
-    return both.repartition(max(1, min(blocks * lanes, UNITS)), "block", "lane").sortWithinPartitions("block", "lane", "asks")
+def _matrix(lists: pa.Array) -> np.ndarray:
+    return np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(lists), -1)
+
+
+def _lists(v: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(v) + 1) * v.shape[1], pa.int32()), pa.array(v.ravel()))
+
+
+def _centres(rows: DataFrame, n: int, cells: int) -> np.ndarray:
+    """Centres of at most so many cells, on a sample that the driver can hold: seeded picks, each the likelier the farther it is from those
+    before it, then a few rounds of means."""
+    most = SAMPLE_A_CELL * cells
+    sample = rows.where(F.pmod(F.xxhash64(F.lit(3), "g", "i"), F.lit(max(1, n // most))) == 0).limit(2 * most).select("v").toArrow().column(0).combine_chunks()
+    if not len(sample):
+        return np.zeros((0, 0))
+    v, chooser = _matrix(sample), np.random.default_rng(3)
+    norms = np.sqrt((v * v).sum(axis=1))
+    v = v[np.isfinite(norms) & (norms > LIMIT)]
+    v /= np.sqrt((v * v).sum(axis=1))[:, None]
+    if not len(v):
+        return np.zeros((0, 0))
+    picked = [0]
+    far = 1 - v @ v[0]
+    while len(picked) < cells and far.max() > SLACK:
+        weight = np.maximum(far, 0) ** 2
+        picked.append(int(chooser.choice(len(v), p=weight / weight.sum())))
+        far = np.minimum(far, 1 - v @ v[picked[-1]])
+    centres = v[picked]
+    for _ in range(3):
+        nearest = (v @ centres.T).argmax(axis=1)
+        means = np.array([v[nearest == k].sum(axis=0) if (nearest == k).any() else centres[k] for k in range(len(centres))])
+        length = np.sqrt((means * means).sum(axis=1))
+        centres = np.where(length[:, None] > LIMIT, means / np.maximum(length, LIMIT)[:, None], centres)
+    return centres
 
 
-def _scaled(lists: pa.Array) -> np.ndarray:
-    v = np.asarray(lists.flatten().to_numpy(zero_copy_only=False), dtype=float).reshape(len(lists), -1)
-    return v / np.maximum(np.sqrt((v * v).sum(axis=1)), LIMIT)[:, None]
+def _angles(v: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(v @ centres.T, -1, 1))
+
+
+def _placed(rows: DataFrame, centres: np.ndarray, keep_zero: bool) -> DataFrame:
+    """rows with v scaled to length 1, the nearest cell and the angle to its centre. Vectors that aren't finite are left out, and those of length 0
+    unless a similarity of 0 counts."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = _matrix(b.column("v"))
+            norms = np.sqrt((v * v).sum(axis=1))
+            good = np.flatnonzero(np.isfinite(norms) & (keep_zero | (norms > LIMIT)))
+            b, v = b.take(pa.array(good)), v[good] / np.maximum(norms[good], LIMIT)[:, None]
+            if not len(v):
+                continue
+            dots = v @ centres.T if len(centres) else np.zeros((len(v), 1))
+            cell = dots.argmax(axis=1)
+            angle = np.arccos(np.clip(dots[np.arange(len(v)), cell], -1, 1))
+            yield pa.RecordBatch.from_arrays([b.column("g"), b.column("i"), b.column("c"), _lists(v), pa.array(cell, pa.int32()), pa.array(angle)], names=["g", "i", "c", "v", "cell", "angle"])
 
+    return rows.select("g", "i", "c", "v").mapInArrow(place, "g string, i long, c string, v array<double>, cell int, angle double")
+
+
+class _Layout:
+    """Which cells' vectors are sent where, and the numbers of units."""
+
+    def __init__(self, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, threshold: float, block_rows: int, tasks: int):
+        n = len(count)
+        self.centres, self.count = centres, count
+        self.reach = np.where(count > 0, radius + (math.acos(min(1.0, max(-1.0, threshold))) + SLACK), -1.0) if n > 1 else np.full(n, np.inf)
+        k = np.arange(n)
+        even = (k[:, None] + k[None, :]) % 2 == 0
+        self.owns = (k[:, None] == k[None, :]) | np.where(even, k[:, None] < k[None, :], k[:, None] > k[None, :])
+        near = np.ones((n, n), bool) if n == 1 else _angles(centres, centres) - radius[None, :] <= self.reach[:, None] + SLACK
+        sent = (self.owns & near & (count[:, None] > 0)) @ count
+        self.blocks = np.maximum(1, np.ceil(count / block_rows)).astype(np.int64)
+        self.lanes = np.maximum(1, np.ceil(sent / LANE_ROWS)).astype(np.int64)
+        if (units := int((self.blocks * self.lanes).sum())) < tasks:
+            self.lanes = np.maximum(1, np.minimum(self.lanes * math.ceil(tasks / units), sent // 256)).astype(np.int64)
+        self.first = np.concatenate([[0], np.cumsum(self.blocks * self.lanes)])
+        self.units = int(self.first[-1])
+
+    def sent(self, v: np.ndarray, cell: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of vectors with two hashes each: place, unit and role (0: of the block, 1: meets it, 2: meets it as one of its own)."""
+        block, out = one % self.blocks[cell], []
+        for a in np.unique(cell):
+            x = np.flatnonzero(cell == a)
+            units = self.first[a] + block[x][:, None] * self.lanes[a] + np.arange(self.lanes[a])[None, :]
+            out.append((np.repeat(x, self.lanes[a]), units.ravel(), np.zeros(units.size, np.int64)))
+        angles = _angles(v, self.centres) if len(self.count) > 1 else np.zeros((len(v), 1))
+        for a in np.flatnonzero(self.count > 0):
+            x = np.flatnonzero(self.owns[a, cell] & (angles[:, a] <= self.reach[a]))
+            x, q = np.repeat(x, self.blocks[a]), np.tile(np.arange(self.blocks[a]), len(x))
+            p, inside = block[x], cell[x] == a
+            meets = ~inside | (p == q) | np.where((p + q) % 2 == 0, q < p, q > p)
+            x, q, role = x[meets], q[meets], np.where(inside & (p == q), 2, 1)[meets]
+            out.append((x, self.first[a] + q * self.lanes[a] + two[x] % self.lanes[a], role))
+        return tuple(map(np.concatenate, zip(*out, strict=True)))
+
+
+def _units(placed: DataFrame, layout: _Layout) -> DataFrame:
+    """unit, role, g, i, c and v: what meets in a unit, its block first, a unit to a partition."""
+    hashed = lambda salt: F.xxhash64(F.lit(salt), "g", "i").bitwiseAND(F.lit((1 << 62) - 1))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v, cell, one, two = _matrix(b.column("v")), *(b.column(c).to_numpy() for c in ("cell", "one", "two"))
+            place, unit, role = layout.sent(v, cell, one, two)
+            for at in range(0, len(place), 4096):
+                part = b.take(pa.array(place[at : at + 4096]))
+                yield pa.RecordBatch.from_arrays([pa.array(unit[at : at + 4096]), pa.array(role[at : at + 4096], pa.int32()), *(part.column(c) for c in ("g", "i", "c", "v"))], names=["unit", "role", "g", "i", "c", "v"])
 
-class _Block:
-    """The vectors of a block with their groups and places."""
+    rows = placed.select("g", "i", "c", "v", "cell", hashed(1).alias("one"), hashed(2).alias("two"))
+    sent = rows.mapInArrow(send, "unit long, role int, g string, i long, c string, v array<double>")
+    parts = max(1, min(layout.units, UNITS))
+    return sent.repartitionById(parts, (F.col("unit") % parts).cast("int")).sortWithinPartitions("unit", "role")
+
+
+class _Side:
+    """Vectors with their entry points, places and codes."""
 
     def __init__(self, parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        self.v = np.concatenate([_scaled(p.column(5)) for p in parts])
-        self.groups, self.places = table.column(3).combine_chunks(), table.column(4).to_numpy()
-        self.codes: dict[str, int] = {}
-        self.own = self.coded(self.groups)
-
-    def coded(self, groups: pa.Array) -> np.ndarray:
-        return np.array([self.codes.setdefault(g, len(self.codes)) for g in groups.to_pylist()])
-
-    def pairs(self, other: pa.RecordBatch, threshold: float, same_row_only: bool):
-        w, codes, places = _scaled(other.column(5)), self.coded(other.column(3)), other.column(4).to_numpy()
-        for at in range(0, len(w), ROWS_AT_ONCE):
-            s = self.v @ w[at : at + ROWS_AT_ONCE].T
-            same = self.own[:, None] == codes[None, at : at + ROWS_AT_ONCE]
-            if same_row_only:
-                same &= self.places[:, None] == places[None, at : at + ROWS_AT_ONCE]
-            x, y = np.nonzero((s > threshold) & ~same)
+        columns = pa.Table.from_batches(parts).combine_chunks()
+        self.v = np.concatenate([_matrix(p.column("v")) for p in parts])
+        self.group, self.code = (columns.column(c).combine_chunks() for c in ("g", "c"))
+        self.place = columns.column("i").to_numpy()
+
+    def __len__(self) -> int:
+        return len(self.v)
+
+
+PAIR = "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double"
+
+
+def _pairs(a: _Side, x: np.ndarray, b: _Side, y: np.ndarray, s: np.ndarray, codes: bool) -> pa.RecordBatch:
+    columns = [a.group.take(pa.array(x)), pa.array(a.place[x]), b.group.take(pa.array(y)), pa.array(b.place[y]), pa.array(s)]
+    names = ["ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "similarity"]
+    return pa.RecordBatch.from_arrays([*columns, b.code.take(pa.array(y))] if codes else columns, names=[*names, "ep2_code"] if codes else names)
+
+
+def _allowed(own: _Side, other: _Side, threshold: float, same_row_only: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """Products of own with a few of the others at a time, -inf where they are no pair."""
+    groups = own.group.unique()
+    mine, theirs = (pc.fill_null(pc.index_in(x.group, value_set=groups), -1).to_numpy() for x in (own, other))
+    step = max(1, PRODUCTS // max(1, len(own)))
+    for at in range(0, len(other), step):
+        s = np.round(own.v @ other.v[at : at + step].T, DIGITS)
+        same = mine[:, None] == theirs[None, at : at + step]
+        if same_row_only:
+            same &= own.place[:, None] == other.place[None, at : at + step]
+        s[same | ~(s > threshold)] = -np.inf
+        yield at, s
+
+
+class _Every:
+    """A block that hands on every pair."""
+
+    def __init__(self, own: _Side, threshold: float, same_row_only: bool):
+        self.own, self.threshold, self.same_row_only = own, threshold, same_row_only
+
+    def meet(self, other: _Side, inside: bool) -> Iterator[pa.RecordBatch]:
+        for at, s in _allowed(self.own, other, self.threshold, self.same_row_only):
+            x, y = np.nonzero(s > -np.inf)
             if len(x):
-                columns = [self.groups.take(pa.array(x)), pa.array(self.places[x]), other.column(3).take(pa.array(at + y)), pa.array(places[at + y]), pa.array(s[x, y])]
-                yield pa.RecordBatch.from_arrays(columns, names=["ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "similarity"])
+                yield _pairs(self.own, x, other, at + y, s[x, y], False)
+                if not inside:  # of a block's own rows each comes as either side
+                    yield _pairs(other, at + y, self.own, x, s[x, y], False)
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
-def cosine_pairs(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding", same_row_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, similarity of all ordered pairs above threshold whose groups differ.
 
-    same_row_only: only the very same row is excluded, pairs within a group count. Vectors must have one length; null groups take no part.
-    """
-    rows = sinks.where(F.col(group).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    rows = rows.select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), F.col(vector).cast("array<double>").alias("v"))
-    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
-    n, tasks = size["n"], int(sinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, math.ceil(n * 8 * (size["dim"] or 1) / block_bytes), min(4, n // 512))
-    lanes = max(1, min(math.ceil(tasks / blocks), n // 256))
+def _first_best(s: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of runs of columns: the largest value in each row, and the first column that has it."""
+    best = np.maximum.reduceat(s, starts, axis=1)
+    runs = np.diff(np.append(starts, s.shape[1]))
+    at = np.where(s == np.repeat(best, runs, axis=1), np.arange(s.shape[1])[None, :], s.shape[1])
+    return best, np.minimum.reduceat(at, starts, axis=1)
+
+
+def _by_code(side: _Side) -> tuple[_Side, np.ndarray, np.ndarray]:
+    """The side in the order of code, entry point and place; where each code begins, and the codes."""
+    order = pc.sort_indices(pa.table({"c": side.code, "g": side.group, "i": side.place}), sort_keys=[("c", "ascending"), ("g", "ascending"), ("i", "ascending")]).to_numpy()
+    side.v, side.place = side.v[order], side.place[order]
+    side.group, side.code = side.group.take(pa.array(order)), side.code.take(pa.array(order))
+    codes = side.code.dictionary_encode(null_encoding="encode")
+    number = codes.indices.to_numpy()
+    starts = np.concatenate([[0], np.flatnonzero(number[1:] != number[:-1]) + 1])
+    return side, starts, codes.dictionary
+
+
+class _Best:
+    """A block that hands on, for each of its rows and those it meets, the best pair with each code: the others cannot be the first of their entry
+    point and code. Best is the largest similarity, then the smallest entry point and place."""
+
+    def __init__(self, own: _Side, threshold: float, same_row_only: bool):
+        self.own, self.starts, _ = _by_code(own)
+        self.threshold, self.same_row_only = threshold, same_row_only
+        self._clear()
+
+    def _clear(self) -> None:
+        self.seen, self.sides, self.best, self.where = {}, [], np.full((len(self.own), 0), -np.inf), np.zeros((len(self.own), 0), np.int64)
 
-    def product(batches):
-        unit, own, block = None, [], None
+    def meet(self, other: _Side, inside: bool) -> Iterator[pa.RecordBatch]:
+        other, starts, codes = _by_code(other)
+        base = sum(map(len, self.sides))
+        self.sides.append(other)
+        numbers = np.array([self.seen.setdefault(c, len(self.seen)) for c in codes.to_pylist()])
+        if len(self.seen) > self.best.shape[1]:
+            more = max(len(self.seen), 2 * self.best.shape[1]) - self.best.shape[1]
+            self.best = np.pad(self.best, ((0, 0), (0, more)), constant_values=-np.inf)
+            self.where = np.pad(self.where, ((0, 0), (0, more)))
+        for at, s in _allowed(self.own, other, self.threshold, self.same_row_only):
+            # rows that meet the block: best of each of its codes
+            if not inside:
+                found, first = _first_best(np.ascontiguousarray(s.T), self.starts)
+                y, k = np.nonzero(found > -np.inf)
+                if len(y):
+                    yield _pairs(other, at + y, self.own, first[y, k], found[y, k], True)
+            # rows of the block: best of each code so far
+            here = np.searchsorted(starts, at, side="right") - 1
+            cut = np.concatenate([[at], starts[(starts > at) & (starts < at + s.shape[1])]]) - at
+            found, first = _first_best(s, cut)
+            for k in range(len(cut)):
+                n = numbers[here + k]
+                better = found[:, k] > self.best[:, n]
+                ties = np.flatnonzero((found[:, k] == self.best[:, n]) & (found[:, k] > -np.inf))
+                if len(ties):
+                    better[ties] = [self._before(base + at + first[x, k], self.where[x, n]) for x in ties]
+                self.best[better, n], self.where[better, n] = found[better, k], base + at + first[better, k]
+        if self.best.size > BEST_ENTRIES or base + len(other) > LANE_ROWS:
+            yield from self.rest()
+
+    def _at(self, i: int) -> tuple[str, int]:
+        for side in self.sides:
+            if i < len(side):
+                return side.group[i].as_py(), int(side.place[i])
+            i -= len(side)
+        raise IndexError
+
+    def _before(self, i: int, j: int) -> bool:
+        return self._at(i) < self._at(j)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        x, k = np.nonzero(self.best > -np.inf)
+        if len(x):
+            met = _Side.__new__(_Side)
+            met.group, met.code = (pa.concat_arrays([getattr(side, c) for side in self.sides]) for c in ("group", "code"))
+            met.place = np.concatenate([side.place for side in self.sides])
+            yield _pairs(self.own, x, met, self.where[x, k], self.best[x, k], True)
+        self._clear()
+
+
+def _products(units: DataFrame, block: Callable[[_Side], _Every | _Best], shape: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, own, made = None, [], None
         for b in batches:
-            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in range(3)], axis=1)
+            keys = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in ("unit", "role")], axis=1)
             cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), b.num_rows]
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
                 if begin == end:
                     continue
-                if (here := tuple(keys[begin, :2].tolist())) != unit:
-                    unit, own, block = here, [], None
+                if keys[begin, 0] != unit:
+                    if made:
+                        yield from made.rest()
+                    unit, own, made = keys[begin, 0], [], None
                 part = b.slice(begin, end - begin)
-                if not keys[begin, 2]:
+                if not keys[begin, 1]:
                     own.append(part)
-                elif own or block:
-                    block, own = block or _Block(own), []
-                    yield from block.pairs(part, threshold, same_row_only)
+                elif own or made:
+                    made, own = made or block(_Side(own)), []
+                    yield from made.meet(_Side([part]), keys[begin, 1] == 2)
+        if made:
+            yield from made.rest()
+
+    return units.mapInArrow(run, shape)
 
-    return _units(rows, blocks, lanes).mapInArrow(product, "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double")
+
+def _laid_out(sinks: DataFrame, threshold: float, group: str, index: str, vector: str, code: str | None, block_bytes: int, block_rows: int) -> DataFrame:
+    rows = sinks.where(F.col(group).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    rows = rows.select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), (F.col(code).cast("string") if code else F.lit(None).cast("string")).alias("c"), F.col(vector).cast("array<double>").alias("v"))
+    size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    n, row_bytes, tasks = size["n"], 8 * (size["dim"] or 1), int(sinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = min(CELLS, n // CELL_ROWS) if threshold > 0 else 1
+    centres = _centres(rows, n, cells) if cells > 1 else np.zeros((0, 0))
+    placed = _placed(rows, centres, threshold < 0)
+    block_rows = max(1, min(block_rows, block_bytes // row_bytes))
+    if len(centres) < 2:
+        block_rows = min(block_rows, n if n < CELL_ROWS else math.ceil(n / 4))  # a few blocks, if there is work for them
+        return _units(placed, _Layout(centres, np.zeros(1), np.array([n]), threshold, max(1, block_rows), tasks))
+    placed = written(placed, "cells")  # a vector's cell is chosen once
+    radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
+    for r in placed.groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect():  # a row a cell
+        radius[r["cell"]], count[r["cell"]] = r["radius"], r["n"]
+    return _units(placed, _Layout(centres, radius, count, threshold, block_rows, tasks))
+
+
+def cosine_pairs(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding", same_row_only: bool = False, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, similarity of all ordered pairs above threshold whose groups differ.
+
+    same_row_only: only the very same row is excluded, pairs within a group count. Vectors must have one length; null groups take no part.
+    Similarities are rounded to 12 digits, so that equal vectors tie.
+    """
+    units = _laid_out(sinks, threshold, group, index, vector, None, block_bytes, 1 << 30)
+    return _products(units, lambda own: _Every(own, threshold, same_row_only), PAIR)
+
+
+def best_pairs(sinks: DataFrame, threshold: float, code: str = "code", group: str = "method", index: str = "sink_idx", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, similarity, ep2_code of those of cosine_pairs that can be the first of their entry point and code:
+    first_per_code finds the same in them, and so does diversified. Their number is bounded by vectors times codes times blocks."""
+    units = _laid_out(sinks, threshold, group, index, vector, code, block_bytes, BLOCK_ROWS)
+    return _products(units, lambda own: _Best(own, threshold, False), f"{PAIR}, ep2_code string")
+
+
+def join_work(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> tuple[int, int]:
+    """How many products the join makes, and how many two-way pairs of vectors there are."""
+    units = _laid_out(sinks, threshold, group, index, vector, None, block_bytes, 1 << 30)
+    own, met = F.count_if(F.col("role") == 0), F.count_if(F.col("role") > 0)
+    made = units.groupBy("unit").agg((own * met).alias("n")).agg(F.sum("n")).first()[0] or 0
+    n = sinks.where(F.col(group).isNotNull() & F.col(vector).isNotNull()).count()
+    return made, n * (n + 1) // 2
 
 
 def cosine_pairs_native(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding") -> DataFrame:
@@ -123,16 +385,31 @@ def top_pairs(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= k)
 
 
+def _order(order: tuple) -> Column:
+    """Descending similarity, then these columns, as one value to compare."""
+    return F.struct((-F.col("similarity")).alias("_0"), *[(F.col(c) if isinstance(c, str) else c).alias(f"_{i}") for i, c in enumerate(order, 1)])
+
+
+def first_per_code(pairs: DataFrame, ep: str = "ep1", code: str = "ep2_code", order: tuple = ("ep1_sink_idx", "ep2_id", "ep2_sink_idx")) -> DataFrame:
+    """Of the pairs of an entry point and code the first in the order, as an aggregate with map-side combine."""
+    row = F.struct(*[F.col(f"`{c}`") for c in pairs.columns])
+    return pairs.groupBy(F.col(ep).alias("__ep"), F.col(code).alias("__code")).agg(F.min(F.struct(_order(order).alias("o"), row.alias("row"))).alias("m")).select("m.row.*")
+
+
 def diversified(pairs: DataFrame, n: int, ep: str = "ep1", other: str = "ep2_id", code: str = "ep2_code", order: tuple = ()) -> DataFrame:
     """Greedy choice per entry point in descending order of similarity: an entry whose code was seen is skipped, entries of an accepted
     neighbour are taken, a new neighbour is taken while there are fewer than n, and the n + 1st ends the choice.
 
-    As windows: order, first row of each code, first row of each neighbour among them, running number of neighbours at most n.
+    As aggregates: the first row of each code; of each neighbour its first row among them; the n + 1st neighbour's first row is the end, and
+    what lies before it is the choice. The first rows are written, since two steps read them. Pairs need not be complete: those that
+    best_pairs leaves out change nothing.
     """
-    by = Window.partitionBy(ep).orderBy(F.col("similarity").desc(), *(order or ("ep1_sink_idx", other, "ep2_sink_idx")))
-    ranked = pairs.withColumn("__r", F.row_number().over(by))
-    fresh = ranked.withColumn("__c", F.row_number().over(Window.partitionBy(ep, code).orderBy("__r"))).where("__c = 1")
-    first = fresh.withColumn("__f", (F.row_number().over(Window.partitionBy(ep, other).orderBy("__r")) == 1).cast("int"))
-    running = Window.partitionBy(ep).orderBy("__r").rowsBetween(Window.unboundedPreceding, 0)
-    kept = first.withColumn("__n", F.sum("__f").over(running)).where(F.col("__n") <= n)
-    return kept.withColumn("place", F.row_number().over(Window.partitionBy(ep).orderBy("__r")).cast("long")).drop("__r", "__c", "__f", "__n")
+    order = order or ("ep1_sink_idx", other, "ep2_sink_idx")
+    fresh = written(first_per_code(pairs, ep, code, order), "first-pairs")
+    place = Window.partitionBy("__e").orderBy("__o")
+    ids = fresh.groupBy(F.col(ep).alias("__e"), F.col(other).alias("__i")).agg(F.min(_order(order)).alias("__o"))
+    ids = ids.withColumn("__r", F.row_number().over(place)).where(F.col("__r") <= n + 1)
+    ids = ids.withColumn("__end", F.max(F.when(F.col("__r") == n + 1, F.col("__o"))).over(Window.partitionBy("__e"))).where(F.col("__r") <= n)
+    kept = fresh.join(ids.select("__e", "__i", "__end"), F.col(ep).eqNullSafe(F.col("__e")) & F.col(other).eqNullSafe(F.col("__i"))).withColumn("__o", _order(order))
+    kept = kept.where(F.col("__end").isNull() | (F.col("__o") < F.col("__end")))
+    return kept.withColumn("place", F.row_number().over(place).cast("long")).select(*[F.col(f"`{c}`") for c in pairs.columns], "place")

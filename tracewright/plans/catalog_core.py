@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text
 from tracewright.operators import paths, similarity
-from tracewright.plans.registry import PAIR_ORDER, PAIRS_SQL, PATHS, SINKS_SQL, THRESHOLD, coded_pairs, path_rows, query, sinks, t
+from tracewright.plans.registry import PAIR_ORDER, PAIRS_SQL, PATHS, SINKS_SQL, THRESHOLD, best_coded_pairs, path_rows, query, sinks, t
 
 KEY = ("user_id",)
 SAY = lambda c: F.array_join(F.transform(c, lambda p: F.concat(p["depth"].cast("string"), F.lit(":"), p["java_code"])), "|")
@@ -106,19 +106,19 @@ SELECT ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, ep2_code, row_number() OVER (PAR
 
 @query("win_top_diversified", _diversified_sql(4))
 def win_top_diversified(spark, sf_dir):
-    d = similarity.diversified(coded_pairs(spark, sf_dir), 4)
+    d = similarity.diversified(best_coded_pairs(spark, sf_dir), 4)
     return d.select("ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "ep2_code", "place", F.round("similarity", 6).alias("similarity"))
 
 
 @query("win_top_diversified_5", _diversified_sql(5))
 def win_top_diversified_5(spark, sf_dir):
-    d = similarity.diversified(coded_pairs(spark, sf_dir), 5)
+    d = similarity.diversified(best_coded_pairs(spark, sf_dir), 5)
     return d.select("ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "ep2_code", "place", F.round("similarity", 6).alias("similarity"))
 
 
 @query("map_group", f"WITH d AS ({_diversified_sql(4)}) SELECT ep1, ep2_id, CAST(count(*) AS BIGINT) AS entries, CAST(min(place) AS BIGINT) AS first FROM d GROUP BY ep1, ep2_id")
 def map_group(spark, sf_dir):
-    d = similarity.diversified(coded_pairs(spark, sf_dir), 4)
+    d = similarity.diversified(best_coded_pairs(spark, sf_dir), 4)
     return d.groupBy("ep1", "ep2_id").agg(F.count("*").alias("entries"), F.min("place").alias("first"))
 
 

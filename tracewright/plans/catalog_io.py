@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.models import CannedClient, HashedEmbedder
 from tracewright.operators import paths, relational, similarity
 from tracewright.plans import pipelines, prompts
-from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, coded_pairs, levels, path_rows, query, scratch, sinks, t
+from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, levels, path_rows, query, scratch, sinks, t
 from tracewright.schemas import INVALID
 from tracewright.sources import files, outputs
 from tracewright.streaming import resume
@@ -260,7 +260,7 @@ e AS (SELECT ep1, ep2_id, min(place) AS first, string_agg('  • Source sink (po
 
 
 def _prompts(spark, sf_dir, custom=None):
-    chosen = similarity.diversified(coded_pairs(spark, sf_dir), 4)
+    chosen = similarity.diversified(best_coded_pairs(spark, sf_dir), 4)
     meta = sinks(spark, sf_dir).groupBy("method").agg(F.min("sink_idx").alias("seq")).select("method", F.concat(F.lit("Svc"), "method").alias("service_name"), F.lit("NORMAL").alias("access control level"), "seq")
     return prompts.neighbours_text(chosen, meta, custom)
 
@@ -285,7 +285,7 @@ def str_prompt2_custom(spark, sf_dir):
 
 @query("str_prompt2_v1", D4 + " SELECT ep1, CAST(count(*) AS BIGINT) AS neighbours, string_agg(ep2_id || '/' || ep2_code, ',' ORDER BY place) AS said FROM d GROUP BY ep1")
 def str_prompt2_v1(spark, sf_dir):
-    flat = prompts.flat_prompt(similarity.diversified(coded_pairs(spark, sf_dir), 4))
+    flat = prompts.flat_prompt(similarity.diversified(best_coded_pairs(spark, sf_dir), 4))
     parts = F.split("text", "\n\n")
     said = F.transform(parts, lambda x: F.concat(F.regexp_extract(x, r"Similar API: ([^\n]*)", 1), F.lit("/"), F.regexp_extract(x, r"\n([^\n]*)$", 1)))
     return flat.select("ep1", F.size(parts).cast("long").alias("neighbours"), F.array_join(said, ",").alias("said"))

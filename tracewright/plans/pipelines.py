@@ -32,8 +32,9 @@ def sinks_stage(spark: SparkSession, csv_folder: str, client: Callable, system:
     return spark.read.parquet(f"{out}/stage1")
 
 
-def levels_stage(spark: SparkSession, stage1: DataFrame, embedder: Callable, client: Callable, system: str, out: str, threshold: float = 0.8, n_sinks: int | None = None, n_neighbours: int = 4, threads: int = 4, timeout: float | None = 90.0, compat: bool = False) -> dict[str, DataFrame]:
-    """Answers to levels: sinks, vectors, similar pairs, chosen neighbours, prompts, answers; returns all tables and the reports."""
+def levels_stage(spark: SparkSession, stage1: DataFrame, embedder: Callable, client: Callable, system: str, out: str, threshold: float = 0.8, n_sinks: int | None = None, n_neighbours: int = 4, threads: int = 4, timeout: float | None = 90.0, compat: bool = False, keep_pairs: bool = True) -> dict[str, DataFrame]:
+    """Answers to levels: sinks, vectors, similar pairs, chosen neighbours, prompts, answers; returns all tables and the reports. Without keep_pairs
+    no table of all pairs is made, and the join hands on only those that the choice can take; chosen and what follows are the same."""
     order = Window.partitionBy("method").orderBy(F.col("service_name").desc(), F.col("class").desc(), F.col("access control level").desc())
     api = stage1.withColumn("sink_code", answers.parse_sinks(F.col("json_answer"), n_sinks)).withColumn("seq", F.row_number().over(order))
     api = api.where("seq = 1").drop("seq") if compat else api.drop("seq")
@@ -43,11 +44,17 @@ def levels_stage(spark: SparkSession, stage1: DataFrame, embedder: Callable, cli
     models.embed(told, embedder, "told").drop("told").write.parquet(f"{out}/vectors")
     vectors = spark.read.parquet(f"{out}/vectors")
     codes = vectors.select("method", F.col("sink_idx").cast("long").alias("sink_idx"), "code")
-    found = similarity.cosine_pairs(vectors, threshold)
-    pairs = found.join(codes.toDF("ep1", "ep1_sink_idx", "ep1_code"), ["ep1", "ep1_sink_idx"]).join(codes.toDF("ep2_id", "ep2_sink_idx", "ep2_code"), ["ep2_id", "ep2_sink_idx"])
-    pairs.write.parquet(f"{out}/pairs")
-    pairs = spark.read.parquet(f"{out}/pairs")
-    chosen = similarity.diversified(pairs, n_neighbours)
+    own_code = lambda p: p.join(codes.toDF("ep1", "ep1_sink_idx", "ep1_code"), ["ep1", "ep1_sink_idx"])
+    pairs = None
+    if keep_pairs:
+        found = similarity.cosine_pairs(vectors, threshold)
+        own_code(found).join(codes.toDF("ep2_id", "ep2_sink_idx", "ep2_code"), ["ep2_id", "ep2_sink_idx"]).write.parquet(f"{out}/pairs")
+        pairs = spark.read.parquet(f"{out}/pairs")
+        chosen = similarity.diversified(pairs, n_neighbours)
+    else:
+        chosen = own_code(similarity.diversified(similarity.best_pairs(vectors, threshold), n_neighbours))
+    chosen.write.parquet(f"{out}/chosen")
+    chosen = spark.read.parquet(f"{out}/chosen")
     meta = api.select(F.col("ep").alias("method"), "service_name", "access control level", F.lit(0).alias("seq"))
     eps = api.select(F.col("ep").alias("method"), "service_name", F.coalesce(text.numbered_paths(paths.three_paths_nested(F.col("depths"))), F.lit("")).alias("code"), "sink_code")
     asked = prompts.second_prompt(eps, prompts.neighbours_text(chosen, meta))

@@ -76,9 +76,19 @@ def coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs above the threshold with both codes; the code follows from the sink, so no join brings it in."""
     from tracewright.operators.similarity import cosine_pairs
 
-    code = lambda c: F.concat(F.lit("code "), (F.col(c) % 97).cast("string"))
     p = cosine_pairs(sinks(spark, sf_dir), THRESHOLD)
-    return p.withColumn("ep1_code", code("ep1_sink_idx")).withColumn("ep2_code", code("ep2_sink_idx"))
+    return p.withColumn("ep1_code", _code("ep1_sink_idx")).withColumn("ep2_code", _code("ep2_sink_idx"))
+
+
+def _code(c: str):
+    return F.concat(F.lit("code "), (F.col(c) % 97).cast("string"))
+
+
+def best_coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those of coded_pairs that can be the first of their entry point and code."""
+    from tracewright.operators.similarity import best_pairs
+
+    return best_pairs(sinks(spark, sf_dir), THRESHOLD).withColumn("ep1_code", _code("ep1_sink_idx"))
 
 
 SINKS_SQL = "sk AS (SELECT 'api' || label AS method, vec_id AS sink_idx, 'code ' || (vec_id % 97) AS code, embedding::DOUBLE[] AS v FROM embeddings)"
