@@ -34,6 +34,25 @@ def test_three_paths(spark):
     assert {r.k: [int(p.java_code[1:]) for p in r.p] for r in nested.collect()} == want
 
 
+def test_three_paths_of_a_hot_key(spark):
+    """One key of very many rows, ties and rows that are equal in all columns; null keys and depths."""
+    chooser = random.Random(6)
+    rows = [("hot" if i % 3 else None if i % 5 == 0 else f"k{i % 40}", None if i % 97 == 0 else chooser.randrange(1 + i % 6), i // 2, "t", f"c{i // 2}") for i in range(20_000)]
+    df = spark.createDataFrame(rows, "k string, depth int, seq long, trace string, java_code string").repartition(8)
+    w = Window.partitionBy("k")
+    nth, by_depth = F.row_number().over(Window.partitionBy("k", "depth").orderBy("seq")), F.dense_rank().over(w.orderBy(F.col("depth").desc()))
+    ranked = df.withColumn("nth", nth).withColumn("dr", by_depth)
+    chosen = (F.col("nth") == 1) & (F.col("dr") <= 3)
+    order = w.orderBy(F.when(chosen, 0).otherwise(1), F.when(chosen, F.col("dr")).otherwise(F.col("depth")), "seq")
+    want = ranked.withColumn("place", F.row_number().over(order).cast("long")).where("place <= 3").drop("nth", "dr")
+    found = paths.three_paths(df, ("k",))
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    few = paths._deepest_and_shallowest(df, ("k",), "depth", "seq", 3)
+    assert few.groupBy("k").count().agg(F.max("count")).first()[0] <= 6
+    nested = lambda f: sorted((tuple(r) for r in f(df.where("depth is not null"), ("k",)).select("k", paths.three_paths_nested(F.col("depths")).alias("p"), F.col("depths")[0]["java_code"]).collect()), key=repr)
+    assert nested(paths.bounded_paths) == nested(paths.collect_paths)
+
+
 def greedy(entries, n):
     taken, codes, ids = [], set(), []
     for e in entries:

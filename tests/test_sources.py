@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,6 +59,37 @@ def test_sectioned_text(spark, tmp_path):
     assert java["abc_Some_3"][0] == 1
 
 
+@pytest.mark.parametrize("split", [300, 1 << 20])
+def test_sections_over_splits(spark, tmp_path, split):
+    """Keys that many splits hold no line of, keys of the file before that must not come over, rows before any key, empty tags."""
+    chooser, want = random.Random(split), []
+    for name in ("a.txt", "b.txt", "c.txt"):
+        key, lines = None, []
+        for i in range(chooser.randrange(200, 400)):
+            kind = chooser.random()
+            if kind < 0.02 and i > 20:
+                key = f"k{name[0]}{i}"
+                lines.append(f"EP: {key}")
+            elif kind < 0.03:
+                lines.append(chooser.choice(["EP:", "ControlFlow", "  EP: no", ""]))
+            elif kind < 0.6:
+                lines.append(f"ControlFlow: r{name[0]}{i} ControlFlow: more")
+                want.append((name, i, key, f"r{name[0]}{i}"))
+            else:
+                lines.append("noise " * chooser.randrange(3))
+        write(tmp_path, name, chooser.choice(["\n", "\r\n"]).join(lines) + "\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = files.sectioned_text(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    by = sorted((r.file.rsplit("/", 1)[1], r.seq, r.EP, r.code.strip()) for r in got)
+    assert [(f, ep, code) for f, _, ep, code in by] == [(f, ep, code) for f, _, ep, code in sorted(want)]
+    assert len({(f, seq) for f, seq, _, _ in by}) == len(by)
+
+
 def test_merge_blocks(spark):
     rows = [("e", f"c{i}", 1, i) for i in range(6)] + [("e", "z", 0, 6)]
     df = spark.createDataFrame(rows, "EP string, code string, label int, seq long")

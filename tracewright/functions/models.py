@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 import re
+import string
 import threading
 import time
 import zlib
@@ -87,6 +88,13 @@ class HashedEmbedder:
         return out
 
 
+class LetterEmbedder:
+    """Counts of the letters a to z, whatever their case: vectors that SQL can make too."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        return [[float(low.count(c)) for c in string.ascii_lowercase] for low in (t.lower() for t in texts)]
+
+
 def within(seconds: float | None, call: Callable[[], str]) -> str:
     """call's result; TimeoutError if it takes longer, whether or not the call itself keeps a limit. A call that hangs is left behind in
     a thread that ends with the worker."""

@@ -15,15 +15,35 @@ def collect_paths(rows: DataFrame, key: tuple[str, ...] = API_KEY) -> DataFrame:
     return rows.groupBy(*key).agg(paths.alias("depths"))
 
 
+def _deepest_and_shallowest(rows: DataFrame, key: tuple[str, ...], depth: str, seq: str, n: int) -> DataFrame:
+    """Of each key the rows that its n paths are chosen from, at most 2 n: __dr 1 to n are the first paths of the n deepest different depths,
+    null are the n shallowest paths that are none of those.
+
+    Each is a limit within the key, or an aggregate, that tasks apply before their rows are shuffled; so a key of very many rows is a few rows a task.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    firsts = rows.groupBy(*key, depth).agg(F.min(F.struct(F.col(seq).alias("s"), row.alias("row"))).alias("m")).select("m.row.*")
+    firsts = firsts.withColumn("__dr", F.row_number().over(Window.partitionBy(*key).orderBy(F.col(depth).desc()))).where(F.col("__dr") <= n)
+    nth = F.row_number().over(Window.partitionBy(*key).orderBy(depth, seq, row))
+    shallow = rows.withColumn("__nth", nth).where(F.col("__nth") <= n).drop("__nth")
+    shallow = shallow.withColumn("__first", F.row_number().over(Window.partitionBy(*key, depth).orderBy(seq, row)) == 1)
+    both = firsts.withColumn("__first", F.lit(True)).unionByName(shallow.withColumn("__dr", F.lit(None).cast("int")))
+    met = F.max(F.col("__dr").isNotNull()).over(Window.partitionBy(*key, depth))
+    return both.withColumn("__met", met).where(F.col("__dr").isNotNull() | ~(F.col("__first") & F.col("__met"))).drop("__first", "__met")
+
+
 def three_paths(rows: DataFrame, key: tuple[str, ...], depth: str = "depth", seq: str = "seq", n: int = 3) -> DataFrame:
     """At most n rows per key with place: the first path of each of the n deepest different depths; what is missing is filled with the
     shallowest paths left."""
-    within = F.row_number().over(Window.partitionBy(*key, depth).orderBy(seq))
-    by_depth = F.dense_rank().over(Window.partitionBy(*key).orderBy(F.col(depth).desc()))
-    r = rows.withColumn("__nth", within).withColumn("__dr", by_depth)
-    chosen = (F.col("__nth") == 1) & (F.col("__dr") <= n)
-    order = Window.partitionBy(*key).orderBy(F.when(chosen, 0).otherwise(1), F.when(chosen, F.col("__dr")).otherwise(F.col(depth)), F.when(chosen, F.lit(0)).otherwise(F.col(seq)))
-    return r.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= n).drop("__nth", "__dr")
+    order = Window.partitionBy(*key).orderBy(F.col("__dr").asc_nulls_last(), depth, seq)
+    few = _deepest_and_shallowest(rows, key, depth, seq, n)
+    return few.withColumn("place", F.row_number().over(order).cast("long")).where(F.col("place") <= n).drop("__dr")
+
+
+def bounded_paths(rows: DataFrame, key: tuple[str, ...] = API_KEY, n: int = 3) -> DataFrame:
+    """collect_paths with at most 2 n paths per API: those that three_paths_nested chooses from, and the first one. It chooses the same from them
+    as from all, and no API's paths become one array."""
+    return collect_paths(_deepest_and_shallowest(rows, key, "depth", "seq", n).drop("__dr"), key)
 
 
 def three_paths_nested(depths: Column, n: int = 3) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.models import CannedClient, HashedEmbedder
+from tracewright.functions.models import CannedClient, LetterEmbedder
 from tracewright.operators import paths, relational, similarity
 from tracewright.plans import pipelines, prompts
 from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, levels, path_rows, query, scratch, sinks, t
@@ -312,7 +312,7 @@ def q_pending(spark, sf_dir):
 
 @query("q_sinks_stage", f"WITH {SERVICES} SELECT service_name, method, 'This is path 1 for the API with depth ' || depth || ':' || chr(10) || java_code AS prompt1 FROM s WHERE service_name <> '{BROKEN}'")
 def q_sinks_stage(spark, sf_dir):
-    stage = pipelines.sinks_stage(spark, _write_services(spark, sf_dir), CannedClient, "system", scratch(spark, "stage1"))
+    stage = pipelines.sinks_stage(spark, _write_services(spark, sf_dir), CannedClient, "system", scratch(spark, "stage1"), all_paths=False)
     return stage.select("service_name", "method", "prompt1")
 
 
@@ -321,14 +321,25 @@ def _levels_stage(spark, sf_dir):
     code = F.concat(F.lit("void m() {\n    "), F.replace(F.col("p_type"), F.lit(" "), F.lit(".")), F.lit("();\n}"))
     rows = e.select(F.col("p_brand").alias("service_name"), F.lit("C").alias("class"), F.concat(F.lit("m"), F.col("p_partkey").cast("string"), F.lit("()")).alias("method"), F.lit("NORMAL").alias("access control level"), F.lit(0).alias("depth"), F.col("p_partkey").alias("seq"), F.lit("t").alias("trace"), code.alias("java_code"), F.concat(F.lit('{"Sinks": [["'), "p_type", F.lit('"]]}')).alias("json_answer"))
     api = paths.collect_paths(rows.drop("json_answer")).join(rows.select("method", "json_answer"), "method")
-    return pipelines.levels_stage(spark, api, HashedEmbedder, lambda: CannedClient("level"), "system", scratch(spark, "stage2"), threshold=0.95)
+    return pipelines.levels_stage(spark, api, LetterEmbedder, lambda: CannedClient("level"), "system", scratch(spark, "stage2"), threshold=0.95, keep_pairs=False)
 
 
-@query("q_levels_stage", "SELECT CAST(count(*) AS BIGINT) AS rows, true AS known FROM part")
-def q_levels_stage(spark, sf_dir):
-    return _levels_known(_levels_stage(spark, sf_dir)["result"])
+_LETTERS = ", ".join(f"length(w) - length(replace(w, '{c}', ''))" for c in "abcdefghijklmnopqrstuvwxyz")
 
 
-def _levels_known(r):
+@query("q_levels_stage", f"""WITH p AS (SELECT p_type, p_brand || '#C#m' || p_partkey || '()#NORMAL' AS ep FROM part),
+w AS (SELECT DISTINCT p_type, lower('void m() ' || p_type) AS w FROM p), v AS (SELECT p_type, [{_LETTERS}]::DOUBLE[] AS v FROM w),
+s AS (SELECT a.p_type AS one, b.p_type AS two, round(list_cosine_similarity(a.v, b.v), 12) AS s FROM v a, v b), t AS (SELECT * FROM s WHERE s > 0.95),
+c AS (SELECT a.ep AS ep1, t.two, t.s, min(b.ep) AS ep2 FROM p a JOIN t ON a.p_type = t.one JOIN p b ON b.p_type = t.two AND b.ep <> a.ep GROUP BY 1, 2, 3),
+r AS (SELECT *, row_number() OVER (PARTITION BY ep1 ORDER BY s DESC, ep2) AS place FROM c),
+n AS (SELECT ep1, string_agg(ep2 || ' ' || printf('%.6f', s), ',' ORDER BY place) AS neighbours FROM r WHERE place <= 4 GROUP BY ep1)
+SELECT p.ep, coalesce(n.neighbours, '') AS neighbours, true AS known FROM p LEFT JOIN n ON p.ep = n.ep1""")
+def q_levels_stage(spark, sf_dir):
+    """Every part's entry point with the neighbours that its prompt names, each a similarity, and whether its answer is a level."""
+    out = _levels_stage(spark, sf_dir)
+    said = F.concat("ep2_id", F.lit(" "), F.format_string("%.6f", "similarity"))
+    chosen = out["chosen"].groupBy("ep1").agg(F.array_sort(F.collect_list(F.struct("place", said.alias("said")))).alias("c"))
+    ep = F.concat_ws("#", "service_name", "class", "method", "access control level")
     known = F.col("access control level predicted").isin("NONE", "NORMAL", "DANGEROUS", "SYS_OR_SIG", "invalid")
-    return r.agg(F.count("*").alias("rows"), F.bool_and(known).alias("known"))
+    result = out["result"].select(ep.alias("ep"), known.alias("known")).join(chosen, F.col("ep") == F.col("ep1"), "left")
+    return result.select("ep", F.coalesce(F.array_join(F.transform("c", lambda x: x["said"]), ","), F.lit("")).alias("neighbours"), "known")

@@ -18,10 +18,12 @@ from tracewright.schemas import BAD_JSON, INVALID, NO_ANSWER, NO_NEIGHBOUR
 from tracewright.sources import files
 
 
-def sinks_stage(spark: SparkSession, csv_folder: str, client: Callable, system: str, out: str, threads: int = 4, timeout: float | None = 90.0, code_col: str = "Code Merged", compat: bool = False) -> DataFrame:
+def sinks_stage(spark: SparkSession, csv_folder: str, client: Callable, system: str, out: str, threads: int = 4, timeout: float | None = 90.0, code_col: str = "Code Merged", compat: bool = False, all_paths: bool = True) -> DataFrame:
     """Execution paths to answers: group by API, choose three paths, ask the model, find the JSON; written to out and read back, so that no
-    call is repeated by later steps."""
-    api = paths.collect_paths(files.csv_dir(spark, csv_folder, code_col))
+    call is repeated by later steps. Without all_paths the column depths holds only the paths that prompts are made from, both stages', and
+    an API may have any number of paths."""
+    rows = files.csv_dir(spark, csv_folder, code_col)
+    api = paths.collect_paths(rows) if all_paths else paths.bounded_paths(rows)
     asked = api.withColumn("prompt1", text.numbered_paths(paths.three_paths_nested(F.col("depths"))))
     said = models.chat(asked, client, system, "prompt1", "res1", threads, timeout, None)
     said.write.parquet(f"{out}/answers")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.schemas import CSV_COLUMNS, EXAMPLE
+from tracewright.shared import written
 
 
 def file_stem(path=None):
@@ -62,12 +63,26 @@ def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str
 
 
 def sectioned_text(spark: SparkSession, path: str, key_tag: str = "EP:", row_tag: str = "ControlFlow:") -> DataFrame:
-    """EP, code and seq: every row line with the key line above it. Only text up to a second occurrence of the tag counts."""
-    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
+    """EP, code, seq (a number that grows within a file) and file: every row line with the key line above it. Only text up to a second occurrence of
+    the tag counts.
+
+    A file is read in splits of bounded bytes. Within a split the last key line is held by a window; what a split begins with is the last key of
+    the splits before it in its file, a row a split. Key and row lines are written once, with the place of their split, so that both see the same.
+    """
     after = lambda tag: F.try_element_at(F.split(F.trim("line"), F.concat(F.lit("\\Q"), F.lit(f"{tag} "), F.lit("\\E"))), F.lit(2))
-    held = Window.partitionBy("file").orderBy("seq")
-    keyed = lines.withColumn("EP", F.last(F.when(F.col("line").startswith(key_tag), after(key_tag)), ignorenulls=True).over(held))
-    return keyed.where(F.col("line").startswith(row_tag)).select("EP", after(row_tag).alias("code"), F.col("seq").cast("long").alias("seq"), "file")
+    is_key, is_row = F.col("line").startswith(key_tag), F.col("line").startswith(row_tag)
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    # a key line without text after its tag is a null key: it changes nothing, as the one above it is held on
+    marked = written(lines.where(is_key | is_row).select("file", "at", "id", F.when(is_key, after(key_tag)).alias("key"), F.when(is_row, F.coalesce(after(row_tag), F.lit(""))).alias("row"), F.when(is_row, after(row_tag)).alias("code")), "sections")
+    held = Window.partitionBy("file", "at").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row a split
+    last = marked.groupBy("file", "at").agg(F.max_by("key", F.when(F.col("key").isNotNull(), F.col("id"))).alias("key"))
+    carried = last.select("file", "at", F.last("key", ignorenulls=True).over(before).alias("carried")).where(F.col("carried").isNotNull())
+    keyed = marked.withColumn("own", F.last("key", ignorenulls=True).over(held)).where(F.col("row").isNotNull())
+    found = keyed.join(carried, ["file", "at"], "left")
+    rows = Window.partitionBy("file", "at").orderBy("id")
+    place = F.col("at") + F.row_number().over(rows)  # a line has a byte at least, so the numbers of a split end before those of the next
+    return found.select(F.coalesce("own", "carried").alias("EP"), "code", place.cast("long").alias("seq"), "file")
 
 
 def text_tree(spark: SparkSession, root: str, name: str = "response.txt") -> DataFrame:
