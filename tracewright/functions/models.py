@@ -1,7 +1,8 @@
 """Language models and embedders as injected clients, called in batches inside partitions.
 
 Clients are made by a factory once per Python worker. The stand-ins here are deterministic and need no network. Calls have side effects in
-use, so write their output right away and key it by row: a retried task then repeats calls, but not rows.
+use: chat_logged keeps a log, so that a retried task or run repeats none; of the other forms write the output right away and key it by row, as a
+retried task repeats calls, but not rows.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ import re
 import string
 import threading
 import time
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -24,7 +26,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewright.functions import journal
 from tracewright.schemas import INVALID, LEVELS
+from tracewright.shared import written
 
 
 class ModelClient(Protocol):
@@ -142,6 +146,45 @@ def chat(df: DataFrame, client: Callable[[], ModelClient], system: str, prompt_c
     return df.mapInPandas(answered, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
+def chat_logged(df: DataFrame, keys: list[str], client: Callable[[], ModelClient], system: str, prompt_col: str, out_col: str, log: str, threads: int = 1, timeout: float | None = None, on_failure: str | None = INVALID) -> DataFrame:
+    """chat with a log of answers: an answer is appended to log by the task that got it before the next call of its thread, and no call whose answer
+    is there is made again, be it that a task is tried again, that the job failed or was ended, or that a later run meets the same rows. A call is told by
+    the row's keys, the system text and the prompt. Failed calls are not logged: they have on_failure in this run and are made again in the next.
+
+    Rows are written before the first call, so that a task which is tried again has the same ones; it reads the log of its own share. What other
+    runs have logged is joined by the call's digest. The result is a written table.
+    """
+    called = F.sha2(F.concat_ws("\x1f", F.to_json(F.struct(*keys)), F.lit(system), F.col(prompt_col)), 256)
+    rows = written(df.withColumn("__call", F.when(F.col(prompt_col).isNotNull(), called)), "asked")
+    known = journal.table(df.sparkSession, log, "call string, answer string").groupBy(F.col("call").alias("__known_call")).agg(F.min("answer").alias("__known"))
+    rows = written(rows.join(known, F.col("__call") == F.col("__known_call"), "left").drop("__known_call"), "asked-again")
+    run = f"{log}/run-{uuid.uuid4().hex}"
+
+    def answered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model, share = client(), f"{run}/part-{TaskContext.get().partitionId()}"
+        before = {r["call"]: r["answer"] for r in journal.records(share)}
+        with journal.Journal(share) as own, ThreadPoolExecutor(max_workers=max(1, threads)) as pool:
+
+            def one(row):
+                prompt, call, answer = row
+                if call is None or answer is not None:
+                    return answer
+                if call in before:
+                    return before[call]
+                try:
+                    said = within(timeout, lambda: model.chat(system, prompt, timeout))
+                except Exception:  # as in chat
+                    return on_failure
+                own.append(call=call, answer=said)
+                return said
+
+            for pdf in frames:
+                asked = pdf[[prompt_col, "__call", "__known"]].astype(object).where(lambda x: x.notna(), None)
+                yield pdf.drop(columns=["__call", "__known"]).assign(**{out_col: list(pool.map(one, asked.itertuples(index=False, name=None)))})
+
+    return written(rows.mapInPandas(answered, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])), "answered")
+
+
 def generate(df: DataFrame, model: Callable[[str], BatchModel], devices: list[str], system: str, prompt_col: str, out_col: str, batch: int = 32, on_failure: str | None = INVALID) -> DataFrame:
     """df with the answers of models in the workers' own processes: one partition and one model a device, prompts in batches. Null
     prompts are not sent; the rows of a batch that fails get on_failure."""

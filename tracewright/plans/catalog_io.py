@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewright.functions.models import CannedClient, LetterEmbedder
+from tracewright.functions.models import CannedClient, LetterEmbedder, chat_logged
 from tracewright.operators import paths, relational, similarity
 from tracewright.plans import pipelines, prompts
 from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, levels, path_rows, query, scratch, sinks, t
@@ -160,7 +160,7 @@ def sink_row_artifacts(spark, sf_dir):
     size = F.col("p_size").cast("string")
     rows = p.select(F.concat(F.lit("svc"), (F.col("p_size") % 5).cast("string")).alias("service_name"), F.concat(F.lit("m"), size, F.lit("(I)")).alias("method"), F.col("p_partkey").alias("seq"), "p_name", "p_type")
     outputs.write_artifacts(outputs.row_artifacts(rows, {"user_message.txt": "p_name", "response.txt": "p_type"}), path)
-    return spark.read.parquet(path).select("path", "text")
+    return files.text_tree(spark, path, "*.txt").select(F.regexp_extract(files.plain_path(F.col("path")), "([^/]+/[^/]+/[^/]+)$", 1).alias("path"), "text")
 
 
 EPS = "eps AS (SELECT DISTINCT method FROM sk UNION SELECT 'api-none')"
@@ -294,13 +294,19 @@ def str_prompt2_v1(spark, sf_dir):
 # resume and whole pipelines --------------------------------------------------------------------------------------------------------
 
 
+class _Done:
+    def chat(self, system, user, timeout=None):
+        return f"done {user}"
+
+
 @query("q_resume", "SELECT doc_id, 'done ' || source AS answer FROM documents")
 def q_resume(spark, sf_dir):
     root = scratch(spark, "resume")
     d = t(spark, sf_dir, "documents").select("doc_id", "source")
     d.repartition(4, "doc_id").write.parquet(f"{root}/in")
+    ask = lambda b: chat_logged(b, ["doc_id"], _Done, "system", "source", "answer", f"{root}/log")
     for _ in range(2):  # the second run finds nothing to do
-        resume.run_available(spark, f"{root}/in", d.schema, lambda b: b.withColumn("answer", F.concat(F.lit("done "), "source")), f"{root}/out", f"{root}/state", 2)
+        resume.run_available(spark, f"{root}/in", d.schema, ask, f"{root}/out", f"{root}/state", 2)
     return spark.read.parquet(f"{root}/out").select("doc_id", "answer")
 
 

@@ -7,7 +7,8 @@ import time
 from pyspark.sql import functions as F
 
 from tracewright.functions import answers, arrays, models, text
-from tracewright.plans.registry import query, t
+from tracewright.plans.registry import query, scratch, t
+from tracewright.streaming.batches import BatchJob, CannedBatchService
 
 # strings ---------------------------------------------------------------------------------------------------------------------------
 
@@ -310,12 +311,22 @@ def udf_llm_local_batch(spark, sf_dir):
     return said.select("n_nationkey", answers.parse_sinks(answers.extract_json(F.col("res"), "pre"))[0].alias("sink"))
 
 
-@query("udf_llm_async_batch", "SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN 'answer ' || n_nationkey WHEN 1 THEN 'Error: request errored' END AS res FROM nation")
+@query("udf_llm_async_batch", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'answer ' || p_partkey WHEN 1 THEN 'Error: request errored' WHEN 2 THEN 'Error: request expired' ELSE 'Error: unknown result type' END AS res FROM part")
 def udf_llm_async_batch(spark, sf_dir):
-    n = t(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("prompt"))
-    sent = models.batch_requests(n, "prompt", "n_nationkey").where("cast(custom_id as int) % 3 < 2")
-    results = sent.select("custom_id", F.when(F.col("custom_id").cast("int") % 3 == 0, "succeeded").otherwise("errored").alias("type"), F.concat(F.lit("answer "), "custom_id").alias("text"))
-    return models.batch_results(n, results, "n_nationkey", "res").select("n_nationkey", "res")
+    """A job that is given up after its first poll and taken up by another driver's object, which sends nothing twice."""
+    n, folder, service = t(spark, sf_dir, "part").select("p_partkey", F.col("p_name").alias("prompt")), scratch(spark, "batches"), scratch(spark, "service")
+    requests = models.batch_requests(n, "prompt", "p_partkey")
+    job = lambda: BatchJob(spark, lambda: CannedBatchService(service), folder, 500)
+    first = job()
+    first.plan(requests)
+    first.submit()
+    first.poll(rounds=1)
+    second = job()
+    second.plan(requests)
+    second.submit()
+    second.poll(sleep=lambda s: None)
+    second.fetch()
+    return models.batch_results(n, second.results(), "p_partkey", "res").select("p_partkey", "res")
 
 
 @query("udf_embed", "SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS unit FROM part")

@@ -69,9 +69,12 @@ def row_artifacts(df: DataFrame, texts: dict[str, str], service: str = "service_
     return made.withColumn("place", last).where("place = 1").select(F.concat_ws("/", "folder", "f.name").alias("path"), F.col("f.text").alias("text"))
 
 
-def write_artifacts(artifacts: DataFrame, path: str) -> None:
-    """Artifacts as a table partitioned by service, which readers can fetch one service of."""
-    artifacts.withColumn("service", F.substring_index("path", "/", 1)).write.partitionBy("service").parquet(path)
+def write_artifacts(artifacts: DataFrame, folder: str, overwrite: bool = False) -> None:
+    """The files of artifacts (path, text) below folder, all or none; files of a path that is there already are replaced."""
+    from tracewright.sources.artifacts import ArtifactSource
+
+    artifacts.sparkSession.dataSource.register(ArtifactSource)
+    artifacts.select("path", "text").write.format(ArtifactSource.name()).option("folder", folder).mode("overwrite" if overwrite else "append").save()
 
 
 def stats_text(accuracy: float | None, rows: int, confusion: DataFrame, title: dict[str, str]) -> str:
