@@ -44,6 +44,20 @@ def test_wide_and_unnamed_headers(spark, tmp_path):
     assert got == [("index", "LI", "i()", 2, "c", "NORMAL"), ("index", "LI", "j()", 3, "c", "NONE"), ("twice", "LT", "k()", 4, "c, d", "NONE"), ("wide", "LW", "w()", 1, "c", "NONE")]
 
 
+def test_many_files_are_one_scan(spark, tmp_path, monkeypatch):
+    """600 files of 40 headers, small ones in groups, each read once; blank lines and short rows."""
+    columns = HEAD.strip().split(",")
+    for i in range(600):
+        names = columns[i % 7 :] + [f"extra{i % 40}"] + columns[: i % 7]
+        cells = {"Class": f"L{i}", "Method": "m()", "Depth": str(i), "Code Merged": f'"c\n{i}"', "Access Control Level": "NONE"}
+        write(tmp_path, f"svc {i}%.x.csv", ",".join(names) + "\n\n" + ",".join(cells.get(c, "") for c in names) + "\n" + ",".join(cells.get(c, "") for c in names).replace(f"L{i}", "second") + "\n")
+    found = files.csv_dir(spark, str(tmp_path))
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan") == 1 and found.rdd.getNumPartitions() < 10
+    rows = found.collect()
+    assert len(rows) == 1200 and {(r.service_name, r["class"], r.depth, r.java_code) for r in rows if r.seq == 0} == {(f"svc {i}%.x", f"L{i}", i, f"c\n{i}") for i in range(600)}
+    assert files.csv_dir(spark, f"file:{tmp_path}").count() == 1200
+
+
 def test_bad_depth_fails(spark, tmp_path):
     write(tmp_path, "a.csv", HEAD + "A,b,x,t,o,c,NONE\n")
     with pytest.raises(Exception, match="CAST_INVALID_INPUT|cast"):

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import csv
+import json
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracewright.schemas import CSV_COLUMNS, EXAMPLE
 from tracewright.shared import written
+from tracewright.sources.csv_folder import CsvFolderSource
 
 
 def file_stem(path=None):
@@ -27,39 +27,13 @@ def csv_dir(spark: SparkSession, folder: str, code_col: str = "Code Merged") ->
     java_code and seq, the row's place in its file.
 
     Cells may span lines; outer double quotes are stripped; a depth that is no integer fails the job. Files whose header lacks a
-    needed column have no rows. Headers are grouped first, so files of one header are read together.
+    needed column have no rows.
     """
-    base = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "pathGlobFilter": "*.csv"}
+    spark.dataSource.register(CsvFolderSource)
     needed = ["Class", "Method", "Depth", CSV_COLUMNS[3], code_col, "Access Control Level"]
-    frames = []
-    for header, files in sorted(_headers(spark, folder).items()):
-        if not set(needed) <= set(header):
-            continue
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in header])
-        rows = spark.read.options(**base, enforceSchema=True).schema(schema).csv(files)
-        rows = rows.select(file_stem().alias("service_name"), *[F.btrim(F.coalesce(F.col(f"`{c}`"), F.lit("")), F.lit('"')).alias(f"c{i}") for i, c in enumerate(needed)], F.monotonically_increasing_id().alias("seq"))
-        frames.append(rows.select("service_name", F.col("c0").alias("class"), F.col("c1").alias("method"), F.col("c5").alias("access control level"), F.col("c2").cast("int").alias("depth"), F.col("c3").alias("trace"), F.col("c4").alias("java_code"), "seq"))
-    if not frames:
-        from tracewright.schemas import PATH_ROW
-
-        return spark.createDataFrame([], PATH_ROW)
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
-def _headers(spark: SparkSession, folder: str) -> dict[tuple[str, ...], list[str]]:
-    """Files of the folder by their header, of any number of cells; the driver sees one line a file. Cells without a name, and
-    further ones of a name, get their place as name."""
-    first = spark.read.option("wholetext", False).option("pathGlobFilter", "*.csv").text(folder).select(F.col("_metadata.file_path").alias("p"), F.col("_metadata.file_block_start").alias("b"), "value")
-    heads = first.where("b = 0").groupBy(plain_path(F.col("p")).alias("p")).agg(F.first("value").alias("h"))
-    out: dict[tuple[str, ...], list[str]] = {}
-    for r in heads.collect():
-        cells = [c.strip() for c in next(csv.reader([r["h"].lstrip("\ufeff")]), [])]
-        names = tuple(c if c and c not in cells[:i] else f"_c{i}" for i, c in enumerate(cells))
-        out.setdefault(names, []).append(r["p"])
-    return {k: sorted(v) for k, v in out.items()}
+    rows = spark.read.format(CsvFolderSource.name()).option("folder", folder).option("columns", json.dumps(needed)).load()
+    cell = lambda i: F.btrim(f"c{i}", F.lit('"'))
+    return rows.select("service_name", cell(0).alias("class"), cell(1).alias("method"), cell(5).alias("access control level"), cell(2).cast("int").alias("depth"), cell(3).alias("trace"), cell(4).alias("java_code"), "seq")
 
 
 def sectioned_text(spark: SparkSession, path: str, key_tag: str = "EP:", row_tag: str = "ControlFlow:") -> DataFrame:
