@@ -233,9 +233,22 @@ def _by_code(side: _Side) -> tuple[_Side, np.ndarray, np.ndarray]:
     return side, starts, codes.dictionary
 
 
+def _leading(side: _Side, rows: np.ndarray, code: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Of entries (row of the side, code, similarity) the places of those that can be the first of their entry point and code."""
+    groups = side.group.dictionary_encode()
+    if len(groups.dictionary) == len(side):
+        return np.arange(len(rows))
+    group, place = groups.indices.to_numpy()[rows], side.place[rows]
+    order = np.lexsort((place, -s, code, group))
+    key = np.stack([group[order], code[order]])
+    starts = np.concatenate([[0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1])
+    first = np.repeat(order[starts], np.diff(np.append(starts, len(order))))
+    return order[(s[order] == s[first]) & (place[order] == place[first])]
+
+
 class _Best:
-    """A block that hands on, for each of its rows and those it meets, the best pair with each code: the others cannot be the first of their entry
-    point and code. Best is the largest similarity, then the smallest entry point and place."""
+    """A block that hands on, for the entry points of its rows and of those it meets, the best pair with each code: the others cannot be the first of
+    their entry point and code. Best is the largest similarity, then the smallest place, and of the other side the smallest entry point and place."""
 
     def __init__(self, own: _Side, threshold: float, same_row_only: bool):
         self.own, self.starts, _ = _by_code(own)
@@ -260,6 +273,8 @@ class _Best:
                 found, first = _first_best(np.ascontiguousarray(s.T), self.starts)
                 y, k = np.nonzero(found > -np.inf)
                 if len(y):
+                    lead = _leading(other, at + y, k, found[y, k])
+                    y, k = y[lead], k[lead]
                     yield _pairs(other, at + y, self.own, first[y, k], found[y, k], True)
             # rows of the block: best of each code so far
             here = np.searchsorted(starts, at, side="right") - 1
@@ -288,6 +303,8 @@ class _Best:
     def rest(self) -> Iterator[pa.RecordBatch]:
         x, k = np.nonzero(self.best > -np.inf)
         if len(x):
+            lead = _leading(self.own, x, k, self.best[x, k])
+            x, k = x[lead], k[lead]
             met = _Side.__new__(_Side)
             met.group, met.code = (pa.concat_arrays([getattr(side, c) for side in self.sides]) for c in ("group", "code"))
             met.place = np.concatenate([side.place for side in self.sides])
@@ -351,7 +368,8 @@ def cosine_pairs(sinks: DataFrame, threshold: float, group: str = "method", inde
 
 def best_pairs(sinks: DataFrame, threshold: float, code: str = "code", group: str = "method", index: str = "sink_idx", vector: str = "embedding", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, similarity, ep2_code of those of cosine_pairs that can be the first of their entry point and code:
-    first_per_code finds the same in them, and so does diversified. Their number is bounded by vectors times codes times blocks."""
+    first_per_code finds the same in them, and so does diversified. A unit hands on a pair for an entry point and code that meet in it, and those that
+    tie with it."""
     units = _laid_out(sinks, threshold, group, index, vector, code, block_bytes, BLOCK_ROWS)
     return _products(units, lambda own: _Best(own, threshold, False), f"{PAIR}, ep2_code string")
 
