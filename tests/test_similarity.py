@@ -37,7 +37,9 @@ def pairs_of(rows, threshold, same_row_only=False):
 
 @pytest.fixture
 def small_cells(monkeypatch):
-    monkeypatch.setattr(similarity, "CELL_ROWS", 40)
+    monkeypatch.setattr(similarity, "CELL_ROWS", 10)
+    monkeypatch.setattr(similarity, "BIN_ROWS", 40)
+    monkeypatch.setattr(similarity, "PRUNED_FROM", 100)
     monkeypatch.setattr(similarity, "PRODUCTS", 3000)
 
 
@@ -54,11 +56,11 @@ def test_pruned_join_finds_every_pair(spark, small_cells, threshold, block_rows)
 
 
 def test_units_that_hold_no_pair_are_left_out(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "CELL_ROWS", 100)
-    near = spark.createDataFrame(clustered(4000, 30, 32, 0.15), SHAPE)
-    made, every = similarity.join_work(near, 0.8)
-    assert 0 < made < 0.3 * every
-    alike = spark.createDataFrame(clustered(1000, 1, 32, 0.05), SHAPE)
+    for clusters, noise in ((40, 0.15), (20, 0.3)):  # fewer than cells; more clusters than cells can not be told apart
+        near = spark.createDataFrame(clustered(20_000, clusters, 32, noise), SHAPE)
+        made, every = similarity.join_work(near, 0.8)
+        assert 0 < made < 0.3 * every
+    alike = spark.createDataFrame(clustered(9000, 1, 32, 0.05), SHAPE)
     made, every = similarity.join_work(alike, 0.8)
     assert made >= every // 2  # all pairs are over the threshold
 
@@ -80,6 +82,8 @@ def greedy(entries, n):
 @pytest.mark.parametrize("cells, entries", [(40, 1 << 20), (10_000, 50)])
 def test_best_pairs_give_the_same_choice(spark, monkeypatch, cells, entries):
     monkeypatch.setattr(similarity, "CELL_ROWS", cells)
+    monkeypatch.setattr(similarity, "PRUNED_FROM", 100)
+    monkeypatch.setattr(similarity, "BIN_ROWS", 90)
     monkeypatch.setattr(similarity, "PRODUCTS", 500)
     monkeypatch.setattr(similarity, "BEST_ENTRIES", entries)
     chooser = random.Random(8)
@@ -111,7 +115,8 @@ def test_nothing_to_choose_from(spark):
 
 
 def test_a_unit_is_a_partition(spark, monkeypatch):
-    monkeypatch.setattr(similarity, "CELL_ROWS", 100)
+    monkeypatch.setattr(similarity, "PRUNED_FROM", 100)
+    monkeypatch.setattr(similarity, "BIN_ROWS", 100)
     df = spark.createDataFrame(clustered(2000, 10, 8, 0.2), SHAPE)
     units = similarity._laid_out(df, 0.5, "method", "sink_idx", "embedding", None, 1 << 20, 100)
     by = units.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("unit").alias("n")).collect()

@@ -1,10 +1,11 @@
 """Similar snippets across entry points: thresholded cosine join, best neighbour and diversified top-N.
 
 The join prunes by angles. Vectors are dealt to cells, each to its nearest centre; a cell's radius is the largest angle to its centre. By the triangle
-inequality a vector whose angle to a cell's centre exceeds that cell's radius by more than the threshold's angle has no partner there, and is not
-sent to it. Of two cells one holds the vectors that the other's are sent to, so that no two vectors meet twice.
+inequality a vector whose angle to a cell's centre exceeds that cell's radius by more than the threshold's angle has no partner there. Neighbouring
+cells make up a bin, and a vector is sent to the bins with a cell in which it may have a partner. Bins are small where that leaves most of them out,
+and large where it does not. Of two bins one holds the vectors that the other's are sent to, so that no two vectors meet twice.
 
-A cell is cut into blocks of bounded bytes, and what is sent to it into lanes; a unit of work is a block and a lane, with a number and a
+A bin is cut into blocks of bounded bytes, and what is sent to it into lanes; a unit of work is a block and a lane, with a number and a
 partition of its own in the one shuffle. In its task the block's vectors come first, the lane's stream past them as Arrow batches and meet them in
 matrix products. Only pairs above the threshold leave a unit, or, for the diversified choice, the best of each entry point and code. No side is
 broadcast; what goes to tasks by value are the centres, at most CELLS.
@@ -28,8 +29,10 @@ BLOCK_BYTES = 32 << 20
 #: Rows of a block that keeps the best per code, and entries of its table of them.
 BLOCK_ROWS, BEST_ENTRIES = 8192, 4 << 20
 UNITS = 10_000
-#: Cells: one for so many vectors, at most so many, found on a sample of so many vectors a cell.
-CELL_ROWS, CELLS, SAMPLE_A_CELL = 2048, 256, 16
+#: Cells: one for so many vectors, at most so many, found on a sample of so many vectors a cell; below so many vectors in all there is one.
+CELL_ROWS, CELLS, SAMPLE_A_CELL, PRUNED_FROM = 256, 512, 8, 8192
+#: Vectors of a bin where cells can be told apart: where fewer than half of all pairs lie in cells that may hold a partner.
+BIN_ROWS = 2048
 LANE_ROWS = 1 << 15
 #: Products at once.
 PRODUCTS = 4 << 20
@@ -105,19 +108,44 @@ def _placed(rows: DataFrame, centres: np.ndarray, keep_zero: bool) -> DataFrame:
     return rows.select("g", "i", "c", "v").mapInArrow(place, "g string, i long, c string, v array<double>, cell int, angle double")
 
 
+def _chain(centres: np.ndarray) -> np.ndarray:
+    """The cells in an order in which neighbours follow each other: from each to the nearest that is left."""
+    left, order = np.ones(len(centres), bool), [0]
+    left[0] = False
+    for _ in range(len(centres) - 1):
+        order.append(int(np.where(left, centres @ centres[order[-1]], -np.inf).argmax()))
+        left[order[-1]] = False
+    return np.array(order)
+
+
 class _Layout:
-    """Which cells' vectors are sent where, and the numbers of units."""
+    """Which cells make up a bin, which bins' vectors are sent where, and the numbers of units."""
 
     def __init__(self, centres: np.ndarray, radius: np.ndarray, count: np.ndarray, threshold: float, block_rows: int, tasks: int):
-        n = len(count)
-        self.centres, self.count = centres, count
-        self.reach = np.where(count > 0, radius + (math.acos(min(1.0, max(-1.0, threshold))) + SLACK), -1.0) if n > 1 else np.full(n, np.inf)
+        cells = len(count)
+        self.centres = centres
+        # a cell without vectors is reached by none, and a single one by all
+        self.reach = np.where(count > 0, radius + (math.acos(min(1.0, max(-1.0, threshold))) + SLACK), -1.0) if cells > 1 else np.full(cells, np.inf)
+        near = np.ones((cells, cells), bool) if cells == 1 else _angles(centres, centres) - radius[None, :] <= self.reach[:, None] + SLACK
+        apart = count @ near @ count < 0.5 * count.sum() ** 2
+        rows = min(block_rows, BIN_ROWS if apart else max(BIN_ROWS, math.ceil(count.sum() / 4)))
+        self.order = _chain(centres) if cells > 1 else np.zeros(1, np.int64)
+        starts, size = [], math.inf
+        for at, k in enumerate(self.order):
+            if size + count[k] > rows:
+                starts.append(at)
+                size = 0
+            size += count[k]
+        self.starts, n = np.array(starts), len(starts)
+        self.bin = np.empty(cells, np.int64)
+        self.bin[self.order] = np.repeat(np.arange(n), np.diff(np.append(self.starts, cells)))
+        self.count = np.add.reduceat(count[self.order], self.starts)
         k = np.arange(n)
         even = (k[:, None] + k[None, :]) % 2 == 0
         self.owns = (k[:, None] == k[None, :]) | np.where(even, k[:, None] < k[None, :], k[:, None] > k[None, :])
-        near = np.ones((n, n), bool) if n == 1 else _angles(centres, centres) - radius[None, :] <= self.reach[:, None] + SLACK
-        sent = (self.owns & near & (count[:, None] > 0)) @ count
-        self.blocks = np.maximum(1, np.ceil(count / block_rows)).astype(np.int64)
+        reached = np.maximum.reduceat(near[self.order], self.starts, axis=0)  # bins by the cells whose vectors may be sent there
+        sent = (reached & self.owns[:, self.bin]) @ count
+        self.blocks = np.maximum(1, np.ceil(self.count / block_rows)).astype(np.int64)
         self.lanes = np.maximum(1, np.ceil(sent / LANE_ROWS)).astype(np.int64)
         if (units := int((self.blocks * self.lanes).sum())) < tasks:
             self.lanes = np.maximum(1, np.minimum(self.lanes * math.ceil(tasks / units), sent // 256)).astype(np.int64)
@@ -126,16 +154,18 @@ class _Layout:
 
     def sent(self, v: np.ndarray, cell: np.ndarray, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Of vectors with two hashes each: place, unit and role (0: of the block, 1: meets it, 2: meets it as one of its own)."""
-        block, out = one % self.blocks[cell], []
-        for a in np.unique(cell):
-            x = np.flatnonzero(cell == a)
+        home, out = self.bin[cell], []
+        block = one % self.blocks[home]
+        for a in np.unique(home):
+            x = np.flatnonzero(home == a)
             units = self.first[a] + block[x][:, None] * self.lanes[a] + np.arange(self.lanes[a])[None, :]
             out.append((np.repeat(x, self.lanes[a]), units.ravel(), np.zeros(units.size, np.int64)))
-        angles = _angles(v, self.centres) if len(self.count) > 1 else np.zeros((len(v), 1))
+        angles = _angles(v, self.centres) if len(self.bin) > 1 else np.zeros((len(v), 1))
+        reached = np.maximum.reduceat((angles <= self.reach[None, :])[:, self.order], self.starts, axis=1)
         for a in np.flatnonzero(self.count > 0):
-            x = np.flatnonzero(self.owns[a, cell] & (angles[:, a] <= self.reach[a]))
+            x = np.flatnonzero(self.owns[a, home] & reached[:, a])
             x, q = np.repeat(x, self.blocks[a]), np.tile(np.arange(self.blocks[a]), len(x))
-            p, inside = block[x], cell[x] == a
+            p, inside = block[x], home[x] == a
             meets = ~inside | (p == q) | np.where((p + q) % 2 == 0, q < p, q > p)
             x, q, role = x[meets], q[meets], np.where(inside & (p == q), 2, 1)[meets]
             out.append((x, self.first[a] + q * self.lanes[a] + two[x] % self.lanes[a], role))
@@ -342,12 +372,12 @@ def _laid_out(sinks: DataFrame, threshold: float, group: str, index: str, vector
     rows = rows.select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), (F.col(code).cast("string") if code else F.lit(None).cast("string")).alias("c"), F.col(vector).cast("array<double>").alias("v"))
     size = rows.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
     n, row_bytes, tasks = size["n"], 8 * (size["dim"] or 1), int(sinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cells = min(CELLS, n // CELL_ROWS) if threshold > 0 else 1
+    cells = min(CELLS, n // CELL_ROWS) if threshold > 0 and n >= PRUNED_FROM else 1
     centres = _centres(rows, n, cells) if cells > 1 else np.zeros((0, 0))
     placed = _placed(rows, centres, threshold < 0)
     block_rows = max(1, min(block_rows, block_bytes // row_bytes))
     if len(centres) < 2:
-        block_rows = min(block_rows, n if n < CELL_ROWS else math.ceil(n / 4))  # a few blocks, if there is work for them
+        block_rows = min(block_rows, n if n < BIN_ROWS else math.ceil(n / 4))  # a few blocks, if there is work for them
         return _units(placed, _Layout(centres, np.zeros(1), np.array([n]), threshold, max(1, block_rows), tasks))
     placed = written(placed, "cells")  # a vector's cell is chosen once
     radius, count = np.zeros(len(centres)), np.zeros(len(centres), np.int64)
