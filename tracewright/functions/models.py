@@ -155,9 +155,9 @@ def chat_logged(df: DataFrame, keys: list[str], client: Callable[[], ModelClient
     runs have logged is joined by the call's digest. The result is a written table.
     """
     called = F.sha2(F.concat_ws("\x1f", F.to_json(F.struct(*keys)), F.lit(system), F.col(prompt_col)), 256)
-    rows = written(df.withColumn("__call", F.when(F.col(prompt_col).isNotNull(), called)), "asked")
+    rows = df.withColumn("__call", F.when(F.col(prompt_col).isNotNull(), called))
     known = journal.table(df.sparkSession, log, "call string, answer string").groupBy(F.col("call").alias("__known_call")).agg(F.min("answer").alias("__known"))
-    rows = written(rows.join(known, F.col("__call") == F.col("__known_call"), "left").drop("__known_call"), "asked-again")
+    rows = written(rows.join(known, F.col("__call") == F.col("__known_call"), "left").drop("__known_call"), "asked")
     run = f"{log}/run-{uuid.uuid4().hex}"
 
     def answered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
