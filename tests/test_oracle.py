@@ -26,11 +26,15 @@ def rounded(v):
     return round(v, 6) if isinstance(v, float) else v
 
 
+#: Not to be said in SQL; tests/test_bytepair.py holds it to a public encoder.
+NO_SQL = {"str_token_count_merges"}
+
+
 def test_all_have_sql():
-    assert set(catalog.QUERIES) == set(catalog.ORACLE_SQL)
+    assert set(catalog.QUERIES) - NO_SQL == set(catalog.ORACLE_SQL)
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLE_SQL))
 def test_query(spark, duck, name):
     df = catalog.QUERIES[name](spark, SF)
     expected = duck.sql(catalog.ORACLE_SQL[name])

@@ -6,8 +6,9 @@ import time
 
 from pyspark.sql import functions as F
 
-from tracewright.functions import answers, arrays, models, text
+from tracewright.functions import answers, arrays, bytepair, models, text
 from tracewright.plans.registry import query, scratch, t
+from tracewright.shared import write_counted
 from tracewright.streaming.batches import BatchJob, CannedBatchService
 
 # strings ---------------------------------------------------------------------------------------------------------------------------
@@ -117,6 +118,14 @@ def str_token_count(spark, sf_dir):
     return t(spark, sf_dir, "part").select("p_partkey", text.token_count(F.concat("p_name", F.lit(", "), "p_type", F.lit("."))).cast("long").alias("tokens"))
 
 
+@query("str_token_count_merges")
+def str_token_count_merges(spark, sf_dir):
+    """Tokens of every whole text by a public byte-level vocabulary; SQL has no merges, so tests hold it to that vocabulary's own encoder."""
+    import public_tokenizers
+
+    return t(spark, sf_dir, "documents").select("doc_id", bytepair.token_count(F.col("text"), public_tokenizers.path("byte_bpe_50k.tiktoken")).alias("tokens"))
+
+
 @query("str_pad_ids", "SELECT p_partkey, array_to_string([0] || list_transform(range(1, least(p_size, 6) + 1), lambda x: x::INTEGER) || [2] || list_transform(range(least(p_size, 6), 6), lambda x: 1), ',') AS ids FROM part")
 def str_pad_ids(spark, sf_dir):
     ids = F.sequence(F.lit(1), F.col("p_size"))
@@ -242,6 +251,21 @@ def q_funnel_files(spark, sf_dir):
     return funnel(a, {"parsed": F.col("k").isNotNull(), "large": F.col("k") > 50})
 
 
+@query("q_counted_stage", f"""WITH x AS (SELECT CASE WHEN event_id % {FORMS} <> 6 THEN CAST(props::JSON->>'k' AS BIGINT) END AS k FROM events),
+c AS (SELECT CAST(count(*) AS BIGINT) AS rows, CAST(count(k) AS BIGINT) AS parsed, CAST(count(*) FILTER (k > 50) AS BIGINT) AS large FROM x)
+SELECT 'rows' AS counter, rows AS observed, rows AS stored FROM c UNION ALL SELECT 'parsed', parsed, parsed FROM c UNION ALL SELECT 'large', large, large FROM c""")
+def q_counted_stage(spark, sf_dir):
+    """A stage's table and the counters of the pass that wrote it, beside the counts of what is stored."""
+    from tracewright.operators.relational import funnel
+
+    steps = {"parsed": F.col("k").isNotNull(), "large": F.col("k") > 50}
+    stage = _answers(spark, sf_dir).select("event_id", _k(answers.extract_json(F.col("res"), "relaxed")))
+    table, seen = write_counted(stage, scratch(spark, "counted"), {"rows": F.lit(True)} | steps)
+    stored = funnel(table, steps).unpivot([], ["rows", "parsed", "large"], "counter", "stored")
+    observed = F.create_map(*[F.lit(x) for kv in seen.items() for x in kv])
+    return stored.select("counter", F.element_at(observed, F.col("counter")).cast("long").alias("observed"), "stored")
+
+
 # arrays ----------------------------------------------------------------------------------------------------------------------------
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
@@ -24,3 +25,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_counted(df: DataFrame, path: str, counters: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """df as a table at path, and how many of its rows pass each condition (a null does not), counted by the pass that writes them: neither a
+    second read nor a second job. The counters belong to the writing stage, of which Spark takes one attempt a task, so a task that is tried again
+    or a lost executor does not count twice."""
+    seen = Observation()
+    df.observe(seen, *[F.count_if(c).alias(name) for name, c in counters.items()]).write.parquet(path)
+    found = seen.get if counters else {}
+    return df.sparkSession.read.schema(df.schema).parquet(path), {name: int(found.get(name) or 0) for name in counters}
