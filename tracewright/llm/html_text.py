@@ -1,7 +1,8 @@
 """Main text of web pages by gradient-boosted trees over DOM nodes (operator 5).
 
 A page is parsed into its block elements and, as leaves, its runs of inline text. Every node gets features: its tag, tokens of
-its class, id and role attributes and those of its ancestors, depth, place among its siblings and their texts, and density measures
+its class, id and role attributes, how near ancestors with such tokens are and what share of the page they hold (a wrapper named has-sidebar holds
+the article, a sidebar does not), whether a name only tells a state (has-, no-, -open), depth, place among its siblings and their texts, and density measures
 of its subtree (characters, links, tags, punctuation). Trees give each node the odds of being main text. Decoding labels nodes
 content, boilerplate or mixed so that everything below a content node is content and everything below a boilerplate node is
 boilerplate; the labelling of highest likelihood follows from the leaves to the root, so no node contradicts an ancestor.
@@ -14,12 +15,13 @@ Defined results: null and empty html give an empty text, an empty table no rows;
 space; blocks come in page order, joined by a line feed; pages of any length are parsed whole, in linear time; broken markup is parsed to the end: of an element that is left out but has no
 end tag only the tag goes, except that a script, style, text area or title runs to the end of the page, as in browsers, and a stray option to the next tag; a tag that the page breaks off in
 goes; a head ends by itself, as its elements hold no text; words in noscript, math and object elements are text like any other, and
-the trees decide; repeated rows give equal results; further columns are kept.
+the trees decide; of equally likely labellings a node takes boilerplate before content before mixed; repeated rows give equal results; further columns are kept.
 """
 
 from __future__ import annotations
 
 import bisect
+import functools
 import html as entities
 import math
 import random
@@ -51,7 +53,11 @@ TOKEN = re.compile(
 #: styles, text areas and titles are single tokens.
 SKIP = frozenset("template select datalist iframe svg button".split())
 HINT = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-TOKENS = re.compile(r"[a-z]+")
+NAMES = re.compile(r"[^\s\"']+")
+#: The words of a name, those of camel case too.
+TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: What a copyright line says.
+LEGAL = re.compile(r"©|\(c\)\s|copyright|rights reserved", re.I)
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption legend label".split()
@@ -76,26 +82,39 @@ OFF_WORDS = frozenset(
     "nav navbar navigation menu foot footer header masthead banner topbar side sidebar aside ad ads advert advertisement adverts sponsor sponsored promo promotion comment comments reply replies respond disqus share sharing social cookie cookies consent notice alert gdpr popup modal overlay related recommended widget breadcrumb breadcrumbs pager pagination subscribe newsletter signup login search form tags meta byline author copyright legal skip toolbar contentinfo complementary dialog feedback reviews rating outbrain taboola".split()
 )
 ON_WORDS = frozenset("content article post entry main story body text page articlebody maincontent prose lead blog news".split())
-FEATURES = [f"tag_{g}" for g in TAG_GROUPS] + "text_leaf off_tokens on_tokens off_above on_above off_tag_above main_above list_above depth place of_siblings same_tag chars log_chars words link_share tags_per_char stops word_length share_of_page from_start blocks paragraphs caps digits before after before_links after_links parent_chars parent_links".split()
+#: Words that make a name with one of OFF_WORDS in it say how a page looks rather than what an element is.
+STATE_WORDS = frozenset("has have no not with without is open opened closed off on free left right none fixed sticky layout enabled disabled hide hidden show shown active single logged in".split())
+FAR = 9
+FEATURES = [f"tag_{g}" for g in TAG_GROUPS] + "text_leaf off_tokens on_tokens state_tokens off_steps off_share off_paragraphs on_steps state_above off_tag_above main_above list_above depth place of_siblings same_tag chars log_chars words link_share tags_per_char stops word_length share_of_page from_start blocks paragraphs caps digits legal before after before_links after_links parent_chars parent_links".split()
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "text", "order", "links", "hints", "depth", "scope", "cells", "chars", "link_chars", "tags", "blocks", "paragraphs", "stops", "caps", "digits", "words", "start", "off_above", "on_above", "off_tag_above", "main_above", "list_above")
+    __slots__ = ("tag", "parent", "children", "text", "order", "links", "hints", "depth", "scope", "cells", "chars", "link_chars", "tags", "blocks", "paragraphs", "stops", "caps", "digits", "legal", "words", "start", "off_near", "on_near", "state_above", "off_tag_above", "main_above", "list_above")
 
-    def __init__(self, tag: str, parent: Node | None, hints: tuple[int, int] = (0, 0)):
+    def __init__(self, tag: str, parent: Node | None, hints: tuple[int, int, int] = (0, 0, 0)):
         self.tag, self.parent, self.children, self.text, self.links, self.hints = tag, parent, [], None, 0, hints
         self.tags = 0
 
 
-def _hints(attributes: str) -> tuple[int, int]:
-    if not attributes:
-        return 0, 0
-    off = on = 0
-    for m in HINT.finditer(attributes):
-        for w in TOKENS.findall(m[1].lower()):
-            off += w in OFF_WORDS
-            on += w in ON_WORDS
-    return off, on
+@functools.lru_cache(maxsize=1 << 14)
+def _name(name: str) -> tuple[int, int, int]:
+    """Tokens of one class, id or role: of what is left out, of main text, and of the former in a name that tells a state. A long token may be
+    joined from one of these words and another."""
+    words = [w.lower() for w in TOKENS.findall(name)]
+    known = lambda w, of: w in of or len(w) > 6 and any(len(x) > 5 and (w.startswith(x) or w.endswith(x)) for x in of)
+    on = sum(known(w, ON_WORDS) for w in words)
+    off = sum(known(w, OFF_WORDS) for w in words)
+    return (0, on, off) if not STATE_WORDS.isdisjoint(words) else (off, on, 0)
+
+
+def _hints(attributes: str) -> tuple[int, int, int]:
+    off = on = state = 0
+    if attributes:
+        for m in HINT.finditer(attributes):
+            for name in NAMES.findall(m[1]):
+                a, b, c = _name(name[:64])
+                off, on, state = off + a, on + b, state + c
+    return off, on, state
 
 
 def _depth(v: Node) -> int:
@@ -214,12 +233,14 @@ def nodes_of(root: Node) -> list[Node]:
         p = v.parent
         v.depth = p.depth + 1 if p else 0
         if p:
-            v.off_above, v.on_above = p.off_above + p.hints[0], p.on_above + p.hints[1]
+            v.off_near, v.on_near = p if p.hints[0] else p.off_near, p if p.hints[1] else p.on_near
+            v.state_above = p.state_above + p.hints[2]
             v.off_tag_above = p.off_tag_above or p.tag in TAG_GROUPS["off"]
             v.main_above = p.main_above or p.tag in TAG_GROUPS["main"]
             v.list_above = p.list_above or p.tag in TAG_GROUPS["list"]
         else:
-            v.off_above = v.on_above = 0
+            v.off_near = v.on_near = None
+            v.state_above = 0
             v.off_tag_above = v.main_above = v.list_above = False
         v.start = start
         t = v.text
@@ -227,10 +248,10 @@ def nodes_of(root: Node) -> list[Node]:
             v.chars, v.link_chars, v.blocks, v.words = len(t), v.links, 1, t.count(" ") + 1
             v.stops = t.count(".") + t.count(",") + t.count("!") + t.count("?")
             v.caps, v.digits = int(t[:1].isupper()), int(any(c in t[:200] for c in "0123456789"))
-            v.paragraphs = int(p.tag in TAG_GROUPS["paragraph"])
+            v.paragraphs, v.legal = int(p.tag in TAG_GROUPS["paragraph"]), int(LEGAL.search(t[:200]) is not None)
             start += v.chars
         else:
-            v.chars = v.link_chars = v.blocks = v.words = v.stops = v.caps = v.digits = v.paragraphs = 0
+            v.chars = v.link_chars = v.blocks = v.words = v.stops = v.caps = v.digits = v.legal = v.paragraphs = 0
             v.tags += 1
         out.append(v)
         stack.extend(reversed(v.children))
@@ -244,6 +265,7 @@ def nodes_of(root: Node) -> list[Node]:
             p.stops += v.stops
             p.caps += v.caps
             p.digits += v.digits
+            p.legal += v.legal
             p.paragraphs += v.paragraphs
             p.tags += v.tags
     return out
@@ -251,6 +273,7 @@ def nodes_of(root: Node) -> list[Node]:
 
 def features(nodes: list[Node]) -> np.ndarray:
     page = max(1, nodes[0].chars) if nodes else 1
+    paragraphs = max(1, nodes[0].paragraphs) if nodes else 1
     rows = []
     place = {}
     for v in nodes:
@@ -266,15 +289,14 @@ def features(nodes: list[Node]) -> np.ndarray:
         after = p.children[i + 1] if p and i + 1 < n else None
         tag = p.tag if v.text is not None and p else v.tag
         chars = max(1, v.chars)
-        off, on = v.hints
-        if v.text is not None and p:
-            off, on = p.hints
+        off, on, state = p.hints if v.text is not None and p else v.hints
+        a, b = v.off_near, v.on_near
         rows.append(
             [float(tag in g) for g in TAG_GROUPS.values()]
             + [
-                float(v.text is not None), off, on, v.off_above, v.on_above, float(v.off_tag_above), float(v.main_above), float(v.list_above), v.depth, i / n, n, same_tag,
+                float(v.text is not None), off, on, state, min(v.depth - a.depth, FAR) if a else FAR + 1, a.chars / page if a else 0.0, a.paragraphs / paragraphs if a else 0.0, min(v.depth - b.depth, FAR) if b else FAR + 1, v.state_above, float(v.off_tag_above), float(v.main_above), float(v.list_above), v.depth, i / n, n, same_tag,
                 v.chars, math.log1p(v.chars), v.words, v.link_chars / chars, v.tags / chars, v.stops / chars, v.chars / max(1, v.words), v.chars / page, v.start / page, v.blocks, v.paragraphs,
-                v.caps / max(1, v.blocks), v.digits / max(1, v.blocks), before.chars if before else -1, after.chars if after else -1,
+                v.caps / max(1, v.blocks), v.digits / max(1, v.blocks), v.legal / max(1, v.blocks), before.chars if before else -1, after.chars if after else -1,
                 before.link_chars / max(1, before.chars) if before else -1, after.link_chars / max(1, after.chars) if after else -1, p.chars if p else 0, p.link_chars / max(1, p.chars) if p else 0,
             ]
         )
@@ -348,7 +370,7 @@ def _renamed(root: Node) -> None:
         v = stack.pop()
         stack += v.children
         if v.tag in TAG_GROUPS["main"]:
-            v.tag, v.hints = "div", (v.hints[0], v.hints[1] + 1)
+            v.tag, v.hints = "div", (v.hints[0], v.hints[1] + 1, v.hints[2])
 
 
 MARK = "\ue000"
@@ -367,7 +389,20 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
     named = chooser.random() < 0.85  # tokens that tell
     old = plain and chooser.random() < 0.2  # a layout without sections, its links in lines
 
+    def state() -> str:
+        """A name that says how the page looks by a word for what is left out."""
+        word = chooser.choice("sidebar comments ads cookie menu nav newsletter header footer banner share related search".split())
+        return chooser.choice("has-{} no-{} with-{} {}-open {}-closed {}-off {}-free {}-left {}-right layout-{} {}-fixed".split()).format(word)
+
+    def wrapper(inner: str) -> str:
+        names = [chooser.choice("content page wrapper main post site-content single-post container article-page".split())] if chooser.random() < 0.7 else []
+        names += [state() for _ in range(chooser.randint(0 if names else 1, 2))]
+        chooser.shuffle(names)
+        return f'<div class="{" ".join(names)}">{inner}</div>'
+
     def box(tag: str, name: str, inner: str) -> str:
+        if chooser.random() < 0.15:
+            name += " " + name.split()[0] + chooser.choice(["-left", "-right", "-open", "-fixed", " is-open"])
         tag = ("center" if old else "div") if plain and chooser.random() < 0.8 else tag
         hint = f' {chooser.choice(["class", "id", "class"])}="{name}"' if named and (tag == "div" or chooser.random() < 0.5) else ""
         return f"<{tag}{hint}>{inner}</{tag}>"
@@ -401,6 +436,12 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
         return title + "".join(parts)
 
     def comments() -> str:
+        if chooser.random() < 0.35:
+            name = chooser.choice(["commentlist", "comment-list", "comments", "replies", "usercomments"])
+            list_tag, item = chooser.choice([("ol", "li"), ("ul", "li"), ("div", "div")])
+            one = chooser.choice([' class="comment"', ' class="comment even"', "", ' class="item"', ' class="entry"'])
+            some = "".join(f"<{item}{one}><p>{say(1, 3)}</p><p>{say(5, 60)}</p></{item}>" for _ in range(chooser.randint(1, 5)))
+            return (f"<h3>{say(1, 3)}</h3>" if chooser.random() < 0.4 else "") + f'<{list_tag} class="{name}">{some}</{list_tag}>'
         some = "".join(box("div", "comment", f"<p>{say(1, 3)}</p><p>{say(5, 60)}</p>") for _ in range(chooser.randint(1, 5)))
         return box("section", chooser.choice(["comments", "comments-area", "reader-comments"]), f"<h3>{say(1, 3)}</h3>{some}")
 
@@ -414,19 +455,34 @@ def made_up_page(chooser: random.Random, stock: list[str]) -> str:
     if chooser.random() < 0.5:
         page.append(f'<div class="{chooser.choice(["ad", "ads", "advert", "sponsored"])}">{say(3, 25)}</div>')
     bare = chooser.random() < 0.15
-    page.append(body() if bare or old else box(chooser.choice(["article", "main"]), chooser.choice(["content", "article", "post", "entry-content", "story"]), body()))
+    main = body() if bare or old else box(chooser.choice(["article", "main"]), chooser.choice(["content", "article", "post", "entry-content", "story"]), body())
     if chooser.random() < 0.3:
-        page.append(box("aside", chooser.choice(["sidebar", "side", "widget"]), f"<h3>{say(1, 4)}</h3>{links(2, 6)}<p>{say(4, 30)}</p>"))
+        main = wrapper(main)
+    side = lambda: f"<h3>{say(1, 4)}</h3>{links(2, 6)}" + (f"<p>{say(4, 30)}</p>" if chooser.random() < 0.7 else "")
+    if chooser.random() < (0.5 if old else 0.12):  # columns of a table
+        cells = [main]
+        if chooser.random() < 0.7:
+            cells.insert(0, links(2, 9))
+        if chooser.random() < 0.4 or len(cells) == 1:
+            cells.append(side())
+        first = f"<tr><td colspan={len(cells)}>{links(1, 3) if chooser.random() < 0.5 else say(1, 4)}</td></tr>" if chooser.random() < 0.3 else ""
+        page.append(f"<table>{first}<tr>" + "".join(f"<td>{c}</td>" for c in cells) + "</tr></table>")
+    else:
+        page.append(main)
+        if chooser.random() < 0.3:
+            page.append(box("aside", chooser.choice(["sidebar", "side", "widget"]), side()))
     if chooser.random() < 0.35:
         page.append(comments())
     if chooser.random() < 0.25:
         page.append(f'<form action="/s"><label>{say(1, 5)}</label><input name="q"><p>{say(1, 12)}</p></form>')
     if chooser.random() < 0.85:
-        page.append(box("footer", chooser.choice(["footer", "site-footer", "copyright"]), f"&copy; {say(1, 4)} &middot; {say(3, 14)}" if chooser.random() < 0.6 else f"<p>{say(3, 20)}</p>{links(1, 4)}"))
+        page.append(box("footer", chooser.choice(["footer", "site-footer", "copyright"]), f"{chooser.choice(['&copy;', 'Copyright'])} {say(1, 4)} &middot; {say(3, 14)}" if chooser.random() < 0.6 else f"<p>{say(3, 20)}</p>{links(1, 4)}"))
+    elif chooser.random() < 0.5:
+        page.append(f'<div id="{chooser.choice(["bottom", "end", "last", "base"])}"><p>{chooser.choice(["&copy;", "Copyright"])} {say(1, 5)}</p>' + (f"<p><a href=/i>{say(1, 2)}</a></p>" if chooser.random() < 0.5 else "") + "</div>")
     if old:
         page = [x for part in page for x in (part, "<hr>")]
-    if chooser.random() < 0.2:
-        page = ['<div class="wrapper">', *page, "</div>"]
+    if chooser.random() < 0.4:
+        page = [wrapper("".join(page))]
     return f"<!DOCTYPE html><html><head><title>{say(2, 8)}</title></head><body>{''.join(page)}</body></html>"
 
 
