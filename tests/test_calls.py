@@ -4,7 +4,9 @@ import os
 import subprocess
 import sys
 import textwrap
+import threading
 from collections import Counter
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +131,50 @@ def test_batches_survive_restarts(spark, tmp_path):
     said = {0: "answer {}", 1: "Error: request errored", 2: "Error: request expired", 3: "Error: unknown result type"}
     assert got == {**{i: said[i % 4].format(i) for i in range(95)}, 95: None}
     assert job().results().groupBy("custom_id").count().where(F.col("count") > 1).count() == 0
+
+
+class Hanging:
+    """Never answers, but for prompts that begin with a capital."""
+
+    def chat(self, system, user, timeout=None):
+        if not user[:1].isupper():
+            HOLD.wait(60)
+        return f"said {user}"
+
+    def generate(self, system, prompts):
+        return [self.chat(system, p) for p in prompts]
+
+
+HOLD = threading.Event()
+
+
+def test_hanging_calls_are_bounded():
+    HOLD.clear()
+    before, threads = threading.active_count(), 4
+    with ThreadPoolExecutor(threads) as pool:
+
+        def one(k):
+            try:
+                return models.within(0.02, lambda: Hanging().chat("", f"x{k}"))
+            except TimeoutError:
+                return None
+
+        assert list(pool.map(one, range(200))) == [None] * 200
+        assert threading.active_count() - before <= models.HANGING + 2 * threads
+    with pytest.raises(TimeoutError):
+        models.within(0.02, lambda: "not begun")
+    HOLD.set()
+    assert models.within(5, lambda: "begun again") == "begun again"
+    assert models._left.n == 0
+
+
+def test_a_few_hanging_calls_hinder_no_others(spark):
+    df = spark.createDataFrame([(k, f"x{k}" if k % 10 == 0 else f"X{k}") for k in range(60)], "k int, prompt string").coalesce(1)
+    rows = models.chat(df, Hanging, "", "prompt", "answer", threads=4, timeout=2.0, on_failure="none").collect()
+    assert {r.k: r.answer for r in rows} == {k: "none" if k % 10 == 0 else f"said X{k}" for k in range(60)}
+
+
+def test_generate_has_a_limit(spark):
+    df = spark.createDataFrame([(k, f"x{k}" if k == 3 else f"X{k}") for k in range(8)], "k int, prompt string")
+    rows = models.generate(df, lambda device: Hanging(), ["one"], "", "prompt", "answer", batch=1, on_failure="none", timeout=2.0).collect()
+    assert {r.k: r.answer for r in rows} == {k: "none" if k == 3 else f"said X{k}" for k in range(8)}

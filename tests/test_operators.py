@@ -199,3 +199,23 @@ def test_chat_failures(spark):
     assert [r.res for r in slow.collect() if r.prompt is None] == [None]
     states = iter(["running", "running", "ended"])
     assert models.wait_for(lambda: next(states), sleep=lambda s: None) == "ended"
+
+
+def test_roc_points(spark):
+    rows = [(1, 0.9), (0, 0.9), (1, 0.7), (0, 0.5), (1, 0.5), (0, 0.1), (None, 0.3), (1, None), (0, 0.05)]
+    points = relational.roc_points(spark.createDataFrame(rows, "y int, s double"), "y", "s")
+    got = [(r.score, r.tp, r.fp) for r in points.orderBy(F.desc("score")).collect()]
+    assert got == [(0.9, 1, 1), (0.7, 2, 1), (0.5, 3, 2), (0.1, 3, 3), (0.05, 3, 4)]
+    pairs = [(a, b) for y, a in rows if y == 1 and a is not None for z, b in rows if z == 0]
+    auc = sum((a > b) + (a == b) / 2 for a, b in pairs) / len(pairs)
+    assert abs(points.agg(F.sum("area")).first()[0] - auc) < 1e-12
+    grid = {(r.px, r.py) for r in relational.on_grid(points, "fpr", "tpr", 4, 3).collect()}
+    assert grid == {(1, 1), (1, 2), (2, 3), (3, 3), (4, 3)}
+
+
+@pytest.mark.parametrize("rows", [[], [(1, 0.5), (1, 0.2)], [(0, 0.5)]])
+def test_roc_of_one_label_or_none(spark, rows):
+    points = relational.roc_points(spark.createDataFrame(rows, "y int, s double"), "y", "s")
+    assert points.count() == len(rows)
+    assert points.agg(F.sum("area")).first()[0] is None
+    assert relational.on_grid(points, "fpr", "tpr", 4, 3).count() == 0

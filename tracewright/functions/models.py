@@ -7,6 +7,7 @@ retried task repeats calls, but not rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import math
@@ -18,7 +19,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
-from typing import Protocol
+from typing import Protocol, TypeVar
 
 import pandas as pd
 from pyspark import TaskContext
@@ -31,6 +32,9 @@ from tracewright.schemas import INVALID, LEVELS
 from tracewright.shared import written
 
 
+Result = TypeVar("Result")
+
+
 class ModelClient(Protocol):
     def chat(self, system: str, user: str, timeout: float | None = None) -> str: ...
 
@@ -99,24 +103,52 @@ class LetterEmbedder:
         return [[float(low.count(c)) for c in string.ascii_lowercase] for low in (t.lower() for t in texts)]
 
 
-def within(seconds: float | None, call: Callable[[], str]) -> str:
-    """call's result; TimeoutError if it takes longer, whether or not the call itself keeps a limit. A call that hangs is left behind in
-    a thread that ends with the worker."""
+#: Calls of one worker that may hang on, after their time, before further calls have to wait for one of them to end.
+HANGING = 16
+
+
+class _LeftBehind:
+    """Counts this worker's calls that took longer than they may and still run."""
+
+    def __init__(self):
+        self.n, self.changed = 0, threading.Condition()
+
+
+_left = _LeftBehind()
+
+
+def within(seconds: float | None, call: Callable[[], Result], hanging: int = HANGING) -> Result:
+    """call's result; TimeoutError if it takes longer, whether or not the call itself keeps a limit. A call that hangs is left behind in a thread
+    that ends with it or with the worker. While `hanging` of them are there, as where a server is dead, a new call is not begun before one ends, and
+    fails if none does in its time: a worker never has more than these and the calls that it makes at a time."""
     if seconds is None:
         return call()
+    until = time.monotonic() + seconds
+    with _left.changed:
+        if not _left.changed.wait_for(lambda: _left.n < hanging, seconds):
+            raise TimeoutError
     box: list = []
+    given_up = False
 
     def run() -> None:
         try:
-            box.append((True, call()))
+            found = (True, call())
         except BaseException as e:
-            box.append((False, e))
+            found = (False, e)
+        with _left.changed:
+            box.append(found)
+            if given_up:
+                _left.n -= 1
+                _left.changed.notify_all()
 
     thread = threading.Thread(target=run, daemon=True)
     thread.start()
-    thread.join(seconds)
-    if not box:
-        raise TimeoutError
+    thread.join(max(0.0, until - time.monotonic()))
+    with _left.changed:
+        if not box:
+            given_up = True
+            _left.n += 1
+            raise TimeoutError
     done, value = box[0]
     if not done:
         raise value
@@ -185,9 +217,9 @@ def chat_logged(df: DataFrame, keys: list[str], client: Callable[[], ModelClient
     return written(rows.mapInPandas(answered, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())])), "answered")
 
 
-def generate(df: DataFrame, model: Callable[[str], BatchModel], devices: list[str], system: str, prompt_col: str, out_col: str, batch: int = 32, on_failure: str | None = INVALID) -> DataFrame:
+def generate(df: DataFrame, model: Callable[[str], BatchModel], devices: list[str], system: str, prompt_col: str, out_col: str, batch: int = 32, on_failure: str | None = INVALID, timeout: float | None = None) -> DataFrame:
     """df with the answers of models in the workers' own processes: one partition and one model a device, prompts in batches. Null
-    prompts are not sent; the rows of a batch that fails get on_failure."""
+    prompts are not sent; the rows of a batch that fails, or takes longer than the timeout, get on_failure."""
 
     def answered(frames: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = None
@@ -198,7 +230,7 @@ def generate(df: DataFrame, model: Callable[[str], BatchModel], devices: list[st
             for at in range(0, len(sent), batch):
                 some = sent[at : at + batch]
                 try:
-                    got = list(own.generate(system, some))
+                    got = within(timeout, functools.partial(lambda model, sent: list(model.generate(system, sent)), own, some))
                 except Exception:  # any failure of a batch becomes its rows' sentinel
                     got = []
                 said += got if len(got) == len(some) else [on_failure] * len(some)

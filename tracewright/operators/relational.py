@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions.arrays import level_rank
 from tracewright.operators.running import numbered, running
 from tracewright.schemas import INVALID, LEVELS
+from tracewright.shared import written
 
 
 # filters ---------------------------------------------------------------------------------------------------------------------------
@@ -102,6 +103,24 @@ def classifier_metrics(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return counted.select("tp", "fp", "fn", "tn", div(tp + tn, tp + tn + fp + fn).alias("accuracy"), div(tp, tp + fp).alias("precision"), div(tp, tp + fn).alias("recall"), div(2 * tp, 2 * tp + fp + fn).alias("f1"), ((div(tp, tp + fn) + div(tn, tn + fp)) / 2).alias("roc_auc"))
 
 
+def roc_points(df: DataFrame, label: str, score: str) -> DataFrame:
+    """The ROC curve of a score for 0/1 labels, a row per different score: tp and fp, the rows of either label with this score or a higher one, the
+    rates tpr and fpr (null if there are no such labels), and area, what the curve's stretch up to this point adds to the area under it. Rows
+    without a label or score count for nothing."""
+    y, zero = F.col(label), F.lit(0.0)
+    counts = written(df.where(y.isin(0, 1) & F.col(score).isNotNull()).groupBy(F.col(score).alias("score")).agg(F.count_if(y == 1).alias("pos"), F.count_if(y == 0).alias("neg")), "scores")
+    total = counts.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("neg")).first()
+    p, n = (F.lit(float(total[c])) for c in ("pos", "neg"))
+    points = running(counts, [], [F.col("score").desc()], sums={"tp": F.col("pos"), "fp": F.col("neg")})
+    area = F.when((p > zero) & (n > zero), F.col("neg").cast("double") / n * ((2 * F.col("tp") - F.col("pos")).cast("double") / (2 * p)))
+    return points.select("score", "tp", "fp", F.try_divide(F.col("tp").cast("double"), p).alias("tpr"), F.try_divide(F.col("fp").cast("double"), n).alias("fpr"), area.alias("area"))
+
+
+def on_grid(points: DataFrame, x: str, y: str, width: int, height: int) -> DataFrame:
+    """Different places (px, py) of points between 0 and 1 on a grid; of a rising curve at most width + height + 1, however many points it has."""
+    return points.select(F.floor(F.col(x) * width).alias("px"), F.floor(F.col(y) * height).alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct()
+
+
 def token_totals(df: DataFrame, *columns: str) -> DataFrame:
     """Sum and mean of token columns; rows that were not sent count as 0."""
     out = []

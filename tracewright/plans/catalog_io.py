@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from tracewright.functions.models import CannedClient, LetterEmbedder, chat_logged
 from tracewright.operators import paths, relational, similarity
 from tracewright.plans import pipelines, prompts
+from tracewright.plans.catalog_tables import ROC, roc_curve
 from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, levels, path_rows, query, scratch, sinks, t
 from tracewright.schemas import INVALID
+from tracewright.shared import written
 from tracewright.sources import files, outputs
 from tracewright.streaming import resume
 
@@ -251,6 +253,19 @@ def sink_plot(spark, sf_dir):
     return svg.select(F.regexp_count("value", F.lit("<rect ")).cast("long").alias("bars"), F.regexp_extract("value", r">largest (\d+)<", 1).cast("long").alias("top"))
 
 
+@query("sink_plot_roc", f"""WITH {ROC}, s AS (SELECT round(sum(neg / n * ((2 * tp - pos) / (2 * p))), 4) AS auc FROM r), d AS (SELECT DISTINCT floor(fp / n * 400) AS px, floor(tp / p * 300) AS py FROM r)
+SELECT (SELECT CAST(count(*) AS BIGINT) FROM d) AS places, auc FROM s""")
+def sink_plot_roc(spark, sf_dir):
+    points = written(roc_curve(spark, sf_dir), "roc")
+    auc = points.agg(F.round(F.sum("area"), 4).alias("auc")).first()["auc"]
+    places = [(r["px"], r["py"]) for r in relational.on_grid(points, "fpr", "tpr", 400, 300).orderBy("px", "py").collect()]  # at most 701
+    path = scratch(spark, "roc")
+    outputs.write_text(spark, outputs.curve_chart(places, f"ROC curve, area {auc}"), path)
+    svg = spark.read.text(path)
+    drawn = F.regexp_extract("value", r'<polyline points="([^"]*)"', 1)
+    return svg.select(F.size(F.split(drawn, " ")).cast("long").alias("places"), F.regexp_extract("value", r"area ([0-9.]+)<", 1).cast("double").alias("auc"))
+
+
 # prompts ---------------------------------------------------------------------------------------------------------------------------
 
 D4 = f"""WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ep1 {PAIR_ORDER}) AS r FROM pr), c AS (SELECT *, row_number() OVER (PARTITION BY ep1, ep2_code ORDER BY r) AS c FROM r),

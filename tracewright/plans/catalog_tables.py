@@ -304,6 +304,25 @@ def agg_cls_metrics(spark, sf_dir):
     return m.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1", "roc_auc")])
 
 
+ROC = f"""{LEVELS_SQL}, c AS (SELECT CAST(floor(price / 10) AS BIGINT) AS score, CAST(count(*) FILTER (actual = 'DANGEROUS') AS BIGINT) AS pos, CAST(count(*) FILTER (actual <> 'DANGEROUS') AS BIGINT) AS neg FROM lv GROUP BY 1),
+r AS (SELECT score, pos, neg, CAST(sum(pos) OVER w AS BIGINT) AS tp, CAST(sum(neg) OVER w AS BIGINT) AS fp, CAST(sum(pos) OVER () AS DOUBLE) AS p, CAST(sum(neg) OVER () AS DOUBLE) AS n FROM c WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def roc_curve(spark, sf_dir):
+    scored = levels(spark, sf_dir).select((F.col("actual") == "DANGEROUS").cast("int").alias("label"), F.floor(F.col("price") / 10).alias("score"))
+    return relational.roc_points(scored, "label", "score")
+
+
+@query("agg_roc_points", f"WITH {ROC} SELECT score, tp, fp, tp / p AS tpr, fp / n AS fpr FROM r")
+def agg_roc_points(spark, sf_dir):
+    return roc_curve(spark, sf_dir).select("score", "tp", "fp", "tpr", "fpr")
+
+
+@query("agg_roc_auc", f"WITH {ROC} SELECT round(sum(neg / n * ((2 * tp - pos) / (2 * p))), 9) AS auc FROM r")
+def agg_roc_auc(spark, sf_dir):
+    return roc_curve(spark, sf_dir).agg(F.round(F.sum("area"), 9).alias("auc"))
+
+
 # windows, sorts, sets --------------------------------------------------------------------------------------------------------------
 
 

@@ -105,3 +105,12 @@ def write_list(df: DataFrame, column: str, path: str) -> None:
 def unique_names(df: DataFrame, ep: str = "EP") -> DataFrame:
     """Name before the first underscore of every different entry point; names may repeat."""
     return df.select(ep).distinct().select(F.substring_index(F.col(ep), "_", 1).alias("name"))
+
+
+def curve_chart(places: list[tuple[int, int]], title: str, width: int = 400, height: int = 300) -> str:
+    """A rising curve and the diagonal as SVG text, from places on a grid of this size (relational.on_grid), in order."""
+    from html import escape
+
+    line = " ".join(f"{30 + x},{20 + height - y}" for x, y in places)
+    frame = f'<path d="M30 20V{20 + height}H{30 + width}" fill="none" stroke="black"/><path d="M30 {20 + height}L{30 + width} 20" stroke="navy" stroke-dasharray="4"/>'
+    return f'<svg xmlns="http://www.w3.org/2000/svg" width="{width + 50}" height="{height + 45}"><text x="30" y="15">{escape(title)}</text>{frame}<polyline points="{line}" fill="none" stroke="darkorange"/></svg>'
