@@ -245,3 +245,19 @@ def test_stages(spark, docs, empty):
                 rows.write.parquet(path)
                 rows = spark.read.parquet(path)
         assert (rows.count() > 0) == (start is docs)
+
+
+def test_private_sample_is_the_first_by_hash(spark, monkeypatch):
+    """Whatever the share of texts with a digit, and however few documents are looked at first."""
+    taken = []
+    monkeypatch.setattr(private_data, "train", lambda texts: taken.append(texts))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 50 == 0, F.concat(F.lit("no "), "id")).otherwise(F.lit("none")).alias("text"))
+    lot = F.pmod(F.xxhash64(F.lit("private sample"), F.col("doc_id")), F.lit(1 << 30))
+    want = [r.text for r in df.where("doc_id % 50 = 0").orderBy(lot, F.col("doc_id").cast("string")).collect()]
+    for sought in (1.5, 4, 16):
+        monkeypatch.setattr(private_data, "SOUGHT", sought)
+        private_data.fit(df, 20)
+        private_data.fit(df, 100)
+    assert taken == [want[:20], want] * 3
+    private_data.fit(df.limit(0), 20)
+    assert taken[-1] == []

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from tracewright.llm.common import overlap_test, portions, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: Documents among which one of the sample is sought at first.
+SOUGHT = 16
 SAMPLE_DOCS = 1500
 #: Longer texts stay out of the sample (not out of the scan), so that the driver holds at most SAMPLE_DOCS times this.
 SAMPLE_TEXT_BYTES = 1 << 16
@@ -386,11 +388,17 @@ def scan_all(texts: list[str | None], field: Field) -> list[tuple[list[tuple[str
 
 
 def fit(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Train on at most sample_docs documents with a digit or an at sign."""
-    rows = docs.select(F.pmod(F.xxhash64(F.lit("private sample"), F.col(id_col)), F.lit(1 << 30)).alias("lot"), F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t")).where((F.octet_length("t") <= SAMPLE_TEXT_BYTES) & F.col("t").rlike("[0-9@]"))
-    share = min(1.0, (1.5 * sample_docs + 100) / max(1, rows.count()))
-    got = rows.where(F.col("lot") < int(share * (1 << 30))).orderBy("lot", "i").limit(sample_docs).collect()
-    return train([r["t"] for r in got])
+    """Train on at most sample_docs documents with a digit or an at sign, the first by a hash of the id. That hash is looked at before any text:
+    the sample is sought among SOUGHT times as many documents, and among more only where too few of these have such a sign."""
+    lot = F.pmod(F.xxhash64(F.lit("private sample"), F.col(id_col)), F.lit(1 << 30)).alias("lot")
+    rows = docs.select(lot, F.col(id_col).cast("string").alias("i"), F.col(text_col).cast("string").alias("t"))
+    share = SOUGHT * (sample_docs + 100) / max(1, docs.count())
+    while True:
+        near = rows.where(F.col("lot") < int(min(1.0, share) * (1 << 30))).where((F.octet_length("t") <= SAMPLE_TEXT_BYTES) & F.col("t").rlike("[0-9@]"))
+        got = near.orderBy("lot", "i").limit(sample_docs).collect()
+        if len(got) == sample_docs or share >= 1:
+            return train([r["t"] for r in got])
+        share *= SOUGHT
 
 
 def find_private(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
