@@ -34,6 +34,9 @@ def test_ids_of_random_texts(name):
         want = known.encode_ordinary(text)
         assert m.ids(text) == want, text
         assert m.count(text) == len(want)
+    for code in [*range(0x300), 0x1680, 0x180E, 0x2000, 0x200B, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF]:  # what counts as white space
+        text = f"a{chr(code) * 2} b{chr(code)}c {chr(code)}"
+        assert m.ids(text) == known.encode_ordinary(text), hex(code)
 
 
 def test_all_documents(spark):
@@ -48,7 +51,7 @@ def test_bounded_memory_gives_the_same_counts():
     small = bytepair.Merges(m.ranks, known=3)
     text = " ".join(f"unusual{k}words{k % 7}" for k in range(200)) * 2
     assert small.count(text) == len(known.encode_ordinary(text))
-    assert len(small.counts) <= 3
+    assert len(small.counts) <= 3 and len(small.older) <= 3
 
 
 def test_table_without_a_byte_is_an_error():

@@ -24,12 +24,12 @@ class Merges:
     """Words to tokens by a table of ranks: of all neighbours whose joint bytes are in the table, those of the lowest rank merge first, the
     leftmost of equal ones. The table must hold every single byte."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str = WORDS, known: int = 1 << 18):
+    def __init__(self, ranks: dict[bytes, int], pattern: str = WORDS, known: int = 1 << 17):
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the table lacks the bytes {missing}")
         self.ranks, self.words, self.most = ranks, regex.compile(pattern), known
-        self.counts: dict[str, int] = {}
+        self.counts, self.older = {}, {}  # of the words met last, and of those before them: frequent words stay
 
     def pieces(self, word: bytes) -> list[bytes]:
         """The tokens of one word, in time n log n of its length."""
@@ -65,10 +65,10 @@ class Merges:
         for word, times in Counter(self.words.findall(text or "")).items():
             tokens = self.counts.get(word)
             if tokens is None:
-                tokens = len(self.pieces(word.encode()))
+                tokens = self.older.get(word) or len(self.pieces(word.encode()))
                 if len(word) <= 64:
                     if len(self.counts) >= self.most:
-                        self.counts.clear()
+                        self.counts, self.older = {}, self.counts
                     self.counts[word] = tokens
             n += tokens * times
         return n
