@@ -58,6 +58,16 @@ def test_keep_first(docs, empty):
     assert simhash.keep_first(empty).collect() == []
 
 
+def test_keep_first_of_many_rows_of_one_id(spark, monkeypatch):
+    """Of a thousand rows of one id and text, some alike in all columns, one stays, the same one however they are dealt; texts are hashed once."""
+    rows = spark.createDataFrame([(7, EN, i % 300) for i in range(1000)] + [(8, EN, 0), (9, FR, 0), (9, FR, 0)], "doc_id long, text string, place int")
+    made, hashed = [], simhash.fingerprints
+    monkeypatch.setattr(simhash, "fingerprints", lambda *a: made.append(a) or hashed(*a))
+    kept = [sorted(map(tuple, simhash.keep_first(rows.repartition(n)).collect())) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(made) == 2
+    assert [r[:2] for r in kept[0]] == [(7, EN), (9, FR)]
+
+
 @pytest.mark.parametrize("hubs", [1000, 1])
 def test_fingerprints_of_a_hot_class(spark, monkeypatch, hubs):
     """A third of all rows in one class, and hot keys by broadcast or by shuffle, all the same."""
@@ -159,6 +169,13 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).collect() == [] and mixing.mixed(empty).collect() == []
 
 
+def test_mix_of_different_rows_of_one_id(spark):
+    """Which of an id's rows of one size are taken follows from the rows alone; maps do no harm."""
+    rows = spark.createDataFrame([(1, f"w{i} x", "a", {"i": i}) for i in range(40)] + [(i, "y " * 30, "b", None) for i in range(3)], "doc_id long, text string, source string, m map<string,int>")
+    taken = [sorted(r.text for r in mixing.mixed(rows.repartition(n, "text"), weights=(1, 5)).collect()) for n in (1, 4)]
+    assert taken[0] == taken[1] and 0 < sum(t.startswith("w") for t in taken[0]) < 40
+
+
 def test_vectors(spark):
     rows = [(i, [float(i % 5), 1.0, -2.0]) for i in range(120)] + [(200, None), (300, [0.0, 0.0, 0.0]), (400, [float("nan"), 1.0, 1.0]), (500, [None, 1.0, 1.0]), (600, [float("inf"), 1.0, 1.0]), (700, []), (None, [1.0, 1.0, 1.0]), (800, [1.0, 2.0]), (0, [0.0, 1.0, -2.0]), (50, [-3.0, 3.0, 3.0]), (900, [1e-200, 0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("rank", F.lit("x")).withColumn("score", F.lit(1)).withColumn("dim", F.lit(7)).withColumn("data", F.lit(7)).withColumn("shard", F.lit("s")).withColumn("asks", F.lit(1))

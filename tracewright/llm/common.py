@@ -70,6 +70,14 @@ def word_count(text: str = "text"):
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_hash(df: DataFrame, seed: int):
+    """A seeded hash of a row's columns; maps and variants, which Spark does not hash, by their text."""
+    unhashed = ("map<", "variant")
+    columns = [F.col(f"`{f.name}`") for f in df.schema.fields]
+    texts = [c.cast("string") if any(u in f.dataType.simpleString() for u in unhashed) else c for c, f in zip(columns, df.schema.fields, strict=True)]
+    return F.xxhash64(F.lit(seed), *texts)
+
+
 def without(df: DataFrame, *names: str, keep: str = "") -> DataFrame:
     """df without the columns, in any case of letters, whose names an operator gives to its own; keep stays."""
     low = {n.lower() for n in names}

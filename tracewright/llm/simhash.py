@@ -25,11 +25,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import cut, portions, table, without
+from tracewright.llm.common import cut, portions, row_hash, table, without, written
 
 PIVOTS = 32
 BLOCK_ROWS = 4096
@@ -269,15 +269,18 @@ def near_duplicates(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4,
 
 def keep_first(docs: DataFrame, bits: int = 4, words_per_shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all their columns, without those that a near-duplicate with a smaller id, or another row of the same id and
-    fingerprint, stands for."""
-    key = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")]
-    ids = cut(fingerprints(docs.select(*key), "text", words_per_shingle))
-    classes = near_classes(ids, bits).where(F.col("fp") == F.col("kept_fp")).select("fp", "component_id")
-    rows = fingerprints(docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "text", words_per_shingle)
-    c = classes.select(F.col("fp").alias("class_fp"), "component_id")
-    first = rows.join(c, (F.col("fp") == F.col("class_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id")))
-    place = F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("row")))
-    return first.withColumn("place", place).where("place = 1").select("row.*")
+    fingerprint, stands for.
+
+    The rows are written once with their fingerprints and a place; what stays is found on the narrow columns, with at most one place per task of
+    an id and fingerprint, and the texts go through one exchange, by place, so that no group of copies meets in a task."""
+    key = [F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), row_hash(docs, 17).alias("hash")]
+    hashed = fingerprints(docs.select(*key, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), "text", words_per_shingle)
+    rows = written(hashed.withColumn("place", F.monotonically_increasing_id()), "fingerprints")
+    ids = rows.select("doc_id", "fp")
+    c = near_classes(ids, bits).where(F.col("fp") == F.col("kept_fp")).select(F.col("fp").alias("class_fp"), "component_id")
+    first = rows.groupBy("fp", "doc_id").agg(F.min(F.struct("hash", "place")).alias("first"))
+    kept = first.join(c, (F.col("fp") == F.col("class_fp")) & F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("first.place").alias("place"))
+    return rows.join(kept, "place", "left_semi").select("row.*")
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
