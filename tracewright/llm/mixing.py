@@ -5,7 +5,7 @@ times and fits the rest as a subset sum: every length gives the same share of it
 program over the remaining lengths closes what is left. Within a length, documents are picked in the order of a seeded hash.
 
 Defined results: null or blank text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are separate documents; rows of one length are taken in the order of their hash, then id; texts of any length count whole; an empty table
+repeated rows are separate documents; rows of one length are taken in the order of a seeded hash of all their columns, then id, so that different rows of one id have an order, too; texts of any length count whole; an empty table
 gives no rows; targets beyond 3 times a source's size are reshared; further columns, whatever their names, are carried by mixed.
 Sizes at work: one row per (source, length) goes to the task that fits the source, one row per source to the one task that
 computes targets. Copies in a hot (source, length) are dealt over buckets of about ROWS_PER_BUCKET rows.
@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import cut, table, word_count
+from tracewright.llm.common import cut, row_hash, table, word_count
 
 ROWS_PER_BUCKET = 1024
 #: Words that the dynamic program closes, beyond the longest document: memory and time of a fit grow with it.
@@ -109,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3, se
     """Per document: doc_id, source, size, source_size, target of its source, times it is taken (0 to most) and taken words; and, with_rows,
     row: a struct of all columns of docs, which then go through the one shuffle by (source, size)."""
     carried = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("lot"), *carried)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), row_hash(docs, seed).alias("lot"), *carried)
     narrow = rows if with_rows else cut(rows)
     counts = cut(narrow.groupBy("source", "size").agg(F.count("*").alias("n")))
     largest = counts.agg(F.max("n")).first()[0] or 0
