@@ -131,3 +131,22 @@ def test_second_stage_without_a_table_of_pairs(spark, tmp_path):
     first, second = (sorted(map(tuple, o["chosen"].select(columns).collect())) for o in out)
     assert first == second and first
     assert out[1]["pairs"] is None and sorted(r.p2 for r in out[0]["result"].collect()) == sorted(r.p2 for r in out[1]["result"].collect())
+
+
+@pytest.mark.parametrize("groups, cells", [(150, 10_000), (150, 40), (4, 10_000), (900, 40)])
+def test_copies_are_met_once(spark, monkeypatch, groups, cells):
+    monkeypatch.setattr(similarity, "CELL_ROWS", cells)
+    monkeypatch.setattr(similarity, "PRUNED_FROM", 100)
+    chooser = random.Random(5)
+    kinds = [[float(chooser.randrange(-3, 4)) for _ in range(4)] for _ in range(12)] + [[0.0] * 4]
+    rows = [(f"m{chooser.randrange(groups)}", i, None if i % 11 == 0 else f"c{chooser.randrange(4)}", chooser.choice(kinds)) for i in range(900)]
+    df = spark.createDataFrame(rows, SHAPE)
+    met, in_units = [], similarity._in_units
+    monkeypatch.setattr(similarity, "_in_units", lambda r, *a: met.append(r.count()) or in_units(r, *a))
+    code = {r[1]: r[2] for r in rows}
+    firsts = {}
+    for (a, i, b, j), s in sorted(pairs_of(rows, 0.3).items(), key=lambda e: (-e[1], e[0][1], e[0][2], e[0][3])):
+        firsts.setdefault((a, code[j]), (i, b, j, s))
+    got = {(r.ep1, r.ep2_code): (r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx, r.similarity) for r in similarity.first_per_code(similarity.best_pairs(df, 0.3, digits=12)).collect()}
+    assert got == firsts
+    assert met and met[0] < 700 if groups > 4 else met  # 900 rows before

@@ -49,12 +49,12 @@ def levels_stage(spark: SparkSession, stage1: DataFrame, embedder: Callable, cli
     own_code = lambda p: p.join(codes.toDF("ep1", "ep1_sink_idx", "ep1_code"), ["ep1", "ep1_sink_idx"])
     pairs = None
     if keep_pairs:
-        found = similarity.cosine_pairs(vectors, threshold)
+        found = similarity.cosine_pairs(vectors, threshold, digits=similarity.DIGITS)
         own_code(found).join(codes.toDF("ep2_id", "ep2_sink_idx", "ep2_code"), ["ep2_id", "ep2_sink_idx"]).write.parquet(f"{out}/pairs")
         pairs = spark.read.parquet(f"{out}/pairs")
         chosen = similarity.diversified(pairs, n_neighbours)
     else:
-        chosen = own_code(similarity.diversified(similarity.best_pairs(vectors, threshold), n_neighbours))
+        chosen = own_code(similarity.diversified(similarity.best_pairs(vectors, threshold, digits=similarity.DIGITS), n_neighbours))
     chosen.write.parquet(f"{out}/chosen")
     chosen = spark.read.parquet(f"{out}/chosen")
     meta = api.select(F.col("ep").alias("method"), "service_name", "access control level", F.lit(0).alias("seq"))
