@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.arrays import cosine
+from tracewright.functions.arrays import dot
 from tracewright.shared import written
 
 BLOCK_BYTES = 32 << 20
@@ -490,10 +490,27 @@ def join_work(sinks: DataFrame, threshold: float, group: str = "method", index:
 
 
 def cosine_pairs_native(sinks: DataFrame, threshold: float, group: str = "method", index: str = "sink_idx", vector: str = "embedding") -> DataFrame:
-    """The same as an expression join: every pair of rows in a nested loop. A check for small inputs; no pipeline uses it."""
-    a = sinks.select(F.col(group).alias("ep1"), F.col(index).cast("long").alias("ep1_sink_idx"), F.col(vector).alias("v1"))
-    b = sinks.select(F.col(group).alias("ep2_id"), F.col(index).cast("long").alias("ep2_sink_idx"), F.col(vector).alias("v2"))
-    return a.join(b, F.col("ep1") != F.col("ep2_id")).withColumn("similarity", cosine(F.col("v1"), F.col("v2"))).where(F.col("similarity") > threshold).drop("v1", "v2")
+    """The same by expressions alone, every pair of rows: a check on the blocks; no pipeline uses it.
+
+    Lengths are found once a row. Each side is cut into shares, and each pair of shares is a key, so that the pairs are dealt evenly and none of the sides
+    is broadcast."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    whole = F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(math.inf)))
+    rows = sinks.where(F.col(group).isNotNull() & (F.size(vector) > 0) & whole)
+    tasks = int(sinks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = max(math.ceil(math.sqrt(tasks)), math.ceil(rows.count() / LANE_ROWS))
+    made = rows.select(F.col(group).cast("string").alias("g"), F.col(index).cast("long").alias("i"), v.alias("v"), dot(v, v).alias("squares"))
+    made = made.withColumn("share", F.pmod(F.xxhash64("g", "i"), F.lit(shares)))
+
+    def side(name: str, cell: Callable[[Column], Column]) -> DataFrame:
+        dealt = made.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))).withColumn("cell", cell(F.col("k"))).drop("share", "k")
+        return dealt.toDF(*[f"{name}_{c}" for c in dealt.columns]).repartition(shares * shares, f"{name}_cell")
+
+    a, b = side("a", lambda k: F.col("share") * shares + k), side("b", lambda k: k * shares + F.col("share"))
+    length = F.greatest(F.sqrt(F.col("a_squares") * F.col("b_squares")), F.lit(LIMIT * LIMIT))
+    product = F.aggregate(F.zip_with("a_v", "b_v", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    met = a.join(b.hint("merge"), (F.col("a_cell") == F.col("b_cell")) & (F.col("a_g") != F.col("b_g")) & (product / length > threshold))
+    return met.select(F.col("a_g").alias("ep1"), F.col("a_i").alias("ep1_sink_idx"), F.col("b_g").alias("ep2_id"), F.col("b_i").alias("ep2_sink_idx"), (product / length).alias("similarity"))
 
 
 def best_neighbour(eps: DataFrame, pairs: DataFrame, ep: str = "method") -> DataFrame:
