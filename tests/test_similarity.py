@@ -150,3 +150,57 @@ def test_copies_are_met_once(spark, monkeypatch, groups, cells):
     got = {(r.ep1, r.ep2_code): (r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx, r.similarity) for r in similarity.first_per_code(similarity.best_pairs(df, 0.3, digits=12)).collect()}
     assert got == firsts
     assert met and met[0] < 700 if groups > 4 else met  # 900 rows before
+
+
+@pytest.mark.parametrize("k", [1, 2, 5])
+def test_first_pairs_hold_the_first_of_each_entry_point(spark, monkeypatch, k):
+    monkeypatch.setattr(similarity, "PRODUCTS", 500)
+    monkeypatch.setattr(similarity, "PENDING", 20)
+    chooser = random.Random(8)
+    kinds = [[float(chooser.randrange(-3, 4)) for _ in range(5)] for _ in range(25)]
+    rows = [(f"m{chooser.randrange(40)}", i, "c", chooser.choice(kinds)) for i in range(400)]
+    every = pairs_of(rows, 0.3)
+    firsts = {}
+    for (a, i, b, j), _ in sorted(every.items(), key=lambda e: (-e[1], e[0][1], e[0][2], e[0][3])):
+        if len(here := firsts.setdefault(a, [])) < k:
+            here.append((i, b, j))
+    few = similarity.first_pairs(spark.createDataFrame(rows, SHAPE), 0.3, k, block_bytes=60 * 40)
+    assert few.count() < len(every) / 4
+    got = {}
+    for r in similarity.top_pairs(few, k).orderBy("ep1", "place").collect():
+        got.setdefault(r.ep1, []).append((r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx))
+    assert got == firsts
+
+
+def test_similarities_that_are_nearly_the_same_are_told_apart(spark):
+    rows = [("a", 0, "x", [1.0, 0.0]), ("b", 1, "y", [1.0, 0.5 + 2e-13]), ("c", 2, "z", [1.0, 0.5])]  # cosines 1e-13 apart, the second is larger
+    df = spark.createDataFrame(rows, SHAPE)
+    pairs = similarity.cosine_pairs(df, 0.3)
+    for few in (pairs, similarity.first_pairs(df, 0.3, 2)):
+        assert [r.ep2_id for r in similarity.top_pairs(few.where("ep1 = 'a'"), 2).orderBy("place").collect()] == ["c", "b"]
+    assert similarity.best_neighbour(df.select("method"), pairs).where("ep = 'a'").first().ep2_id == "c"
+
+
+def test_native_join_is_dealt_and_broadcasts_nothing(spark):
+    rows = clustered(120, 6, 70, 0.5) + [("zero", 900, "z", [0.0] * 70), (None, 903, "z", [1.0] * 70), ("none", 904, "z", None), ("nan", 905, "z", [math.nan] * 70)]
+    found = similarity.cosine_pairs_native(spark.createDataFrame(rows, SHAPE), 0.3)
+    want = pairs_of(rows, 0.3)
+    got = {(r.ep1, r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx): r.similarity for r in found.collect()}
+    assert got.keys() == want.keys() and all(abs(s - want[k]) < 1e-9 for k, s in got.items())
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan and "Broadcast" not in plan
+
+
+def test_reports_put_no_entry_point_in_one_task(spark):
+    from tracewright.sources import outputs
+
+    eps = spark.createDataFrame([("a",), ("b",), ("none",), ("a",)], "method string")
+    pair = "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double, ep1_code string, ep2_code string"
+    pairs = spark.createDataFrame([("a", 1, "b", 2, 0.5, "x\ny", None), ("b", 2, "a", 1, 0.5, "p", "q"), ("a", 3, "b", 2, 0.9, "r", "s"), ("other", 4, "a", 1, 0.6, "t", "u")], pair)
+    report = outputs.all_pairs_report(eps, pairs)
+    assert sorted(map(tuple, report.collect()), key=repr) == [("a", "b", "r", "s", 0.9), ("a", "b", "x y", "", 0.5), ("b", "a", "p", "q", 0.5), ("none", outputs.NONE_ALL, "", "", None)]
+    places = sorted((r.EP1_ID, r.EP2_ID, r.EP2_Code, r.place) for r in outputs.top_report(eps, pairs).where("place IS NOT NULL").collect())
+    assert places == [("a", "b", "", 2), ("a", "b", "s", 1), ("b", "a", "q", 1)]
+    for df in (report, outputs.top_report(eps, pairs)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "LeftOuter" not in plan and "Window" not in plan
