@@ -88,12 +88,12 @@ def flt_sim_gt(spark, sf_dir):
 def join_argmax_neighbor(spark, sf_dir):
     s = sinks(spark, sf_dir)
     eps = s.select("method").distinct().union(spark.range(1).select(F.lit("api-none")))
-    return similarity.best_neighbour(eps, similarity.cosine_pairs(s, THRESHOLD)).select("ep", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", F.round("similarity", 6).alias("similarity"))
+    return similarity.best_neighbour(eps, similarity.first_pairs(s, THRESHOLD, 1)).select("ep", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", F.round("similarity", 6).alias("similarity"))
 
 
 @query("win_top_k", f"WITH {PAIRS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY ep1 {PAIR_ORDER}) AS place FROM pr) SELECT ep1, ep1_sink_idx, ep2_id, ep2_sink_idx, place FROM r WHERE place <= 2")
 def win_top_k(spark, sf_dir):
-    return similarity.top_pairs(similarity.cosine_pairs(sinks(spark, sf_dir), THRESHOLD), 2).select("ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "place")
+    return similarity.top_pairs(similarity.first_pairs(sinks(spark, sf_dir), THRESHOLD, 2), 2).select("ep1", "ep1_sink_idx", "ep2_id", "ep2_sink_idx", "place")
 
 
 def _diversified_sql(n: int) -> str:

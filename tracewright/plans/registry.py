@@ -80,6 +80,14 @@ def coded_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.withColumn("ep1_code", _code("ep1_sink_idx")).withColumn("ep2_code", _code("ep2_sink_idx"))
 
 
+def first_coded_pairs(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """Those of coded_pairs that can be among the first k of their entry point."""
+    from tracewright.operators.similarity import first_pairs
+
+    p = first_pairs(sinks(spark, sf_dir), THRESHOLD, k)
+    return p.withColumn("ep1_code", _code("ep1_sink_idx")).withColumn("ep2_code", _code("ep2_sink_idx"))
+
+
 def _code(c: str):
     return F.concat(F.lit("code "), (F.col(c) % 97).cast("string"))
 
