@@ -8,7 +8,7 @@ from tracewright.functions.models import CannedClient, LetterEmbedder, chat_logg
 from tracewright.operators import paths, relational, similarity
 from tracewright.plans import pipelines, prompts
 from tracewright.plans.catalog_tables import ROC, roc_curve
-from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, levels, path_rows, query, scratch, sinks, t
+from tracewright.plans.registry import LEVELS_SQL, PAIR_ORDER, PAIRS_SQL, PATHS, best_coded_pairs, coded_pairs, first_coded_pairs, levels, path_rows, query, scratch, sinks, t
 from tracewright.schemas import INVALID
 from tracewright.shared import written
 from tracewright.sources import files, outputs
@@ -197,7 +197,7 @@ def sink_csv_topn(spark, sf_dir):
 
 @query("sink_csv_top2", f"WITH {PAIRS_SQL}, {EPS}, r AS (SELECT *, row_number() OVER (PARTITION BY ep1 {PAIR_ORDER}) AS place FROM pr) SELECT method AS \"EP1_ID\", coalesce(ep2_id, 'No similar EPs with similarity > 0.5') AS \"EP2_ID\", place FROM eps LEFT JOIN (SELECT * FROM r WHERE place <= 2) r ON r.ep1 = eps.method")
 def sink_csv_top2(spark, sf_dir):
-    return _through_csv(spark, outputs.top_report(_eps(spark, sf_dir), coded_pairs(spark, sf_dir), 2), "top2code").select("EP1_ID", "EP2_ID", "place")
+    return _through_csv(spark, outputs.top_report(_eps(spark, sf_dir), first_coded_pairs(spark, sf_dir, 2), 2), "top2code").select("EP1_ID", "EP2_ID", "place")
 
 
 @query("sink_csv_sinks", "SELECT p_name AS \"EP\", unnest(string_split(p_type, ' ')) AS \"Sink\" FROM part")
