@@ -359,7 +359,7 @@ class _First:
 
         def floor(part: slice) -> np.ndarray:
             forth = self.forth.floor[:, c[part]][self.over.mine]
-            return forth if inside else np.minimum(forth, self.back.floor[g[part]].T[self.own_code])
+            return forth if inside else np.minimum(forth, np.ascontiguousarray(self.back.floor[g[part]].T)[self.own_code])
 
         for x, y, s in self.over.found(other, floor):
             self.forth.add(self.over.mine[x], c[y], s, lambda r: self._named(_pairs(self.own, x[r], other, y[r], s[r]), other, y[r]))  # noqa: B023
