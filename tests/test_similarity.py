@@ -204,3 +204,36 @@ def test_reports_put_no_entry_point_in_one_task(spark):
     for df in (report, outputs.top_report(eps, pairs)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         assert "LeftOuter" not in plan and "Window" not in plan
+
+
+PAIRS = "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double, ep1_code string, ep2_code string"
+
+
+def report_of(spark, path, more):
+    shape = f"EP1_ID string, EP2_ID string, EP1_Code string, EP2_Code string, Similarity double{more}"
+    return spark.read.options(header=True, quote='"', escape='"').schema(shape).csv(path).fillna("", ["EP1_Code", "EP2_Code"])
+
+
+@pytest.mark.parametrize("portion", [1 << 24, 100])
+def test_places_go_through_portions(spark, tmp_path, monkeypatch, portion):
+    from tracewright import shared
+    from tracewright.sources import outputs
+
+    monkeypatch.setattr(outputs, "PORTION_ROWS", portion)
+    monkeypatch.setattr(shared, "fresh_path", lambda _, name: str(tmp_path / "tables" / f"{name}-{random.getrandbits(128):032x}"))
+    chooser = random.Random(3)
+    name = lambda: chooser.choice("aaaaaabc")
+    rows = [(e, i, o, j, chooser.randrange(5) / 7) for e, i, o, j in {(name(), chooser.randrange(30), name(), chooser.randrange(30)) for _ in range(900)}]
+    eps = spark.createDataFrame([("a",), ("b",), ("c",), ("none",)], "method string")
+    pairs = spark.createDataFrame(rows, "ep1 string, ep1_sink_idx long, ep2_id string, ep2_sink_idx long, similarity double").repartition(3)
+    coded = lambda p: p.withColumn("ep1_code", F.lit("x")).withColumn("ep2_code", F.col("ep2_sink_idx").cast("string"))
+    before = spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    assert (len(outputs._portions(pairs)) > 3) == (portion == 100)
+    outputs.write_top_report(eps, pairs, str(tmp_path / "out"), coded)
+    want = [("none", outputs.NONE_TOP, "", None)]
+    for _, of in itertools.groupby(sorted(rows, key=lambda r: (r[0], -r[4], *r[1:4])), key=lambda r: r[0]):
+        want += [(r[0], r[2], str(r[3]), k) for k, r in enumerate(of, 1)]
+    got = [(r.EP1_ID, r.EP2_ID, r.EP2_Code, r.place) for r in report_of(spark, str(tmp_path / "out"), ", place long").collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert not list((tmp_path / "tables").iterdir())  # neither pairs nor their order stay
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
