@@ -214,6 +214,20 @@ def report_of(spark, path, more):
     return spark.read.options(header=True, quote='"', escape='"').schema(shape).csv(path).fillna("", ["EP1_Code", "EP2_Code"])
 
 
+def test_all_pairs_are_written_once(spark, tmp_path, monkeypatch):
+    from tracewright.sources import outputs
+
+    eps = spark.createDataFrame([("a",), ("b",), ("none",), ("a",), (None,)], "method string")
+    pairs = spark.createDataFrame([("a", 1, "b", 2, 0.5, 'x\ny, "z"', None), ("b", 2, "a", 1, 0.5, "p", "q"), ("a", 3, "b", 2, 0.9, "r", "s")], PAIRS)
+    tables = []
+    monkeypatch.setattr(outputs, "written", lambda df, name: tables.append(name))
+    outputs.write_all_pairs_report(eps, pairs, str(tmp_path / "out"))
+    got = sorted(map(tuple, report_of(spark, str(tmp_path / "out"), "").collect()), key=repr)
+    none = outputs.NONE_ALL
+    assert got == sorted([("a", "b", "r", "s", 0.9), ("a", "b", 'x y, "z"', "", 0.5), ("b", "a", "p", "q", 0.5), ("none", none, "", "", None), (None, none, "", "", None)], key=repr)
+    assert not tables and all(f.name.endswith(".csv.gz") for f in (tmp_path / "out").glob("part-*"))
+
+
 @pytest.mark.parametrize("portion", [1 << 24, 100])
 def test_places_go_through_portions(spark, tmp_path, monkeypatch, portion):
     from tracewright import shared
