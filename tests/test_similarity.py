@@ -251,3 +251,15 @@ def test_places_go_through_portions(spark, tmp_path, monkeypatch, portion):
     assert sorted(got, key=repr) == sorted(want, key=repr)
     assert not list((tmp_path / "tables").iterdir())  # neither pairs nor their order stay
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == before
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.3, -0.2])
+def test_native_join_bounds_by_compiled_products(spark, monkeypatch, threshold):
+    monkeypatch.setattr(similarity, "COLUMNS", 7)  # what lies beyond is bounded by its length
+    rows = clustered(90, 5, 9, 0.4) + [("tiny", 900, "z", [1e-13] * 9), ("same", 901, "z", [2.0] * 9), ("one", 902, "z", [0.0] * 8 + [5.0]), ("other", 903, "z", [1.0] * 8 + [9.0]), ("same", 904, "z", [-3.0] * 9)]
+    found = similarity.cosine_pairs_native(spark.createDataFrame([*rows, ("short", 905, "z", [1.0] * 4)], SHAPE), threshold)
+    want = {k: s for k, s in pairs_of([r for r in rows if r[0] != "tiny"], threshold).items()}
+    got = {(r.ep1, r.ep1_sink_idx, r.ep2_id, r.ep2_sink_idx): r.similarity for r in found.collect() if "tiny" not in (r.ep1, r.ep2_id)}
+    assert got.keys() == want.keys() and all(abs(s - want[k]) < 1e-9 for k, s in got.items())
+    joins = [line for line in found._jdf.queryExecution().executedPlan().toString().split("\n") if "SortMergeJoin" in line]
+    assert joins and not any("lambda" in line for line in joins)
